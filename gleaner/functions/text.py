@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Inside a class: white space as Python sees it (Unicode White_Space plus the four separators).
 WHITE = r"\s\x1c-\x1f"
@@ -74,7 +75,7 @@ def replace_typographic(c: Column | str) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda s: s
@@ -84,7 +85,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: html.unescape(s) if "&" in s else s, na_action="ignore")
 
@@ -97,7 +98,7 @@ def _char_of(match: re.Match) -> str:
     return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else match[0]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _numeric_entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: _NUMERIC_ENTITY.sub(_char_of, s) if "&#" in s else s, na_action="ignore")
 

@@ -18,6 +18,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions.features import FEATURE_FIELDS, feature_type, infer_category, mixed_features
 from gleaner.functions.text import coerce_number
@@ -25,7 +26,7 @@ from gleaner.functions.text import coerce_number
 MAX_TERMS, MIN_DOCS, MAX_SHARE = 500, 2, 0.9
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain_letters(texts: pd.Series) -> pd.Series:
     """Lowercase without accents."""
 
