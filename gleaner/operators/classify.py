@@ -131,7 +131,7 @@ class Classifier:
     def classify(self, df: DataFrame) -> DataFrame:
         """Adds ``category`` and ``confidence``, and ``probabilities`` (or ``distances``) by category."""
         scored = self.model.transform(self.features(df))
-        kept = df.columns
+        kept = [c for c in df.columns if c not in ("category", "confidence", "probabilities", "distances")]
         if self.algorithm == "kmeans":
             centers = [c.tolist() for c in self.model.stages[-1].clusterCenters()]
             distance = distances(vector_to_array("features"), centers)

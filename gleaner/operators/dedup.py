@@ -12,7 +12,7 @@ that no earlier open value resembles, and drops what resembles them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -344,7 +344,11 @@ def minhash_blocks(values: DataFrame, hashes: int = 24, per_band: int = 3, shing
         lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, shingle), " ")),
     )
     hashed = cut_lineage(cut.select("id", F.array_distinct(shingles).alias("grams")))
-    mins = [F.array_min(F.transform("grams", lambda g, s=s: F.xxhash64(g, F.lit(s)))) for s in range(hashes)]
+
+    def seeded(seed: int) -> Callable[[Column], Column]:
+        return lambda gram: F.xxhash64(gram, F.lit(seed))
+
+    mins = [F.array_min(F.transform("grams", seeded(s))) for s in range(hashes)]
     bands = [
         F.xxhash64(F.lit(i), *mins[i * per_band : (i + 1) * per_band]) for i in range(math.ceil(hashes / per_band))
     ]

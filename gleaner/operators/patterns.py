@@ -48,16 +48,13 @@ class Pattern:
 
     def spans(self, text: Column) -> Column:
         """Distinct matches with offsets and context, as structs ``key, ord, start, stop, context``."""
-        found = [
-            F.transform(
-                extract_spans(text, rx, self.needs),
-                lambda s, i, n=n: F.struct(
-                    (F.lit(n) * 1_000_000_000 + i).cast("long").alias("ord"), s.alias("span")
-                ),
-            )
-            for n, rx in enumerate(self.regexes)
-        ]
-        hits = F.concat(*found)
+        def numbered(n: int) -> Callable[[Column, Column], Column]:
+            # Order by regex, then by place in the text.
+            return lambda s, i: F.struct((i + F.lit(n * 1_000_000_000)).cast("long").alias("ord"), s.alias("span"))
+
+        hits = F.concat(*[
+            F.transform(extract_spans(text, rx, self.needs), numbered(n)) for n, rx in enumerate(self.regexes)
+        ])
         if self.valid is not None:
             hits = F.filter(hits, lambda h: self.valid(h["span"]["value"]))
         written = self.written or (lambda c: c)
@@ -266,18 +263,16 @@ def preset(name: str, registry: Registry = DEFAULT) -> list[Pattern]:
 def recognize(df: DataFrame, key: str, text: str, patterns: Sequence[Pattern] | None = None) -> DataFrame:
     """Rows ``key, pattern, ord, match, confidence``: distinct formatted matches per text and type."""
     chosen = list(DEFAULT.select() if patterns is None else patterns)
-    per_type = [
-        F.transform(
-            p.matches(F.col(text)),
-            lambda m, i, p=p: F.struct(
-                F.lit(p.name).alias("pattern"),
-                i.cast("int").alias("ord"),
-                m.alias("match"),
-                F.lit(p.confidence).alias("confidence"),
-            ),
+
+    def shaped(p: Pattern) -> Callable[[Column, Column], Column]:
+        return lambda m, i: F.struct(
+            F.lit(p.name).alias("pattern"),
+            i.cast("int").alias("ord"),
+            m.alias("match"),
+            F.lit(p.confidence).alias("confidence"),
         )
-        for p in chosen
-    ]
+
+    per_type = [F.transform(p.matches(F.col(text)), shaped(p)) for p in chosen]
     hits = F.concat(*per_type) if len(per_type) > 1 else per_type[0]
     return df.select(F.col(key), F.inline(hits))
 
@@ -285,20 +280,18 @@ def recognize(df: DataFrame, key: str, text: str, patterns: Sequence[Pattern] |
 def recognize_spans(df: DataFrame, key: str, text: str, patterns: Sequence[Pattern] | None = None) -> DataFrame:
     """As :func:`recognize`, with the offsets and the surrounding text of each first hit."""
     chosen = list(DEFAULT.select() if patterns is None else patterns)
-    per_type = [
-        F.transform(
-            p.spans(F.col(text)),
-            lambda h, p=p: F.struct(
-                F.lit(p.name).alias("pattern"),
-                h["key"].alias("match"),
-                h["start"].alias("start"),
-                h["stop"].alias("stop"),
-                F.lit(p.confidence).alias("confidence"),
-                h["context"].alias("context"),
-            ),
+
+    def shaped(p: Pattern) -> Callable[[Column], Column]:
+        return lambda h: F.struct(
+            F.lit(p.name).alias("pattern"),
+            h["key"].alias("match"),
+            h["start"].alias("start"),
+            h["stop"].alias("stop"),
+            F.lit(p.confidence).alias("confidence"),
+            h["context"].alias("context"),
         )
-        for p in chosen
-    ]
+
+    per_type = [F.transform(p.spans(F.col(text)), shaped(p)) for p in chosen]
     hits = F.concat(*per_type) if len(per_type) > 1 else per_type[0]
     return df.select(F.col(key), F.inline(hits))
 

@@ -293,5 +293,5 @@ def common_regex(df: DataFrame, value: str, order: str) -> DataFrame:
         .otherwise(".")
     )
     # At most one row per position of the shortest value.
-    parts = flags.agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"))
-    return parts.select(F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("regex"))
+    parts = flags.select("pos", part.alias("part")).agg(F.collect_list(F.struct("pos", "part")).alias("parts"))
+    return parts.select(F.array_join(F.transform(F.array_sort("parts"), lambda p: p["part"]), "").alias("regex"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +121,6 @@ def capture_errors(df: DataFrame, column: str, function: Callable, result_type:
 
     One bad item fails neither its batch nor its task.
     """
-    import pandas as pd
-
     @F.pandas_udf(f"result {result_type}, error string")
     def guarded(items: pd.Series) -> pd.DataFrame:
         def one(item):

@@ -140,7 +140,7 @@ def _(t: Tables):
 _LIMITS = [("view", 20, 3600), ("error", 100, 86400), ("click", 5, 3600)]
 _QUOTA_SQL = """
     WITH c AS (SELECT *, CASE event_type WHEN 'view' THEN 20 WHEN 'error' THEN 100 WHEN 'click' THEN 5 ELSE 60 END AS lim,
-        CASE event_type WHEN 'view' THEN 3600 WHEN 'error' THEN 86400 WHEN 'click' THEN 3600 ELSE 60 END AS win FROM events),
+        CASE event_type WHEN 'view' THEN 3600 WHEN 'error' THEN 86400 WHEN 'click' THEN 3600 ELSE 60 END::BIGINT AS win FROM events),
     q AS (SELECT event_id, lim, win, epoch_us(ts) AS t, count(*) OVER w AS requests, min(epoch_us(ts)) OVER w AS oldest FROM c
         WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN win * 1000000 PRECEDING AND CURRENT ROW))
 """

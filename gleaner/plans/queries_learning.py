@@ -60,7 +60,7 @@ def _forest(t: Tables, **options):
 @query("train_random_forest")
 def _(t: Tables):
     model = _forest(t)
-    scored = model.classify(_labeled(t).filter(F.col("category").isNotNull()).drop("probabilities"))
+    scored = model.classify(_labeled(t).filter(F.col("category").isNotNull()))
     return scored.select("doc_id", "category", F.round("confidence", 9).alias("confidence"))
 
 

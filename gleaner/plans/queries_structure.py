@@ -21,8 +21,8 @@ _LEDGER = (
     (" |\n\n| segment | ", "c_mktsegment"),
     (" |\nafter the table\nid\tname\tnation\n1\t", "c_name"),
     ("\t", "c_nationkey"),
-    ("\nno tabs here\n\nItem        Amount    Note\nwidget      12.50     new ", "c_mktsegment"),
-    ("\nlong gadget 7.00      -\n   \nThe end\n----+----\na | b | ", "c_name"),
+    ("\nno tabs here\n\nItem    Amount    Note\ntool    12.50     new ", "c_mktsegment"),
+    ("\nbolt    7.500     -\n   \nnut     1\nThe end\n----+----\na | b | ", "c_name"),
     ("", None),
 )
 

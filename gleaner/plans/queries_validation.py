@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as C
@@ -91,8 +92,6 @@ def _(t: Tables):
 @query("quality_rule_udf", "SELECT p_partkey, p_name = reverse(p_name) OR length(p_name) % 2 = 0 AS passed FROM part")
 def _(t: Tables):
     # A rule written in Python: same place, Arrow batches.
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def even_or_mirrored(s: pd.Series) -> pd.Series:
         return s.map(lambda v: v == v[::-1] or len(v) % 2 == 0)

@@ -69,7 +69,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, delimite
 
 def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
     """Landed pages: ``url`` (the file) and ``html``."""
-    pages = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    pages = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return pages.select(F.input_file_name().alias("url"), F.col("value").alias("html"))
 
 
