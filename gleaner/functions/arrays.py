@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once per row.
+
+    Two projections in a row are merged, and a merged expression inside a lambda runs for every element. A
+    one-element ``explode`` keeps them apart, within the task.
+    """
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(packed)).alias("_once")).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def first_per_key(structs: Column) -> Column:
     """Of structs that begin with ``key, ord``, the one with the smallest ``ord`` for each key, by ``ord``.
 

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.arrays import once
 from gleaner.functions.similarity import at_least, similarity
 from gleaner.functions.text import _col
 from gleaner.functions.validate import MISSING_WORDS
@@ -57,10 +58,11 @@ def gram_size(threshold: float) -> int:
 def _grams(values: DataFrame, q: int) -> DataFrame:
     """``id, n, gram``: padded q-grams; the k-th occurrence of a gram in a value is a gram of its own."""
     pad = "\x01" * (q - 1)
-    padded = F.concat(F.lit(pad), F.col("value"), F.lit(pad))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (q - 1), F.lit(1)))
-    raw = values.select(
-        "id", F.length("value").alias("n"), F.explode(F.transform(starts, lambda i: F.substring(padded, i, F.lit(q)))).alias("g")
+    padded = once(values, chars=F.split(F.concat(F.lit(pad), F.col("value"), F.lit(pad)), ""))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("chars") - (q - 1), F.lit(1)))
+    raw = padded.select(
+        "id", F.length("value").alias("n"),
+        F.explode(F.transform(starts, lambda i: F.array_join(F.slice("chars", i, q), ""))).alias("g"),
     )
     counted = raw.groupBy("id", "n", "g").agg(F.count("*").cast("int").alias("times"))
     return counted.select("id", "n", "g", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k")).select(
@@ -187,8 +189,11 @@ def leaders(
     rounded: bool = False,
     width: int = 32,
     block_table: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """The values a greedy pass in ``order`` keeps, and the block table it used.
+    assign: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The values a greedy pass in ``order`` keeps (``id, ord``) and, with ``assign``, who resembles them.
+
+    The second frame has ``id, leader`` for every value that is not kept: its first similar leader.
 
     ``values`` has distinct ``id, value`` and an order column without ties. Each round emits at most
     ``width`` partners per value and block, whatever the size of the block. ``block_table`` (``id, block``)
@@ -201,6 +206,7 @@ def leaders(
     texts = values.select("id", "value")
     open_blocks = blocks
     kept: list[DataFrame] = []
+    found: list[DataFrame] = []
     while True:
         place = F.row_number().over(Window.partitionBy("block").orderBy("ord"))
         front = cut_lineage(open_blocks.withColumn("place", place).filter(F.col("place") <= width))
@@ -223,11 +229,22 @@ def leaders(
         waiting = _verified(near, texts, threshold, rounded).select(F.col("b").alias("id")).distinct()
         settled = cut_lineage(in_view.join(waiting, "id", "left_anti"))
         kept.append(settled)
-        # Settled values leave with everything later that resembles them.
-        gone = _followers(open_blocks, settled, texts, threshold, rounded).select(F.col("b").alias("id")).distinct()
+        # Settled values leave with everything later that resembles them. To find first leaders, values that
+        # have left already are compared as well: a leader before theirs may be settled only now.
+        pairs = _followers(blocks if assign else open_blocks, settled, texts, threshold, rounded)
+        if assign:
+            pairs = cut_lineage(pairs.join(settled.select(F.col("id").alias("a"), "ord"), "a").select("a", "b", "ord"))
+            found.append(pairs)
+        gone = pairs.select(F.col("b").alias("id")).distinct()
         left = open_blocks.join(settled.select("id").unionByName(gone), "id", "left_anti")
         open_blocks = cut_lineage(left)
-    return reduce(DataFrame.unionByName, kept) if kept else values.select("id", F.col(order).alias("ord")).limit(0), blocks
+    none = values.select("id", F.col(order).alias("ord")).limit(0)
+    heads = reduce(DataFrame.unionByName, kept, none)
+    if not assign:
+        return heads, None
+    nobody = none.select(F.col("id").alias("a"), F.col("id").alias("b"), "ord")
+    members = reduce(DataFrame.unionByName, found, nobody)
+    return heads, members.groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ord").alias("leader"))
 
 
 def _followers(blocks: DataFrame, heads: DataFrame, texts: DataFrame, threshold: float, rounded: bool) -> DataFrame:
@@ -243,15 +260,6 @@ def _followers(blocks: DataFrame, heads: DataFrame, texts: DataFrame, threshold:
     return _verified(near, texts, threshold, rounded)
 
 
-def _members(values: DataFrame, order: str, heads: DataFrame, blocks: DataFrame, threshold: float, rounded: bool) -> DataFrame:
-    """Each value that is no leader with its first similar leader: ``id, leader``."""
-    texts = values.select("id", "value")
-    pairs = _followers(blocks, heads, texts, threshold, rounded)
-    ords = values.select(F.col("id").alias("a"), F.col(order).alias("ord"))
-    not_heads = pairs.join(heads.select(F.col("id").alias("b")), "b", "left_anti")
-    return not_heads.join(ords, "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ord").alias("leader"))
-
-
 def joined_value(columns: Sequence[str]) -> Column:
     """The compared text of a row: its columns joined by one space, a missing cell as ``None``."""
     return F.concat_ws(" ", *[F.coalesce(_col(c).cast("string"), F.lit("None")) for c in columns])
@@ -268,10 +276,9 @@ def fuzzy_dedup(df: DataFrame, key: str, columns: Sequence[str], threshold: floa
     if keep == "last":
         survivors = _without_later(values, threshold).select("last")
         return df.join(survivors.select(F.col("last").alias(key)), key, "left_semi")
-    heads, blocks = leaders(values, "id", threshold)
+    heads, members = leaders(values, "id", threshold, assign=keep == "none")
     survivors = heads.select("id")
     if keep == "none":
-        members = _members(values, "id", heads, blocks, threshold, False)
         alone = values.filter(F.col("copies") == 1).select("id")
         survivors = survivors.join(alone, "id", "left_semi").join(
             members.select(F.col("leader").alias("id")).distinct(), "id", "left_anti"
@@ -321,8 +328,7 @@ def similar_value_groups(df: DataFrame, value: str, threshold: int = 85) -> Data
     values = cut_lineage(
         present.groupBy(F.lower("original").alias("value")).agg(F.min("original").alias("id"))
     )
-    heads, blocks = leaders(values, "id", threshold / 100, rounded=True)
-    assigned = _members(values, "id", heads, blocks, threshold / 100, True)
+    heads, assigned = leaders(values, "id", threshold / 100, rounded=True, assign=True)
     own = heads.select("id", F.col("id").alias("leader"))
     spellings = present.join(values.select("value", "id"), F.lower("original") == F.col("value"))
     return (
@@ -338,9 +344,9 @@ def similar_value_groups(df: DataFrame, value: str, threshold: int = 85) -> Data
 def minhash_blocks(values: DataFrame, hashes: int = 24, per_band: int = 3, shingle: int = 5) -> DataFrame:
     """``id, block`` of texts: MinHash values over word shingles, ``hashes / per_band`` bands of them."""
     tokens = F.split(F.trim(F.regexp_replace("value", r"(?U)\W+", " ")), " ")
-    cut = values.select("id", tokens.alias("tokens"), F.size(tokens).alias("n"))
+    cut = once(values, tokens=tokens)
     shingles = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("n") - shingle + 1, F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(F.size("tokens") - shingle + 1, F.lit(1))),
         lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, shingle), " ")),
     )
     hashed = cut_lineage(cut.select("id", F.array_distinct(shingles).alias("grams")))
@@ -363,10 +369,9 @@ def near_duplicate_texts(df: DataFrame, key: str, text: str, threshold: float =
     similarity. Exact copies are one value: they are reported with the number of copies.
     """
     values = cut_lineage(_collapse(df, key, text))
-    heads, blocks = leaders(
-        values, "id", threshold, block_table=minhash_blocks(values.select("id", "value"), **blocking)
+    heads, members = leaders(
+        values, "id", threshold, block_table=minhash_blocks(values.select("id", "value"), **blocking), assign=True
     )
-    members = _members(values, "id", heads, blocks, threshold, False)
     own = heads.select("id", F.col("id").alias("leader"))
     return members.unionByName(own).join(values.select("id", "copies"), "id").filter(
         (F.col("copies") > 1) | (F.col("id") != F.col("leader"))

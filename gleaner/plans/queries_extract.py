@@ -91,9 +91,9 @@ def _(t: Tables):
     return C.filter_domains(C.extract_emails(t.documents, "doc_id", "text"), _DOMAINS, exclude=True)
 
 
-_ALL_EMAILS = f"""SELECT unnest(regexp_extract_all(text, '{_EMAIL}')) AS email FROM documents
-    UNION ALL SELECT unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_EMAIL}')) FROM pages
-    UNION ALL SELECT unnest(regexp_extract_all(text, '{_EMAIL}')) FROM conversations"""
+_ALL_EMAILS = f"""SELECT 'd' || doc_id AS id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS email FROM documents
+    UNION ALL SELECT 'p' || page_id, unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_EMAIL}')) FROM pages
+    UNION ALL SELECT 'c' || conv_id || ':' || turn, unnest(regexp_extract_all(text, '{_EMAIL}')) FROM conversations"""
 
 
 def _email_sources(t: Tables):
@@ -105,7 +105,7 @@ def _email_sources(t: Tables):
     ]
 
 
-@query("union_sources", f"SELECT lower(email) AS email, count(*) AS texts FROM ({_ALL_EMAILS}) GROUP BY 1")
+@query("union_sources", f"SELECT lower(email) AS email, count(DISTINCT id) AS texts FROM ({_ALL_EMAILS}) GROUP BY 1")
 def _(t: Tables):
     first, *rest = [s.select("email") for s in _email_sources(t)]
     for s in rest:

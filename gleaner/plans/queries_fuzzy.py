@@ -18,18 +18,18 @@ def lcs_sql(a: str, b: str) -> str:
 
 def _pairs_sql(values: str, threshold: float) -> str:
     """``a, b, va, vb, similarity`` of distinct values ``id, v`` with a < b; edit distance rules most pairs out without loss."""
-    return f"""vals AS ({values}),
+    return f"""vals AS MATERIALIZED ({values}),
     cand AS (SELECT x.id AS a, y.id AS b, x.v AS va, y.v AS vb FROM vals x JOIN vals y ON x.id < y.id
         WHERE levenshtein(x.v, y.v) <= (1 - {threshold}) * (length(x.v) + length(y.v)) + 1e-9),
     scored AS (SELECT *, 2.0::DOUBLE * {lcs_sql("va", "vb")} / (length(va) + length(vb)) AS similarity FROM cand),
-    pairs AS (SELECT * FROM scored WHERE similarity >= {threshold} - 1e-12)"""
+    pairs AS MATERIALIZED (SELECT * FROM scored WHERE similarity >= {threshold} - 1e-12)"""
 
 
 def _greedy_sql(values: str, threshold: float) -> str:
     """Adds ``kept`` (ids a greedy pass in id order keeps) and ``member`` (id, leader)."""
     return f"""{_pairs_sql(values, threshold)},
-    numbered AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM vals),
-    before AS (SELECT b AS id, list(a) AS earlier FROM pairs GROUP BY b),
+    numbered AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n FROM vals),
+    before AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM pairs GROUP BY b),
     walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ids UNION ALL
         SELECT w.n + 1, CASE WHEN len(list_intersect(w.ids, coalesce(e.earlier, []))) = 0 THEN list_append(w.ids, x.id) ELSE w.ids END
         FROM walk w JOIN numbered x ON x.n = w.n + 1 LEFT JOIN before e ON e.id = x.id),

@@ -217,21 +217,19 @@ def _(t: Tables):
     return R.common_regex(t.customer.select(v.alias("v"), F.col("c_custkey").alias("o")), "v", "o")
 
 
-_WRONG = "match LIKE '% License' OR match LIKE 'General %'"
-
-
-@query("learn_pattern", f"""
-    WITH h AS ({matches_sql("person_name")}), w AS (SELECT match FROM h WHERE {_WRONG}),
+@query("learn_pattern", """
+    WITH h AS (SELECT p_partkey, match, min(i) AS ord FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS match, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part) GROUP BY ALL),
+    w AS (SELECT match FROM h WHERE ends_with(match, 't')),
     bad AS (SELECT ch FROM (SELECT unnest(list_distinct(string_split(match, ''))) AS ch FROM w) GROUP BY ch HAVING count(*) > 1 AND count(*) / (SELECT count(*) FROM w) > 0.5),
     kept AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM bad WHERE contains(match, ch)))
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, match FROM kept""")
+    SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) - 1 AS ord, match FROM kept""")
 def _(t: Tables):
-    names = P.recognize(t.documents, "doc_id", "text", [P.DEFAULT.patterns["person_name"]])
-    wrong = names.filter(F.col("match").endswith(" License") | F.col("match").startswith("General "))
+    registry = P.Registry({}).add(P.Pattern("word", (r"\b[a-z]+\b",)))
+    wrong = P.recognize(t.part, "p_partkey", "p_name", registry.select()).filter(F.col("match").endswith("t"))
     # One row per character of an alphabet comes to the driver.
     bad = [r["char"] for r in R.character_shares(wrong, "match").filter("share > 0.5").collect()]
-    learnt = P.DEFAULT.forbid_characters("person_name", bad)
-    return P.recognize(t.documents, "doc_id", "text", [learnt.patterns["person_name"]]).select("doc_id", "ord", "match")
+    learnt = registry.forbid_characters("word", bad)
+    return P.recognize(t.part, "p_partkey", "p_name", learnt.select()).select("p_partkey", "ord", "match")
 
 
 @query("learn_missing_pattern", """
