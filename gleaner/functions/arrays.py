@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +19,32 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.explode(F.array(packed)).alias("_once")).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body mentions it.
+
+    Array functions take their arguments by expression, so a repeated argument is computed again each time;
+    a lambda variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_per_key(structs: Column) -> Column:
     """Of structs that begin with ``key, ord``, the one with the smallest ``ord`` for each key, by ``ord``.
 
     One sort puts equal keys next to each other, each is compared with its left neighbour, and a second
     sort restores the order.
     """
-    ordered = F.array_sort(structs)
-    shifted = F.concat(F.slice(ordered, 1, 0), F.array(F.lit(None)), ordered)
-    marked = F.zip_with(
-        ordered,
-        shifted,
-        lambda here, left: F.when(here.isNotNull() & (left.isNull() | (left["key"] != here["key"])), here),
-    )
-    return by_ord(F.filter(marked, lambda s: s.isNotNull()))
+
+    def first_of_runs(ordered: Column) -> Column:
+        shifted = F.concat(F.slice(ordered, 1, 0), F.array(F.lit(None)), ordered)
+        marked = F.zip_with(
+            ordered,
+            shifted,
+            lambda here, left: F.when(here.isNotNull() & (left.isNull() | (left["key"] != here["key"])), here),
+        )
+        return F.filter(marked, lambda s: s.isNotNull())
+
+    return by_ord(let(F.array_sort(structs), first_of_runs))
 
 
 def by_ord(structs: Column) -> Column:

@@ -58,13 +58,12 @@ def normalize_whitespace(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """The white-space separated words; an empty array for a blank text."""
-    flat = normalize_whitespace(c)
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.filter(F.split(normalize_whitespace(c), " "), lambda w: w != "")
 
 
 def word_count(c: Column | str) -> Column:
-    flat = normalize_whitespace(c)
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+    """Number of white-space separated words, counted in place."""
+    return F.regexp_count(_col(c), F.lit(rf"(?U)[^{WHITE}]+"))
 
 
 def replace_typographic(c: Column | str) -> Column:

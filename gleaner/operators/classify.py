@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -22,28 +24,33 @@ from pyspark.sql import types as T
 
 from gleaner.functions.features import FEATURE_FIELDS, feature_type, infer_category, mixed_features
 from gleaner.functions.text import coerce_number
+from gleaner.session import cut_lineage
 
 MAX_TERMS, MIN_DOCS, MAX_SHARE = 500, 2, 0.9
 
 
-@F.pandas_udf(T.StringType())
-def _plain_letters(texts: pd.Series) -> pd.Series:
-    """Lowercase without accents."""
+_TERM = re.compile(r"\w+")
 
-    def plain(s: str) -> str:
-        s = s.lower()
-        if s.isascii():
-            return s
-        return "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch))
 
-    return texts.map(plain, na_action="ignore")
+def _terms(text: str | None) -> list[str]:
+    """Runs of word characters, lowercase and without accents."""
+    plain = (text or "").lower()
+    if not plain.isascii():
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(ch))
+    return _TERM.findall(plain)
+
+
+@F.pandas_udf(T.StructType([
+    T.StructField("term", T.ArrayType(T.StringType())), T.StructField("tf", T.ArrayType(T.LongType()))]))
+def _counted_terms(texts: pd.Series) -> pd.DataFrame:
+    counts = [Counter(_terms(s)) for s in texts]
+    return pd.DataFrame({"term": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``. Terms are runs of word characters, lowercase and without accents."""
-    plain = df.select(F.col(key), _plain_letters(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    terms = plain.select(key, F.explode(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``key, term, tf``, counted within each text, so that tokens are not shuffled."""
+    counted = df.select(F.col(key), _counted_terms(F.coalesce(F.col(text), F.lit(""))).alias("c"))
+    return counted.select(key, F.inline(F.arrays_zip("c.term", "c.tf")))
 
 
 def vocabulary(counts: DataFrame, documents: int, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -85,22 +92,19 @@ class TextFeatures:
         idf = np.array([w for _, w in self.terms])
 
         @F.pandas_udf("array<double>")
-        def vector(tokens: pd.Series) -> pd.Series:
-            def one(terms) -> np.ndarray:
+        def vector(texts: pd.Series) -> pd.Series:
+            def one(value: str) -> np.ndarray:
                 out = np.zeros(len(idf))
-                for term in terms:
+                for term, tf in Counter(_terms(value)).items():
                     i = index.get(term)
                     if i is not None:
-                        out[i] += 1
-                hit = out > 0
-                out[hit] = (1 + np.log(out[hit])) * idf[hit]
+                        out[i] = (1 + math.log(tf)) * idf[i]
                 norm = math.sqrt(float(out @ out))
                 return out / norm if norm else out
 
-            return tokens.map(one)
+            return texts.map(one)
 
-        tokens = F.regexp_extract_all(_plain_letters(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-        return df.withColumn(output, array_to_vector(vector(tokens)))
+        return df.withColumn(output, array_to_vector(vector(F.coalesce(F.col(text), F.lit("")))))
 
 
 @dataclass
@@ -197,7 +201,8 @@ def train(df: DataFrame, key: str, category: str, fields: Sequence[str], name: s
     kinds = dict(df.dtypes)
     types = {f: feature_type(kinds[f]) for f in fields}
     texts = {f: TextFeatures.fit(labeled, key, f, max_terms) for f, kind in types.items() if kind == "text"}
-    featured = _features(labeled, types, texts).select("_label", "features")
+    # Training passes over the features many times; they are computed once.
+    featured = cut_lineage(_features(labeled, types, texts).select("_label", "features"))
     indexer = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(featured)
     categories = list(indexer.labels)
     if algorithm == "random_forest":

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.arrays import let
 from gleaner.functions.text import WHITE
 
 _BLANK = rf"(?U)\A[{WHITE}]*\z"
@@ -171,9 +172,14 @@ _MARKDOWN_RULE = rf"(?U)\A[{WHITE}]*\|[{WHITE}\-+:]+\|[{WHITE}]*\z"
 
 def _cut_empty_ends(cells: Column) -> Column:
     """Without an empty first and an empty last cell."""
-    tail = F.when(F.element_at(cells, 1) == "", F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))).otherwise(cells)
-    return F.when((F.size(tail) > 0) & (F.try_element_at(tail, F.size(tail)) == ""),
-                  F.slice(tail, 1, F.size(tail) - 1)).otherwise(tail)
+
+    def without_first(c: Column) -> Column:
+        return F.when(F.element_at(c, 1) == "", F.slice(c, 2, F.size(c))).otherwise(c)
+
+    def without_last(c: Column) -> Column:
+        return F.when(F.try_element_at(c, F.lit(-1)) == "", F.slice(c, 1, F.size(c) - 1)).otherwise(c)
+
+    return let(let(cells, without_first), without_last)
 
 
 def split_table_cells(df: DataFrame, key: str, text: str) -> DataFrame:

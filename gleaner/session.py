@@ -56,6 +56,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer partitions than there are cores.
+
+    For work that costs much per row on a few large files, such as one unsplittable row group. A table with
+    enough partitions is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str, broadcast_rows: int = 10_000) -> DataFrame:
     """A frame from driver-side settings. Its size is known, so it is broadcast only below ``broadcast_rows``."""
     from pyspark.sql import functions as F
