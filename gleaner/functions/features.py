@@ -73,10 +73,12 @@ def mixed_features(c: Column | str, is_number: bool = False, is_string: bool = T
 def numeric_features(df: DataFrame, column: str, key: str) -> DataFrame:
     """``key, value_z, log_z, integer_z``: value, log and is-integer, standardised over all rows.
 
-    Cells that are no number take the median. Two global aggregates feed the projection; rows never move.
+    Cells that are no number take the median. Global aggregates feed the projection; rows never move.
     """
+    from gleaner.operators.profile import exact_median
+
     number = df.select(key, coerce_number(column).alias("v"))
-    median = number.agg(F.percentile("v", 0.5)).scalar()
+    median = F.lit(exact_median(number, "v")).cast("double")
     raw = number.select(key, F.coalesce("v", median).alias("v")).select(
         key, "v", F.log1p(F.abs("v")).alias("l"), (F.col("v") == F.floor("v")).cast("double").alias("i")
     )

@@ -171,23 +171,26 @@ def count_by_domain(emails: DataFrame) -> DataFrame:
     )
 
 
-def filter_domains(emails: DataFrame, domains: Sequence[str], exclude: bool = False) -> DataFrame:
+def filter_domains(emails: DataFrame, domains: Sequence[str], exclude: bool = False, in_row: int = 64) -> DataFrame:
     """Keep (or drop) addresses whose domain ends with a listed one.
 
-    A domain ends with a listed one exactly if one of its suffixes is listed, so the suffixes of each
-    distinct domain meet the list in an equi-join, however long the list is.
+    Up to ``in_row`` domains are an expression. Longer lists: a domain ends with a listed one exactly if one
+    of its suffixes is listed, so the suffixes of each distinct domain meet the list in an equi-join.
     """
-    listed = small_frame(emails.sparkSession, [(d.lower(),) for d in sorted(set(domains))], "suffix string")
-    domain = email_domain("email")
+    listed = sorted({d.lower() for d in domains})
+    tagged = emails.filter(F.col("email").contains("@")).withColumn("domain", email_domain("email"))
+    if len(listed) <= in_row:
+        hit = F.lit(False)
+        for d in listed:
+            hit = hit | F.col("domain").endswith(d)
+        return tagged.filter(~hit if exclude else hit).drop("domain")
+    endings = small_frame(emails.sparkSession, [(d,) for d in listed], "suffix string")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("domain"), F.lit(1))),
         lambda i: F.substring("domain", i, F.length("domain")),
     )
-    hit = (
-        emails.select(domain.alias("domain")).distinct()
-        .select("domain", F.explode(suffixes).alias("suffix"))
-        .join(listed, "suffix", "left_semi")
-        .select("domain").distinct()
+    hits = (
+        tagged.select("domain").distinct().select("domain", F.explode(suffixes).alias("suffix"))
+        .join(endings, "suffix", "left_semi").select("domain").distinct()
     )
-    tagged = emails.filter(F.col("email").contains("@")).withColumn("domain", domain)
-    return tagged.join(hit, "domain", "left_anti" if exclude else "left_semi").drop("domain")
+    return tagged.join(hits, "domain", "left_anti" if exclude else "left_semi").drop("domain")

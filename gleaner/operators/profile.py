@@ -91,21 +91,19 @@ def column_profile(
     source = random_sample(df, sample_size, seed) if sample_size else df
     names = list(columns or df.columns)
     text = as_text(source, names).withColumn("value", F.coalesce("value", F.lit("nan")))
-    # Equal cells are recognised once.
-    cells = text.groupBy("column", "value").agg(F.count("*").alias("n"))
+    # Cells become flags where they are; only one row of counts per column and task is shuffled.
     usable = ~is_missing_text("value")
-    flags = [F.when(usable, F.size(p.matches(F.col("value"))) > 0).otherwise(False).alias(p.name) for p in chosen]
-    flagged = cells.select("column", "value", "n", *flags)
-    counted = flagged.groupBy("column").agg(
-        F.sum(F.when(F.col("value") != "", F.col("n"))).alias("filled"),
-        *[F.coalesce(F.sum(F.when(F.col(p.name), F.col("n"))), F.lit(0)).alias(p.name) for p in chosen],
+    flags = {p.name: F.when(usable, F.size(p.matches(F.col("value"))) > 0).otherwise(False) for p in chosen}
+    counted = text.withColumns(flags).groupBy("column").agg(
+        F.count_if(F.col("value") != "").alias("filled"),
+        inferred_type("value").alias("inferred_type"),
+        *[F.count_if(p.name).alias(p.name) for p in chosen],
     )
     top = F.greatest(*[F.struct(F.col(p.name).alias("n"), F.lit(-i).alias("rank"), F.lit(p.name).alias("name"))
                        for i, p in enumerate(chosen)])
     share = F.col("top.n") / F.col("filled")
     primary = (F.col("top.n") > 0) & (share >= threshold)
-    types = _weighted_type(cells)
-    profile = counted.withColumn("top", top).join(types, "column").select(
+    profile = counted.withColumn("top", top).select(
         "column",
         F.when(primary, F.col("top.name")).alias("primary_pattern"),
         F.when(primary, share).otherwise(0.0).alias("pattern_confidence"),
@@ -117,23 +115,6 @@ def column_profile(
     return profile.join(first_values(source, order, names), "column")
 
 
-def _weighted_type(cells: DataFrame) -> DataFrame:
-    """:func:`inferred_type` over distinct cells with their counts."""
-    c, n = F.col("value"), F.col("n")
-    present = ~is_missing_text(c)
-    numeric = present & c.rlike(r"\A-?\d+(?:\.\d+)?\z")
-    count = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-    kind = (
-        F.when(count(present) == 0, "unknown")
-        .when((count(numeric) / count(present) > 0.9) & (count(numeric & c.contains(".")) == 0), "integer")
-        .when(count(numeric) / count(present) > 0.9, "float")
-        .when(count(present & is_numeric_date(c)) / count(present) > 0.8, "date")
-        .when(count(present & ~F.lower(c).isin(BOOL_WORDS)) == 0, "boolean")
-        .otherwise("string")
-    )
-    return cells.groupBy("column").agg(kind.alias("inferred_type"))
-
-
 def first_values(df: DataFrame, order: str, columns: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` values of every column: one small top-n of rows, then ``column, sample_values``."""
     head = df.orderBy(order).limit(n)
@@ -150,6 +131,42 @@ def random_sample(df: DataFrame, n: int, seed: int = 0, key: str | None = None)
     return df.withColumn("_r", F.xxhash64(F.lit(seed), *basis)).orderBy("_r").limit(n).drop("_r")
 
 
+def exact_median(df: DataFrame, column: str, small: int = 50_000) -> float | None:
+    """The exact median of a numeric column, without sorting or collecting it.
+
+    Approximate percentiles (a bounded sketch) bracket the middle, one count checks the bracket, and the
+    next round looks inside it. When few values are left, they are counted per value and the middle is read
+    off. Each round shrinks the bracket a thousandfold and more, so a few scans do for any size.
+    """
+    v = F.col(column)
+    inside = df.select(v).filter(v.isNotNull())
+    total = inside.count()
+    if total == 0:
+        return None
+    low_rank, high_rank = (total - 1) // 2, total // 2
+    band, below, size = inside, 0, total
+    while size > small:
+        margin = 1 / 2000
+        ends = [max((low_rank - below) / size - margin, 0.0), min((high_rank - below) / size + margin, 1.0)]
+        lo, hi = band.agg(F.percentile_approx(v, ends, 10_000).alias("q")).first()["q"]
+        under, within = band.agg(F.count_if(v < lo), F.count_if((v >= lo) & (v <= hi))).first()
+        if lo == hi and below + under <= low_rank and high_rank < below + under + within:
+            return float(lo)
+        if within >= size or not (below + under <= low_rank and high_rank < below + under + within):
+            break
+        band, below, size = band.filter((v >= lo) & (v <= hi)), below + under, within
+    # At most ``small`` values, or a column of few distinct ones that the sketch cannot split further.
+    per_value = band.groupBy(v.alias("v")).agg(F.count("*").alias("n")).orderBy("v")
+    found, seen = [], below
+    for row in per_value.toLocalIterator():
+        seen += row["n"]
+        if low_rank < seen and not found:
+            found.append(float(row["v"]))
+        if high_rank < seen:
+            return (found[0] + float(row["v"])) / 2
+    return found[0]
+
+
 # -- cleaning recipe --------------------------------------------------------------------------------
 
 
@@ -194,8 +211,12 @@ def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median; values are counted before they meet, so the merge holds distinct values."""
-    return _fill_with(df, columns, lambda c: F.percentile(c.cast("double"), 0.5))
+    """Missing cells replaced by the exact median of their column, as doubles."""
+    filled = {}
+    for c in columns:
+        present = df.select(F.when(~_blank_cell(df, c), F.col(c)).cast("double").alias("v"))
+        filled[c] = F.when(_blank_cell(df, c), F.lit(exact_median(present, "v"))).otherwise(F.col(c).cast("double"))
+    return df.withColumns(filled)
 
 
 def fill_empty(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -67,11 +67,10 @@ def process_chunks(stream: DataFrame, order: Sequence[str], folder: str, process
     shape = "chunk bigint, chunk_size bigint, items_processed bigint, status string, error string, batch bigint"
 
     def done(before: int) -> int:
-        rows = [
-            spark.read.schema(shape).parquet(f"{folder}/progress/{n}").agg(F.sum("chunk_size")).first()[0] or 0
-            for n in range(before)
-        ]
-        return sum(rows)
+        if before == 0:
+            return 0
+        earlier = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{folder}/progress")
+        return earlier.filter(F.col("batch") < before).agg(F.sum("chunk_size")).first()[0] or 0
 
     def write(batch: DataFrame, batch_id: int) -> None:
         offset = done(batch_id)

@@ -65,8 +65,7 @@ def greedy(values, threshold, keep):
     return {i for i in range(len(values)) if i not in gone}
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.8, 0.6])
-@pytest.mark.parametrize("keep", ["first", "last", "none"])
+@pytest.mark.parametrize("threshold, keep", [(0.9, "first"), (0.6, "first"), (0.8, "last"), (0.8, "none")])
 def test_fuzzy_dedup(spark, threshold, keep):
     values = noisy_values(int(threshold * 10), 60)
     df = spark.createDataFrame(list(enumerate(values)), "id bigint, v string")
@@ -215,6 +214,30 @@ def test_index_is_a_total_order(spark):
     assert {r["k"]: r["i"] for r in got} == {k: i for i, k in enumerate(sorted(keys))}
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 999, 1000])
+def test_median(spark, n):
+    import statistics
+
+    from gleaner.operators.profile import exact_median
+
+    rng = random.Random(n)
+    values = [rng.choice([rng.random(), 0.5]) for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = statistics.median(values) if values else None
+    assert exact_median(df, "v") == want and exact_median(df, "v", small=10) == want
+
+
+def test_domain_lists_short_and_long(spark):
+    from gleaner.operators.contacts import filter_domains
+
+    emails = ["a@x.org", "b@mail.x.org", "c@y.com", "d@org", "nobody"]
+    df = spark.createDataFrame([(e,) for e in emails], "email string")
+    for in_row in (0, 64):
+        kept = {r["email"] for r in filter_domains(df, ["X.org", "com"], in_row=in_row).collect()}
+        assert kept == {"a@x.org", "b@mail.x.org", "c@y.com"}
+        assert {r["email"] for r in filter_domains(df, ["X.org", "com"], True, in_row).collect()} == {"d@org"}
+
+
 def test_next_pages_in_a_loop(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "url string, target string")
     starts = spark.createDataFrame([("a",), ("x",)], "url string")
