@@ -82,17 +82,19 @@ def extract_spans(text: Column, regex: str, needs: str | None = None) -> Column:
         hit = F.struct(item["value"].alias("value"), start.alias("start"), stop.alias("stop"))
         return F.struct(stop.alias("pos"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    gaps = F.split(text, regex, -1)
-    values = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    items = F.filter(
-        F.zip_with(values, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value"))),
-        lambda item: item["value"].isNotNull(),
-    )
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<value:string,start:int,stop:int>>").alias("hits"),
-    )
-    found = F.aggregate(items, zero, span, lambda acc: acc["hits"])
+    none = F.array().cast("array<struct<value:string,start:int,stop:int>>")
+    zero = F.struct(F.lit(0).alias("pos"), none.alias("hits"))
+
+    def located(values: Column) -> Column:
+        gaps = F.split(text, regex, -1)
+        items = F.filter(
+            F.zip_with(values, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value"))),
+            lambda item: item["value"].isNotNull(),
+        )
+        # Most texts have no match; they are not cut.
+        return F.when(F.size(values) > 0, F.aggregate(items, zero, span, lambda acc: acc["hits"]))
+
+    found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), located)
     if needs is not None:
         found = F.when(text.rlike(needs), found)
-    return F.coalesce(found, F.array().cast("array<struct<value:string,start:int,stop:int>>"))
+    return F.coalesce(found, none)

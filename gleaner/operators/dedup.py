@@ -122,12 +122,19 @@ def _verified(pairs: DataFrame, values: DataFrame, threshold: float, rounded: bo
         pairs.join(left, "a").join(right, "b")
         .filter(_length_compatible(F.length("value_a"), F.length("value_b"), _floor(threshold, rounded)))
         .filter(_letter_bound(F.col("value_a"), F.col("value_b"), _floor(threshold, rounded)))
+        # The exact test is the expensive step: it is spread by pair, so that neither a leader with many
+        # followers nor the merging of small partitions puts it into few tasks.
+        .repartition(_tasks(pairs), "a", "b")
         .withColumn("similarity", similarity("value_a", "value_b"))
     )
     score = F.rint(F.col("similarity") * 100) / 100 if rounded else F.col("similarity")
     return near.filter(at_least(score, threshold)).select("a", "b", "value_a", "value_b", "similarity")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _floor(threshold: float, rounded: bool) -> float:
     """The smallest exact similarity that can pass."""
     return threshold - 0.005 if rounded else threshold
