@@ -6,6 +6,7 @@ import json
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from gleaner.functions.features import FEATURE_FIELDS, feature_type, infer_category, mixed_features
 from gleaner.functions.text import coerce_number
-from gleaner.session import cut_lineage
+from gleaner.session import cut_lineage, ensure_checkpoint_dir
 
 MAX_TERMS, MIN_DOCS, MAX_SHARE = 500, 2, 0.9
 
@@ -215,7 +216,14 @@ def train(df: DataFrame, key: str, category: str, fields: Sequence[str], name: s
         labels = majority_labels(model.transform(featured), "prediction", "_label")
     else:
         raise ValueError(f"unsupported algorithm: {algorithm}")
-    return Classifier(name, algorithm, types, texts, model, categories, featured.count(), cluster_labels=labels)
+    return Classifier(name, algorithm, types, texts, _plain_model(model), categories, featured.count(), cluster_labels=labels)
+
+
+def _plain_model(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which would carry the session into every task."""
+    folder = f"{ensure_checkpoint_dir(SparkSession.active()).rstrip('/')}/models/{uuid.uuid4().hex}"
+    model.save(folder)
+    return PipelineModel.load(folder)
 
 
 def majority_labels(assigned: DataFrame, cluster: str, label: str) -> dict[int, str]:
