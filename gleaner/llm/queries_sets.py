@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate
-from gleaner.llm.common import table
+from gleaner.llm import decontaminate, simhash
+from gleaner.llm.common import bounded_batches, table
 from gleaner.llm.registry import query
 
 
@@ -37,3 +37,10 @@ def op3_decontaminate(spark, folder):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op6_simhash")
+def op6_simhash(spark, folder):
+    bounded_batches(spark)
+    rows = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
