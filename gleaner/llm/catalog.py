@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from gleaner.llm import queries_sets, queries_text, queries_web  # noqa: F401  (importing a module registers its queries)
+from gleaner.llm import queries_chat, queries_sets, queries_text, queries_web  # noqa: F401  (importing a module registers its queries)
 from gleaner.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, quality
+from gleaner.llm import bpe, langid, quality
 from gleaner.llm.common import bounded_batches, table
 from gleaner.llm.registry import query
 
@@ -32,6 +32,21 @@ def op1_bpe(spark, folder):
     return bpe_digests(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+
+def fold(key, parts: int):
+    """The remainder by which rows are dealt to learning and held-out parts."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))
+
+
+@query("op4_langid")
+def op4_langid(spark, folder):
+    bounded_batches(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = langid.train(docs.where(fold(F.col("doc_id"), 3) != 1))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
