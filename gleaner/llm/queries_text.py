@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, langid, quality
+from gleaner.llm import bpe, brown, langid, quality
 from gleaner.llm.common import bounded_batches, table
 from gleaner.llm.registry import query
 
@@ -79,3 +79,13 @@ def op7_quality(spark, folder):
         "doc_id", *quality.MEASURES, base_failed.alias("base_failed"), "failed_bits",
         (quality.passes(quality.BASE) & quality.passes(quality.STRICT)).alias("kept"),
     )
+
+
+@query("op8_brown")
+def op8_brown(spark, folder):
+    bounded_batches(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 10) == 0
+    model = brown.fit(docs.where(~held_out))
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return brown.score(rows, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
