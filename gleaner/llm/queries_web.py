@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import warc
+from gleaner.llm import html_extract, warc
 from gleaner.llm.common import bounded_batches, shared_folder, table
 from gleaner.llm.registry import query
 
@@ -31,3 +31,10 @@ def op2_warc(spark, folder):
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query("op9_html")
+def op9_html(spark, folder):
+    bounded_batches(spark)
+    pages = table(spark, folder, "pages").select("page_id", "url", html_extract.main_text(F.col("html")).alias("text"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
