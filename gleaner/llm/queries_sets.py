@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, simhash
+from gleaner.llm import decontaminate, simhash, substring
 from gleaner.llm.common import bounded_batches, table
 from gleaner.llm.registry import query
 
@@ -44,3 +44,18 @@ def op6_simhash(spark, folder):
     bounded_batches(spark)
     rows = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_substring", r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+    hit AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+    gone AS (SELECT r, list(p) AS ps, count(*) AS n_removed FROM hit GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(ps, x)), lambda x: w[x]) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN gone ON gone.r = d.r
+""")
+def op10_substring(spark, folder):
+    bounded_batches(spark)
+    rows = substring.cut(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
