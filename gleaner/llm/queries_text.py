@@ -12,6 +12,7 @@ from gleaner.llm.registry import query
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def bpe_digests(docs, vocabulary: str):
