@@ -30,7 +30,7 @@ def bpe_digests(docs, vocabulary: str):
 @query("op1_bpe")
 def op1_bpe(spark, folder):
     bounded_batches(spark)
-    return bpe_digests(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe_digests(table(spark, folder, "documents"), VOCABULARY)
 
 
 
