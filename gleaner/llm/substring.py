@@ -8,7 +8,7 @@ smallest hash, which equal windows have in common.
 1. The seeds of all texts are counted (in each task first). Only windows whose seed occurs twice can be repeated. Those seeds go
    into a bit filter of a capped size that is broadcast; bits set by chance cost work, not correctness.
 2. Texts stream by the filter. Neighbouring windows with one seed form a segment; segments with a repeated seed are written with their words.
-   Equal segments are collapsed, so copies of a passage, however many, are one reference.
+   Equal segments are collapsed in each task, so copies of a passage, however many, are one reference.
 3. The segments of a seed are a reference shard. A suffix automaton over them, weighted by how often each occurs, gives the
    matching statistics of each segment: which of its windows occur twice or more. Seeds too frequent for one shard (a common short
    passage) are replaced by the hash of the whole window, so shards stay small.
@@ -34,6 +34,8 @@ from gleaner.llm.common import same_row, stored, text_key
 
 #: Segments of a seed up to which it is a shard by itself; bits of a filter at least per seed and at most in all.
 SHARD, BITS_PER_SEED, MOST_BITS = 2000, 32, 1 << 28
+#: Distinct segments that a task holds before it passes them on.
+HELD = 50_000
 _MIX, _ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
@@ -113,22 +115,24 @@ def seed_counts(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame
 
 
 def segments(docs: DataFrame, key: str, text: str, window: int, gram: int, repeated: Bits, frequent: Bits) -> DataFrame:
-    """``_key, _digest, shard, segment, windows, starts, words``: a row per text and distinct segment with a repeated seed.
+    """The segments with a repeated seed, as two kinds of rows.
 
-    ``segment`` identifies its words; ``words`` is null where the same batch had them before.
+    Places, a row per text and distinct segment: ``_key, _digest, segment, starts``. References, a row per distinct segment of a
+    task: ``shard, segment, windows, n, words``, n being how often the task has met it. ``segment`` identifies shard and words.
     """
     shared = docs.sparkSession.sparkContext.broadcast((repeated, frequent))
     rows = docs.select(F.col(key).cast("string").alias("_key"), text_key(key, text)[1], F.col(text).alias("text"))
-    fields = "_key string, _digest string, shard long, segment binary, windows int, starts array<int>, words string"
+    fields = "_key string, _digest string, segment binary, starts array<int>, shard long, windows int, n long, words string"
     schema = pa.schema([
-        ("_key", pa.string()), ("_digest", pa.string()), ("shard", pa.int64()), ("segment", pa.binary()), ("windows", pa.int32()),
-        ("starts", pa.list_(pa.int32())), ("words", pa.string()),
+        ("_key", pa.string()), ("_digest", pa.string()), ("segment", pa.binary()), ("starts", pa.list_(pa.int32())), ("shard", pa.int64()),
+        ("windows", pa.int32()), ("n", pa.int64()), ("words", pa.string()),
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, frequent = shared.value
+        references: dict[bytes, dict] = {}
         for batch in batches:
-            out, known = [], set()
+            places = []
             for key_, digest, text_ in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text_)
                 hashes, seeds, begins = seeds_of(words, window, gram)
@@ -136,26 +140,26 @@ def segments(docs: DataFrame, key: str, text: str, window: int, gram: int, repea
                     continue
                 hot = frequent.has(seeds) & candidates
                 shards = np.where(hot, _rolled(hashes, window), seeds) if hot.any() else seeds
-                new = np.zeros(len(seeds), bool)
+                new = hot.copy()
                 new[begins] = True
-                at = np.flatnonzero(candidates & (new | hot))
-                ends = np.append(np.flatnonzero(new | hot), len(seeds))
-                own: dict[bytes, dict] = {}
+                at = np.flatnonzero(candidates & new)
+                ends = np.append(np.flatnonzero(new), len(seeds))
+                own: dict[bytes, list[int]] = {}
                 for i, j in zip(at.tolist(), ends[np.searchsorted(ends, at, side="right")].tolist()):
                     part = b" ".join(words[i : j + window - 1])
                     shard = int(shards[i].view(np.int64))
                     name = hashlib.md5(part + shard.to_bytes(8, "big", signed=True)).digest()
-                    if name in own:
-                        own[name]["starts"].append(i)
-                        continue
-                    own[name] = {"_key": key_, "_digest": digest, "shard": shard, "segment": name, "windows": j - i, "starts": [i],
-                                 "words": None if name in known else part.decode()}
-                    known.add(name)
-                out += own.values()
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, schema)
+                    own.setdefault(name, []).append(i)
+                    if name in references:
+                        references[name]["n"] += 1
+                    else:
+                        references[name] = {"segment": name, "shard": shard, "windows": j - i, "n": 1, "words": part.decode()}
+                places += [{"_key": key_, "_digest": digest, "segment": name, "starts": starts} for name, starts in own.items()]
+            if len(references) > HELD:
+                places += references.values()
+                references = {}
+            yield pa.RecordBatch.from_pylist(places, schema)
+        yield pa.RecordBatch.from_pylist(list(references.values()), schema)
 
     return rows.mapInArrow(cut, fields)
 
@@ -260,26 +264,26 @@ def _matched(shard: list[tuple[bytes, int, int, str]], window: int) -> Iterator[
 
 def matching(found: DataFrame, window: int) -> DataFrame:
     """``segment, runs``: the repeated windows of the distinct segments, shard by shard."""
-    distinct = found.groupBy("shard", "segment").agg(F.max("windows").alias("windows"), F.sum(F.size("starts")).alias("n"), F.max("words").alias("words"))
     fields = "segment binary, runs array<struct<begin:int,windows:int>>"
     schema = pa.schema([("segment", pa.binary()), ("runs", pa.list_(pa.struct([("begin", pa.int32()), ("windows", pa.int32())])))])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard, out = None, [], []
+        now, shard, out = None, {}, []
         for batch in batches:
             for name, own, windows, n, words in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != now:
-                    out += _matched(shard, window)
-                    now, shard = name, []
-                shard.append((own, windows, n, words))
+                    out += _matched(list(shard.values()), window)
+                    now, shard = name, {}
+                n += shard[own][2] if own in shard else 0
+                shard[own] = (own, windows, n, words)
             if out:
                 yield pa.RecordBatch.from_pylist([{"segment": s, "runs": r} for s, r in out], schema)
                 out = []
-        if shard:
-            out += _matched(shard, window)
+        out += _matched(list(shard.values()), window)
         yield pa.RecordBatch.from_pylist([{"segment": s, "runs": r} for s, r in out], schema)
 
-    return distinct.select("shard", "segment", "windows", "n", "words").repartition("shard").sortWithinPartitions("shard").mapInArrow(streamed, fields)
+    references = found.where(F.col("words").isNotNull()).select("shard", "segment", "windows", "n", "words")
+    return references.repartition("shard").sortWithinPartitions("shard").mapInArrow(streamed, fields)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, gram: int = 12) -> DataFrame:
@@ -291,7 +295,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     filters = [bit_filter(x, x.count()) for x in (counts, frequent)]
     found = stored(segments(docs, key, text, window, gram, *filters), "segments")
     runs = matching(found, window)
-    places = found.select("_key", "_digest", "segment", "starts").join(runs, "segment")
+    places = found.where(F.col("words").isNull()).select("_key", "_digest", "segment", "starts").join(runs, "segment")
     spans = F.flatten(F.transform("starts", lambda s: F.transform("runs", lambda r: F.struct((s + r["begin"]).alias("begin"), (r["windows"] + window - 1).alias("size")))))
     return places.select("_key", "_digest", spans.alias("spans")).distinct().groupBy("_key", "_digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
