@@ -3,8 +3,8 @@
 A text is the average of the embeddings of its subwords (runs of two to four bytes inside words, hashed to buckets).
 Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows
 (``max_rows``, spread over the languages); counts of languages are taken over all rows. Part of the sample calibrates: it sets the
-temperature of the softmax, and the score below which a text is rejected: midway between chance and the score that a share
-of ``reject_share`` of known texts stays below, so known texts are hardly ever rejected.
+temperature of the softmax, and the score below which a text is rejected: a third of the way from chance to the score that a
+share of ``reject_share`` of known texts stays below, so known texts are hardly ever rejected.
 
 Texts are read whole. As the average is linear, a trained model is one table of logits per bucket; scoring a text is one
 histogram of buckets times that table.
@@ -20,8 +20,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +84,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def sample(docs: DataFrame, key: str, text: str, lang: str, max_rows: int, max_languages: int) -> pd.DataFrame:
+def sample(docs: DataFrame, key: str, text: str, lang: str, max_rows: int, max_languages: int) -> pa.Table | None:
     """``lang, part, buckets, shares``: about ``max_rows`` labelled rows, the same number of each language as far as there are.
 
     Rows are drawn by a hash of their key and text against a rate from exact counts. Texts become histograms on the
@@ -94,7 +94,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, max_rows: int, max_l
     counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
     rates = {r[0]: min(1.0, max_rows / len(counts) / r[1]) for r in counts}
     if not rates:
-        return pd.DataFrame({"lang": [], "part": [], "buckets": [], "shares": []})
+        return None
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.length(text)), F.lit(1_000_003)) / 1_000_003.0
     drawn = known.where(draw < F.try_element_at(rate, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
@@ -112,26 +112,30 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, max_rows: int, max_l
                     used = np.flatnonzero(counts)
                     if len(used):
                         out["lang"].append(row["lang"])
-                        out["part"].append(int(row["draw"] * 1_000_003) % 10)
-                        out["buckets"].append(used.astype(np.int32))
+                        out["part"].append(int(row["draw"] * 1_000_003 + 0.5))
+                        out["buckets"].append(used.astype(np.int16))
                         out["shares"].append((counts[used] / counts[used].sum()).astype(np.float32))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
-    return drawn.mapInArrow(examples, "lang string, part int, buckets array<int>, shares array<float>").toPandas()
+    schema = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("buckets", pa.list_(pa.int16())), ("shares", pa.list_(pa.float32()))])
+    return drawn.mapInArrow(examples, "lang string, part int, buckets array<smallint>, shares array<float>").toArrow()
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 3000, max_languages: int = 200,
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 2000, max_languages: int = 200,
           dim: int = 16, epochs: int = 6, rate: float = 20.0, reject_share: float = 0.001) -> Model:
     """A model from at most about ``max_rows`` labelled rows."""
     rows = sample(docs, key, text, lang, max_rows, max_languages)
-    languages = sorted(set(rows["lang"]))
-    if not languages:
+    if rows is None or not rows.num_rows:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
-    rows = rows.sort_values(["part", "lang"], kind="stable")
-    label = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    xs = [(np.asarray(b), np.asarray(s)[:, None]) for b, s in zip(rows["buckets"], rows["shares"])]
-    held = (rows["part"] == 0).to_numpy()
+    rows = rows.append_column("size", pa.compute.list_value_length(rows["buckets"]))  # sorted, so that training repeats
+    rows = rows.sort_by([("part", "ascending"), ("lang", "ascending"), ("size", "ascending")]).combine_chunks()
+    languages = sorted(set(rows["lang"].to_pylist()))
+    label = np.array([languages.index(x) for x in rows["lang"].to_pylist()])
+    buckets_, shares_ = (rows[c].combine_chunks() for c in ("buckets", "shares"))
+    bounds = buckets_.offsets.to_numpy()
+    all_buckets, all_shares = buckets_.values.to_numpy(), shares_.values.to_numpy()[:, None]
+    xs = [(all_buckets[i:j], all_shares[i:j]) for i, j in zip(bounds, bounds[1:])]
+    held = rows["part"].to_numpy() % 10 == 0
     rng = np.random.default_rng(7)
     embedding = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     weight, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -155,7 +159,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     heat = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(raw / t)[np.arange(len(check)), label[check]] + 1e-12).mean())
     top = _softmax(raw / heat).max(axis=1)
     chance = 1 / len(languages)
-    return Model(languages, (logits / heat).astype(np.float32), bias / heat, (chance + float(np.quantile(top, reject_share))) / 2)
+    return Model(languages, (logits / heat).astype(np.float32), bias / heat, (2 * chance + float(np.quantile(top, reject_share))) / 3)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
