@@ -34,7 +34,7 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the pattern of pieces in the vocabulary file; others are refused.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words kept with their ids per Python worker, longer words than LONG_WORD never; beyond this the table starts anew.
-CACHED_WORDS, LONG_WORD = 400_000, 60
+CACHED_WORDS, LONG_WORD = 150_000, 60
 NONE = 1 << 40
 
 
@@ -54,7 +54,7 @@ def byte_symbols() -> list[str]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file (byte-level BPE with an end-of-word suffix, lower-cased)."""
+    """Encoder of one vocabulary file (byte-level BPE with an end-of-word suffix, lower-cased)."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
@@ -65,7 +65,6 @@ class Codec:
         self.end = model.get("end_of_word_suffix") or ""
         ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in chain(ids.items(), self.special.items())}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
         # Symbols: every byte inside a word and as a word's last; merges: (left id, right id) -> rank and id.
@@ -237,17 +236,32 @@ class Codec:
                     heapq.heappush(heap, (m[0], x, m[1], parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
+
+class Decoder:
+    """The tokens of a vocabulary file by their ids."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        if spec.get("decoder"):
+            raise ValueError("only vocabularies of the word-end kind are supported")
+        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a blank, which is what a vocabulary without a decoder gives."""
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(text: str) -> Codec:
     return Codec(text)
 
 
+@lru_cache(maxsize=1)
+def _decoder(text: str) -> Decoder:
+    return Decoder(text)
+
+
 def _shared(spark: SparkSession, vocabulary: str):
     """The file's text for all executors, which need no such file of their own; its size is that of a vocabulary."""
     with open(vocabulary, encoding="utf-8") as f:
@@ -274,9 +288,9 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(shared.value)
+        decoder = _decoder(shared.value)
         for batch in batches:
             ends, values = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
-            yield pa.array([codec.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
+            yield pa.array([decoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
     return df.withColumn(text, decoded(F.coalesce(F.col(ids), F.array().cast("array<int>"))))

@@ -30,7 +30,7 @@ def split_words(text: Column, separators: str = BLANKS) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 128) -> None:
     """Keeps Arrow batches small, as a text may have some hundred kB or more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))

@@ -35,7 +35,7 @@ from gleaner.llm.common import same_row, stored, text_key
 #: Segments of a seed up to which it is a shard by itself; bits of a filter at least per seed and at most in all.
 SHARD, BITS_PER_SEED, MOST_BITS = 2000, 32, 1 << 28
 #: Distinct segments that a task holds before it passes them on.
-HELD = 50_000
+HELD = 20_000
 _MIX, _ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
