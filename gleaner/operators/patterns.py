@@ -326,18 +326,24 @@ def feature_columns(df: DataFrame, key: str, text: str, patterns: Sequence[Patte
 
 
 def redact(text: Column | str, patterns: Sequence[Pattern], mask: str = "[redacted]") -> Column:
-    """Valid matches of the given types masked, in registry order."""
+    """Valid matches of the given types masked where they stand, in registry order; equal digits elsewhere stay."""
     out = _col(text)
     for p in patterns:
-        raw = F.array_distinct(extract_all(out, p.regexes, p.needs))
-        if p.valid is not None:
-            raw = F.filter(raw, p.valid)
-        # Longest first, so that no match is cut by a shorter one inside it.
-        longest = F.array_sort(raw, lambda a, b: F.length(b) - F.length(a))
-        out = F.aggregate(longest, out, lambda acc, m: F.replace(acc, m, F.lit(mask)))
+        valid = p.valid or (lambda match: F.lit(True))
+        for rx in p.regexes:
+            out = _masked(out, rx, valid, mask)
     return out
 
 
+def _masked(text: Column, regex: str, valid: Test, mask: str) -> Column:
+    """The texts between matches with the matches, or the mask for valid ones, put back between them."""
+    def piece(gap: Column, match: Column) -> Column:
+        kept = F.when(match.isNull(), F.lit("")).when(valid(match), F.lit(mask)).otherwise(match)
+        return F.concat(gap, kept)
+
+    return F.array_join(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), piece), "")
+
+
 def process_documents(
     df: DataFrame,
     key: str,

@@ -195,19 +195,22 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _fill_with(df: DataFrame, columns: Sequence[str], statistic) -> DataFrame:
-    """Missing cells replaced by a one-row statistic, as doubles."""
-    if not columns:
-        return df
-    present = [statistic(F.when(~_blank_cell(df, c), F.col(c))).alias(c) for c in columns]
-    stats = df.agg(F.struct(*present).alias("s")).scalar()
-    return df.withColumns(
-        {c: F.when(_blank_cell(df, c), stats[c]).otherwise(F.col(c).cast("double")) for c in columns}
-    )
-
-
 def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return _fill_with(df, numeric_columns(df) if columns is None else columns, F.avg)
+    """Missing cells replaced by the mean of their column, as doubles.
+
+    Without a list, all numeric columns are looked at, and those without gaps keep their type and every digit.
+    """
+    looked_at = list(numeric_columns(df) if columns is None else columns)
+    if not looked_at:
+        return df
+    stats = df.agg(
+        *[F.avg(F.when(~_blank_cell(df, c), F.col(c))).alias(f"mean_{i}") for i, c in enumerate(looked_at)],
+        *[F.count_if(_blank_cell(df, c)).alias(f"gaps_{i}") for i, c in enumerate(looked_at)],
+    ).first()
+    means = {c: stats[f"mean_{i}"] for i, c in enumerate(looked_at) if columns is not None or stats[f"gaps_{i}"]}
+    return df.withColumns({
+        c: F.when(_blank_cell(df, c), F.lit(m).cast("double")).otherwise(F.col(c).cast("double")) for c, m in means.items()
+    })
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:

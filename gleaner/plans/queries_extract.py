@@ -396,10 +396,12 @@ def _(t: Tables):
 
 
 @query("redact_sensitive", """
-    SELECT c_custkey, c_name || ' [redacted] and 12-3' AS redacted FROM customer""")
+    SELECT c_custkey, c_name || ' [redacted] and 12-3 and ' || printf('%09d', 100000000 + c_custkey) || '0123' AS redacted FROM customer""")
 def _(t: Tables):
     ssn = F.format_string("%03d-%02d-%04d", F.col("c_custkey") % 1000, F.col("c_nationkey"), F.col("c_custkey") % 10000)
-    text = F.concat(F.regexp_replace("c_name", "#0", "#"), F.lit(" "), ssn, F.lit(" and 12-3"))
+    # Nine digits inside a longer number are none of their own.
+    longer = F.concat(F.format_string("%09d", 100000000 + F.col("c_custkey")), F.lit("0123"))
+    text = F.concat(F.regexp_replace("c_name", "#0", "#"), F.lit(" "), ssn, F.lit(" and 12-3 and "), longer)
     masked = P.redact(text, [P.DEFAULT.patterns["ssn"]])
     # The customer number is nine digits; without its first one it is no identifier.
     return t.customer.select("c_custkey", F.regexp_replace(masked, "#", "#0").alias("redacted"))

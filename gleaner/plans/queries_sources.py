@@ -14,23 +14,29 @@ from gleaner.streaming.streams import stream_folder
 _PART = "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double"
 
 
-@query("scan_csv", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+@query("scan_csv", "SELECT p_partkey, p_name || ' é' AS p_name, p_brand, p_size, p_retailprice FROM part")
 def _(t: Tables):
-    # Semicolons are found by the dialect detection; bad lines are skipped.
+    # One folder, four delimiters and two encodings: each file is read in its own dialect.
     folder = stream_folder(t.spark)
-    rows = t.part.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
-    rows.write.option("header", True).option("sep", ";").csv(folder)
-    return S.read_csv(t.spark, f"{folder}/*.csv", schema=_PART)
+    rows = t.part.select("p_partkey", F.concat("p_name", F.lit(" é")).alias("p_name"), "p_brand", "p_size", "p_retailprice")
+    for i, (sep, encoding) in enumerate([(",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-8"), ("|", "ISO-8859-1")]):
+        part = rows.where(F.col("p_partkey") % 4 == i)
+        part.write.mode("append").option("header", True).option("sep", sep).option("encoding", encoding).csv(folder)
+    return S.read_csv(t.spark, folder, schema=_PART, pattern="*.csv")
 
 
 @query("csv_bad_lines", """
-    SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey < 20""")
+    SELECT s_suppkey, CASE WHEN s_nationkey < 20 THEN s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey % 7 <> 0""")
 def _(t: Tables):
+    # Lines with surplus fields are skipped; a cell that is no number is null and its row stays.
     folder = stream_folder(t.spark)
-    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), F.when(F.col("s_nationkey") < 20, F.col("s_nationkey").cast("string")).otherwise("not a number"))
-    t.supplier.select(line).write.text(folder)
-    reader = t.spark.read.schema("s_suppkey bigint, s_nationkey int").option("mode", "DROPMALFORMED")
-    return reader.csv(folder).select("s_suppkey", "s_nationkey")
+    nation = F.when(F.col("s_nationkey") < 20, F.col("s_nationkey").cast("string")).otherwise("not a number")
+    surplus = F.when(F.col("s_suppkey") % 7 == 0, F.lit("one more"))
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), nation, surplus)
+    lines = t.supplier.select(line.alias("value")).coalesce(1)
+    header = t.spark.range(1).select(F.lit("s_suppkey,s_nationkey").alias("value"))
+    header.union(lines).coalesce(1).write.text(folder)
+    return S.read_csv(t.spark, folder, schema="s_suppkey bigint, s_nationkey int", pattern="*.txt")
 
 
 @query("csv_dialect", """

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.functions.text import _col
 
@@ -39,32 +43,88 @@ def sniff_encoding(content: Column | str) -> Column:
     return F.when(fits, "utf-8").otherwise("latin1")
 
 
+def _heads(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path, head, first``: the first bytes of each file and its first line. Only first splits are read, no file is held whole."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", False).text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, out = None, 0, {}
+        for batch in batches:
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                now, size = name, size if name == now else 0
+                if size < SAMPLE:
+                    out[name] = out.get(name, b"") + line[:SAMPLE] + b"\n"
+                    size += len(line) + 1
+        yield pa.RecordBatch.from_pydict({"path": list(out), "head": list(out.values())}, pa.schema([("path", pa.string()), ("head", pa.binary())]))
+
+    found = rows.where("at = 0").select("path", "line").mapInArrow(first_lines, "path string, head binary")
+    return found.groupBy("path").agg(F.max("head").alias("head"))
+
+
 def csv_dialects(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """``path, encoding, delimiter`` of each file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    head = files.select("path", F.substring("content", 1, SAMPLE).alias("head"))
-    encoded = head.withColumn("encoding", sniff_encoding("head"))
+    """``path, encoding, delimiter, header`` of each file, from its head alone."""
+    head = _heads(spark, path, pattern).withColumn("encoding", sniff_encoding("head"))
     text = F.when(F.col("encoding") == "utf-8", F.col("head").cast("string")).otherwise(F.decode("head", "ISO-8859-1"))
-    return encoded.select("path", "encoding", sniff_delimiter(text).alias("delimiter"))
+    named = head.withColumn("text", F.regexp_replace(text, "^\ufeff", ""))
+    return named.select("path", "encoding", sniff_delimiter(F.substring("text", 1, SAMPLE)).alias("delimiter"), F.element_at(F.split("text", "\r?\n"), 1).alias("header"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, delimiter: str | None = None,
-             encoding: str | None = None, keep_bad_lines: bool = False) -> DataFrame:
-    """CSV with a header; malformed lines are skipped, or kept in ``_corrupt_record`` with a given schema.
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, delimiter: str | None = None, encoding: str | None = None,
+             pattern: str = "*", multi_line: bool = True) -> DataFrame:
+    """CSV files with headers, each in its own dialect.
 
-    Without a dialect, that of the first file under ``path`` is used for all of them.
+    Files are grouped by dialect and header and read group by group. Lines with more fields than the header has are skipped, unless all
+    surplus fields are empty; shorter ones are filled up with nulls. With a schema, a cell that its type cannot hold is null and the row stays;
+    columns are matched by name if the header has all names, else by place. Without one, a column becomes a number only if all its cells
+    are. Set ``multi_line`` to False for files without line ends inside quotes: they are then split.
     """
-    if delimiter is None or encoding is None:
-        first = csv_dialects(spark, path, "*").orderBy("path").limit(1).collect()
-        found = first[0] if first else {"encoding": "utf-8", "delimiter": ","}
-        delimiter, encoding = delimiter or found["delimiter"], encoding or found["encoding"]
-    reader = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", True).option("encoding", "ISO-8859-1" if encoding == "latin1" else encoding)
-    if schema is None:
-        return reader.option("inferSchema", True).option("mode", "DROPMALFORMED").csv(path)
-    if keep_bad_lines:
-        return reader.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").csv(path)
-    return reader.schema(schema).option("mode", "DROPMALFORMED").csv(path)
+    groups = (
+        csv_dialects(spark, path, pattern)
+        .select("path", F.lit(encoding).alias("e") if encoding else F.col("encoding").alias("e"), F.lit(delimiter).alias("d") if delimiter else F.col("delimiter").alias("d"), "header")
+        .groupBy("e", "d", "header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header", "d", "e").collect()
+    )
+    wanted = StructType.fromDDL(schema) if schema else None
+    frames = []
+    for g in groups:
+        names = next(csv.reader([g["header"]], delimiter=g["d"]), [])
+        frames.append(_read_group(spark, g["paths"], names, g["d"], g["e"], multi_line, wanted))
+    if not frames:
+        return spark.createDataFrame([], wanted or StructType([]))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows if wanted else _inferred(rows)
+
+
+def _read_group(spark: SparkSession, paths: list[str], names: list[str], delimiter: str, encoding: str, multi_line: bool, wanted: StructType | None) -> DataFrame:
+    """All cells as text, without the lines that have surplus fields; then in the wanted types."""
+    cells, surplus = [f"_c{i}" for i in range(len(names))], [f"_more{i}" for i in range(3)]
+    fields = ", ".join(f"{c} string" for c in [*cells, *surplus, "_line"])
+    reader = spark.read.schema(fields).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("encoding", "ISO-8859-1" if encoding == "latin1" else encoding)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("enforceSchema", True)
+    rows = reader.csv(paths).where(F.coalesce(*surplus).isNull())
+    if wanted is None:
+        return rows.select(*[F.col(c).alias(n) for c, n in zip(cells, names)])
+    by_name = set(wanted.names) <= set(names)
+    source = {f.name: names.index(f.name) if by_name else i for i, f in enumerate(wanted.fields)}
+    return rows.select(*[
+        (F.col(cells[source[f.name]]) if source[f.name] < len(cells) else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in wanted.fields
+    ])
+
+
+def _inferred(rows: DataFrame) -> DataFrame:
+    """Columns whose cells are all whole numbers as bigint, all numbers as double; one pass over the rows."""
+    fits = [
+        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kind).isNull()).alias(f"{kind}_{i}")
+        for i, c in enumerate(rows.columns) for kind in ("bigint", "double")
+    ]
+    seen = [F.count(F.col(f"`{c}`")).alias(f"seen_{i}") for i, c in enumerate(rows.columns)]
+    found = rows.agg(*fits, *seen).first()
+
+    def kind(i: int) -> str:
+        return "string" if not found[f"seen_{i}"] else next((k for k in ("bigint", "double") if not found[f"{k}_{i}"]), "string")
+
+    return rows.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(rows.columns)])
 
 
 def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
