@@ -196,7 +196,7 @@ def _features(df: DataFrame, fields: dict[str, str], texts: dict[str, TextFeatur
 
 
 def train(df: DataFrame, key: str, category: str, fields: Sequence[str], name: str, algorithm: str = "random_forest",
-          trees: int = 100, depth: int = 8, seed: int = 42, max_terms: int = MAX_TERMS) -> Classifier:
+          trees: int = 100, depth: int = 30, seed: int = 42, max_terms: int = MAX_TERMS) -> Classifier:
     """Trains on the rows that have a category. Numeric fields stay unscaled: trees do not need it."""
     labeled = df.filter(F.col(category).isNotNull()).withColumn("_label", F.col(category).cast("string"))
     kinds = dict(df.dtypes)

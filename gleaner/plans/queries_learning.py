@@ -54,7 +54,7 @@ def _labeled(t: Tables):
 
 
 def _forest(t: Tables, **options):
-    return M.train(_labeled(t), "doc_id", "category", ["text", "n_chars"], "quality", trees=20, depth=6, max_terms=200, **options)
+    return M.train(_labeled(t), "doc_id", "category", ["text", "n_chars"], "quality", **options)
 
 
 @query("train_random_forest")
@@ -84,7 +84,7 @@ def _(t: Tables):
 @query("default_classifier")
 def _(t: Tables):
     texts = t.documents.select("doc_id", "text", F.length("text").cast("double").alias("length"))
-    model = M.default_classifier(texts, "doc_id", "text", "text", trees=10, depth=5, max_terms=100)
+    model = M.default_classifier(texts, "doc_id", "text", "text")
     return model.classify(texts).groupBy("category").agg(F.count("*").alias("n"))
 
 
