@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bpe, brown, chat, decontaminate, html_extract, langid, quality, queries_text, simhash, substring, warc
+from gleaner.llm import bpe, brown, chat, decontaminate, html_extract, langid, near_copies, quality, queries_text, simhash, substring, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = " ".join(f"w{i}" for i in range(60))
@@ -168,6 +168,44 @@ def test_simhash_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_brute_force(spark, docs, empty):
+    texts = dict(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    rng = np.random.default_rng(5)
+    base = [words(texts[i]) for i in sorted(texts) if len(words(texts[i])) > 200][:40]
+    for n, own in enumerate(base):
+        for edits in (1, 3, 6):
+            copy = list(own)
+            for at in rng.integers(0, len(own), edits):
+                copy[at] = f"edit{rng.integers(1 << 40)}"
+            texts[1_000_000 + 10 * n + edits] = " ".join(copy)
+    sets = {i: set(near_copies.shingles(t)) for i, t in texts.items()}
+    holders = {}
+    for i, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = {(a, b) for own in holders.values() for a in own for b in own if a < b}
+    similar = [(a, b) for a, b in sorted(pairs) if near_copies.similarity(texts[a], texts[b]) >= 0.8]
+    for a, b in similar:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    kept = {r.doc_id for r in near_copies.one_of_each(rows).select("doc_id").collect()}
+    assert len(similar) > 100 and kept == {i for i in texts if find(i) == i}
+    left = near_copies.one_of_each(docs)  # 6 holds the passage of 5 between other words; both rows of 4 stay together
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in ROWS if r[0] != 6)
+    same = spark.createDataFrame([(2, "a b"), (1, "A b"), (None, "a b"), (3, None), (4, ""), (5, None)], "doc_id long, text string").withColumn("_gone", F.lit(1))
+    assert sorted(str(r.doc_id) for r in near_copies.one_of_each(same).collect()) == ["1", "3", "4", "5", "None"]
+    assert near_copies.one_of_each(empty).count() == 0
+
+
 def test_simhash_links_lose_none(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 40)
