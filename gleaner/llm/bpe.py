@@ -294,3 +294,20 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
             yield pa.array([decoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
 
     return df.withColumn(text, decoded(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the token ids of ``text`` and the text decoded from them, in one pass through Python instead of two."""
+    shared = _shared(df.sparkSession, vocabulary)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec, decoder = _codec(shared.value), _decoder(shared.value)
+        for batch in batches:
+            found, counts = codec.encode_batch(batch.to_pylist())
+            ends = np.cumsum([0, *counts])
+            back = pa.array([decoder.decode(found[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32())), back], ["ids", "decoded"])
+
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (ids, decoded)]
+    return df.select(*rest, both(F.col(text)).alias("_both")).select(*rest, F.col("_both.ids").alias(ids), F.col("_both.decoded").alias(decoded))

@@ -17,8 +17,7 @@ VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 
 def bpe_digests(docs, vocabulary: str):
     """Digests of the ids and of the text decoded from them."""
-    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    back = bpe.decode(coded, vocabulary)
+    back = bpe.round_trip(docs.select("doc_id", "text"), vocabulary)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
