@@ -2,9 +2,10 @@
 
 A document whose copy has several edits differs from it in more bits than anchors can cover, so this step follows the SimHash
 groups: documents that share a band of min-hashes of their shingles are compared with the smallest document of the band, by the
-exact Jaccard similarity of their shingle sets. Members that are not similar to it meet the next smallest, until no band has two
-members left, so two documents that stay and share a band have been compared. A band compares its members with one document at a
-time: rows per round are at most one per document and band, and a hot band is an aggregate and a join that splits.
+exact Jaccard similarity of their shingle sets. Members that are not similar to it meet the next smallest ones, until no band has two
+members left, so two documents that stay and share a band have been compared. The first round, which takes out the copies of hot
+groups, has one leader per band, each later one four times as many up to ``LEADERS``: rows per round are at most that many per
+document and band, and a hot band is a limit before the shuffle and a join that splits.
 
 A pair at a similarity of 0.8 shares one of the bands with a probability of 0.9994, at 0.9 of more than 0.9999999.
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import stored
@@ -29,6 +30,8 @@ from gleaner.llm.graph import components
 ROWS, BANDS = 7, 32
 #: Odd factors that order the hashes of shingles anew for every min-hash.
 FACTORS = np.random.default_rng(42).integers(0, 2**64, ROWS * BANDS, np.uint64) | np.uint64(1)
+#: Documents of a band that its others are compared with in a round, at most; and how their number grows from one.
+LEADERS, GROWTH = 64, 4
 #: Shingles that are hashed at a time, so that very long texts take bounded memory.
 STEP = 2048
 
@@ -81,11 +84,13 @@ def _similarity(a: Column, b: Column, words: int) -> Column:
 def links(docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame | None:
     """``id, leader``: documents and smaller ones that are at least ``least`` similar; None if no two share a band."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
-    members = stored(own.select("id", F.explode(_bands(F.col("body"), words)).alias("band")), "bands")
+    members = stored(own.select("id", F.explode(_bands(F.col("body"), words)).alias("band")).distinct(), "bands")
     texts = found = None
+    number = 1
     while True:
-        leaders = members.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
-        rest = stored(members.join(leaders, "band").where("id <> leader"), "candidates")
+        rank = F.row_number().over(Window.partitionBy("band").orderBy("id"))
+        leaders = members.withColumn("rank", rank).where(F.col("rank") <= number).select("band", F.col("id").alias("leader"))
+        rest = stored(members.join(leaders, "band").where("id > leader"), "candidates")
         if rest.isEmpty():
             return found
         if texts is None:
@@ -95,7 +100,11 @@ def links(docs: DataFrame, key: str, text: str, words: int, least: float) -> Dat
         both = pairs.join(texts.select(F.col("id").alias("leader"), F.col("body").alias("first")), "leader")
         similar = stored(both.where(_similarity(F.col("body"), F.col("first"), words) >= least).select("id", "leader"), "similar")
         found = similar if found is None else found.unionByName(similar)
-        members = rest.join(similar, ["id", "leader"], "left_anti").select("id", "band")
+        # Who has met all leaders of a full round and is similar to none meets the next ones.
+        met = rest.groupBy("band", "id").agg(F.count("*").alias("n")).where(F.col("n") == number)
+        linked = rest.join(similar, ["id", "leader"], "left_semi").select("band", "id")
+        members = met.select("band", "id").join(linked, ["band", "id"], "left_anti")
+        number = min(GROWTH * number, LEADERS)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
