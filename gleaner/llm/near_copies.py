@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stored
+from gleaner.llm.common import small_side, stored
 from gleaner.llm.graph import components
 
 #: Min-hashes in a band, and bands.
@@ -81,6 +81,12 @@ def _similarity(a: Column, b: Column, words: int) -> Column:
     return compared(a, b)
 
 
+def _counted(ids: DataFrame) -> DataFrame:
+    """Few ids are broadcast, so that the texts they are joined with are not shuffled; more go by a shuffle."""
+    kept = stored(ids, "ids")
+    return small_side(kept, kept.count())
+
+
 def links(docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame | None:
     """``id, leader``: documents and smaller ones that are at least ``least`` similar; None if no two share a band."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
@@ -95,7 +101,7 @@ def links(docs: DataFrame, key: str, text: str, words: int, least: float) -> Dat
             return found
         if texts is None:
             ids = rest.select("id").unionByName(rest.select(F.col("leader").alias("id"))).distinct()
-            texts = stored(own.join(ids, "id", "left_semi"), "texts")
+            texts = stored(own.join(_counted(ids), "id", "left_semi"), "texts")
         pairs = rest.select("id", "leader").distinct().join(texts, "id")
         both = pairs.join(texts.select(F.col("id").alias("leader"), F.col("body").alias("first")), "leader")
         similar = stored(both.where(_similarity(F.col("body"), F.col("first"), words) >= least).select("id", "leader"), "similar")
@@ -113,4 +119,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     if found is None:
         return docs
     gone = components(found, "leader", "id").where("node <> root").select(F.col("node").alias("_gone"))
+    gone = _counted(gone)
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
