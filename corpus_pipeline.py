@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, langid, near_copies, queries_text, simhash, substring
+from gleaner.llm import decontaminate, langid, near_copies, queries_text, substring
 from gleaner.llm.common import bounded_batches, stored, table
 
 
@@ -22,10 +22,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies: of each SimHash component, and of what remains
-    of each group linked by a similarity of five-word shingles of 0.8 or more."""
+    """Keeps one document of each group of near copies, that with the smallest id: components over links by SimHash and by a
+    similarity of five-word shingles of 0.8 or more together."""
     bounded_batches(spark)
-    return near_copies.one_of_each(stored(simhash.one_of_each(docs), "representatives"))
+    return near_copies.one_of_group(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Near copies by exact five-word similarity, for edits beyond the reach of two fingerprint bits.
 
-A document whose copy has several edits differs from it in more bits than anchors can cover, so this step follows the SimHash
-groups: documents that share a band of min-hashes of their shingles are compared with the smallest document of the band, by the
-exact Jaccard similarity of their shingle sets. Members that are not similar to it meet the next smallest ones, until no band has two
-members left, so two documents that stay and share a band have been compared. The first round, which takes out the copies of hot
-groups, has one leader per band, each later one four times as many up to ``LEADERS``: rows per round are at most that many per
-document and band, and a hot band is a limit before the shuffle and a join that splits.
+A document whose copy has several edits differs from it in more bits than anchors can cover, so documents that share a band of
+min-hashes of their shingles are compared by the exact Jaccard similarity of their shingle sets. All pairs of a band count, save
+those that are in one group anyway, and those that a pivot rules out: Jaccard distance is a metric, so two documents whose distances
+to a third differ by more than the threshold are not similar. The first rounds compare the members of each band with one of them and
+split the band into rings of that distance; a hot group of copies is one group after that, and documents far from it never meet it.
+What is left goes by leaders, 4, 16, then 64 per band and round, from the band's smallest groups, each compared with all members of
+other groups. A band is done when the members that have not led are of one group, so groups do not depend on the order of ids.
 
 A pair at a similarity of 0.8 shares one of the bands with a probability of 0.9994, at 0.9 of more than 0.9999999.
 
-Results for odd input: texts without words and rows with a null key are kept; texts of fewer words than a shingle have the whole
-sequence as their shingle; rows that share a key stay or go together; an empty table stays empty; other columns are carried along.
+Results for odd input: texts without words are linked to none; texts of fewer words than a shingle have the whole sequence as their
+shingle; an empty table stays empty; other columns are carried along. ``one_of_each`` keeps rows with a null key, and rows that share a
+key stay or go together; ``one_of_group`` keeps one row of each group whatever its key.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from gleaner.llm.common import small_side, stored
+from gleaner.llm import simhash
+from gleaner.llm.common import BROADCAST_ROWS, small_side, stored
 from gleaner.llm.graph import components
 
 #: Min-hashes in a band, and bands.
 ROWS, BANDS = 7, 32
 #: Odd factors that order the hashes of shingles anew for every min-hash.
 FACTORS = np.random.default_rng(42).integers(0, 2**64, ROWS * BANDS, np.uint64) | np.uint64(1)
-#: Documents of a band that its others are compared with in a round, at most; and how their number grows from one.
-LEADERS, GROWTH = 64, 4
+#: Rounds that split bands by the distance to a pivot; then documents of a band that its others are compared with in a round, at
+#: most, and how their number grows from one.
+SPLITS, LEADERS, GROWTH = 3, 64, 4
 #: Shingles that are hashed at a time, so that very long texts take bounded memory.
 STEP = 2048
 
@@ -87,37 +92,108 @@ def _counted(ids: DataFrame) -> DataFrame:
     return small_side(kept, kept.count())
 
 
-def links(docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame | None:
-    """``id, leader``: documents and smaller ones that are at least ``least`` similar; None if no two share a band."""
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("body"))
-    members = stored(own.select("id", F.explode(_bands(F.col("body"), words)).alias("band")).distinct(), "bands")
-    texts = found = None
-    number = 1
+def _open(members: DataFrame) -> DataFrame:
+    """Members of bands that hold more than one group."""
+    many = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    return stored(members.join(many, "band", "left_semi"), "open")
+
+
+def _leaders(members: DataFrame, number: int) -> DataFrame:
+    """``band, leader, leader_root``: up to ``number`` members of each band, those of its smallest groups first."""
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("size", "id"))
+    ranked = members.join(sizes, ["band", "root"]).withColumn("rank", rank).where(F.col("rank") <= number)
+    return ranked.select("band", F.col("id").alias("leader"), F.col("root").alias("leader_root"))
+
+
+def links(texts: DataFrame, words: int, least: float) -> DataFrame | None:
+    """``a, b``: links of groups, by documents that share a band and are at least ``least`` similar; None if there are none.
+
+    ``texts`` has ``id, root, body, bands``; ``root`` is the group a document is in already, and the links join groups.
+    """
+    width = 1 - least + 1e-9
+    members = texts.select("id", "root", F.explode("bands").alias("band")).distinct()
+    bodies = found = None
+    turn, number = 0, GROWTH
     while True:
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        leaders = members.withColumn("rank", rank).where(F.col("rank") <= number).select("band", F.col("id").alias("leader"))
-        rest = stored(members.join(leaders, "band").where("id > leader"), "candidates")
-        if rest.isEmpty():
+        members = _open(members)
+        if members.isEmpty():
             return found
-        if texts is None:
-            ids = rest.select("id").unionByName(rest.select(F.col("leader").alias("id"))).distinct()
-            texts = stored(own.join(_counted(ids), "id", "left_semi"), "texts")
-        pairs = rest.select("id", "leader").distinct().join(texts, "id")
-        both = pairs.join(texts.select(F.col("id").alias("leader"), F.col("body").alias("first")), "leader")
-        similar = stored(both.where(_similarity(F.col("body"), F.col("first"), words) >= least).select("id", "leader"), "similar")
-        found = similar if found is None else found.unionByName(similar)
-        # Who has met all leaders of a full round and is similar to none meets the next ones.
-        met = rest.groupBy("band", "id").agg(F.count("*").alias("n")).where(F.col("n") == number)
-        linked = rest.join(similar, ["id", "leader"], "left_semi").select("band", "id")
-        members = met.select("band", "id").join(linked, ["band", "id"], "left_anti")
-        number = min(GROWTH * number, LEADERS)
+        if bodies is None:
+            bodies = stored(texts.select("id", "body").join(_counted(members.select("id").distinct()), "id", "left_semi"), "texts")
+        if turn < SPLITS:
+            pivots = members.groupBy("band").agg(F.min(F.struct("id", "root")).alias("p"))
+            leaders = pivots.select("band", F.col("p.id").alias("leader"), F.col("p.root").alias("leader_root"))
+            rest = members.join(leaders, "band").where("id <> leader")
+        else:
+            leaders = stored(_leaders(members, number), "leaders")
+            rest = members.join(leaders, "band").where("root <> leader_root")
+            number = min(GROWTH * number, LEADERS)
+        rest = stored(rest, "candidates")
+        pairs = rest.select("id", "root", "leader", "leader_root").distinct().join(bodies, "id")
+        both = pairs.join(bodies.select(F.col("id").alias("leader"), F.col("body").alias("first")), "leader")
+        compared = stored(both.select("id", "root", "leader", "leader_root", _similarity(F.col("body"), F.col("first"), words).alias("s")), "compared")
+        new = compared.where((F.col("s") >= least) & (F.col("root") != F.col("leader_root"))).select(F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
+        if turn < SPLITS:
+            ring = F.floor((1 - F.col("s")) / width)
+            split = rest.join(compared.select("id", "leader", ring.alias("ring")).distinct(), ["id", "leader"])
+            # Distances that differ by a ring's width at most are in one ring or in neighbours, so each document is in its own and the one before.
+            rings = F.explode(F.when(F.col("ring") > 0, F.array(F.col("ring"), F.col("ring") - 1)).otherwise(F.array("ring")))
+            members = split.select("id", "root", "band", rings.alias("ring")).select("id", "root", F.xxhash64("band", "ring").alias("band")).distinct()
+        else:
+            members = members.join(leaders.select("band", F.col("leader").alias("id")), ["band", "id"], "left_anti")
+        new = stored(new, "new")
+        if not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            members = _regrouped(members, _roots(new))
+        turn += 1
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """Components as ``node, root``; few links, of a counted number, are joined in the driver, as each step of stars costs many jobs."""
+    if edges.count() > BROADCAST_ROWS:
+        return components(edges)
+    root = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in edges.select("a", "b").collect():
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    kind = edges.schema["a"].dataType
+    return edges.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], StructType([StructField("node", kind), StructField("root", kind)]))
+
+
+def _regrouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the new ``root`` of those whose root got one."""
+    moved = _counted(roots.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_new")))
+    return rows.join(moved, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without those that are linked, over any number of links, to one with a smaller key."""
-    found = links(docs, key, text, words, least)
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(key).alias("root"), F.col(text).alias("body")).distinct()
+    found = links(stored(own.withColumn("bands", _bands(F.col("body"), words)), "bands"), words, least)
     if found is None:
         return docs
-    gone = components(found, "leader", "id").where("node <> root").select(F.col("node").alias("_gone"))
+    gone = _roots(stored(found, "links")).where("node <> root").select(F.col("node").alias("_gone"))
     gone = _counted(gone)
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+
+
+def one_of_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component over SimHash and five-word links of all distinct texts together.
+
+    The row is that with the smallest key, then the smallest digest of its text; null keys come last. Texts of one fingerprint
+    are linked, so the nodes are fingerprints.
+    """
+    texts = simhash.distinct_texts(docs, key, text, lambda body: {"bands": _bands(body, words)})
+    prints = simhash.links(texts.select("fp").distinct())
+    own = texts.select(F.col("_id").alias("id"), F.col("fp").alias("root"), F.col(f"_row.`{text}`").alias("body"), "bands")
+    near = stored(prints, "prints")
+    found = links(_regrouped(own, components(near)), words, least)
+    roots = components(near if found is None else near.unionByName(found))
+    return simhash.one_per_root(texts, roots, docs.columns)

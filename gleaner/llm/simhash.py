@@ -15,7 +15,7 @@ rows only has a null id; an empty table gives no rows; other columns are not loo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stored
+from gleaner.llm.common import small_side, stored
 from gleaner.llm.graph import components
 
 #: Length of the code; radius of the ball that is replicated to.
@@ -94,6 +94,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(of_print, rows["fp"] == F.col("_fp")).select(key, "fp", "component_id")
 
 
+def distinct_texts(docs: DataFrame, key: str, text: str, more: Callable[[Column], dict[str, Column]] = lambda body: {}) -> DataFrame:
+    """A row per distinct text: ``_id``, the row with the smallest key as ``_row``, ``_first`` to order by, ``fp``, and ``more`` of the text."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("_digest")
+    # Null keys come last.
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("_least")
+    rows = docs.select(digest, row).groupBy("_digest").agg(F.min("_least").alias("_least"))
+    body = F.col(f"_least.row.`{text}`")
+    first = F.struct("_least.none", "_least.key", "_digest").alias("_first")
+    out = rows.select(F.monotonically_increasing_id().alias("_id"), F.col("_least.row").alias("_row"), first, fingerprints(body).alias("fp"))
+    return stored(out.withColumns(more(F.col(f"_row.`{text}`"))), "distinct")
+
+
+def one_per_root(texts: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """The first row of each component, by key and digest of the text; ``roots`` of the fingerprints that have links."""
+    own = texts.select("_id", "_first", "fp")
+    of_root = own.join(roots, own["fp"] == roots["node"], "left").select("_id", "_first", F.coalesce("root", "fp").alias("root"))
+    grouped = stored(of_root, "roots")
+    kept = grouped.groupBy("root").agg(F.min(F.struct("_first", "_id")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    gone = stored(grouped.join(kept, "root").where("_id <> kept._id").select("_id"), "gone")
+    left = texts.join(small_side(gone, gone.count()), "_id", "left_anti")
+    return left.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group, that with the smallest key; of rows that share it, the one with the smallest text."""
     kept = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()

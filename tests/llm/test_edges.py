@@ -206,6 +206,32 @@ def test_near_copies_brute_force(spark, docs, empty):
     assert near_copies.one_of_each(empty).count() == 0
 
 
+def edited(own, edits, name):
+    """The words with one in ``len(own) // edits`` replaced, at other places for each name."""
+    copy, gap = list(own), len(own) // edits
+    for i in range(edits):
+        copy[i * gap + name % gap] = f"edit{name}x{i}"
+    return " ".join(copy)
+
+
+@pytest.mark.parametrize("place", ["first", "middle", "last"])
+def test_near_copies_of_one_original(spark, place):
+    """Copies that resemble the original, but not each other, go wherever its id lies; so do chains of copies of copies."""
+    own = [f"v{i}" for i in range(300)]
+    copies = [edited(own, 6, n) for n in range(40)]
+    at = {"first": 0, "middle": 20, "last": 40}[place]
+    texts = copies[:at] + [" ".join(own)] + copies[at:]
+    assert near_copies.similarity(copies[0], " ".join(own)) >= 0.8 > near_copies.similarity(copies[0], copies[20])
+    chain = [[f"u{i}" for i in range(300)]]
+    for n in range(8):
+        chain.append(edited(chain[-1], 6, 7 * n).split())
+    order = [3, 7, 1, 5, 0, 8, 4, 2, 6]
+    rows = list(enumerate(texts)) + [(100 + i, " ".join(chain[n])) for i, n in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [0, 100]
+    assert sorted(r.doc_id for r in near_copies.one_of_group(docs).collect()) == [0, 100]
+
+
 def test_simhash_links_lose_none(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 40)
