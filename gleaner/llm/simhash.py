@@ -118,11 +118,6 @@ def one_per_root(texts: DataFrame, roots: DataFrame, columns: list[str]) -> Data
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that with the smallest key; of rows that share it, the one with the smallest text."""
-    kept = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    # Never null, so that the join and the aggregation after it share one shuffle of the texts.
-    plain = lambda k: [F.coalesce(F.col(k).cast("string"), F.lit("")).alias("_plain"), F.col(k).isNull().alias("_none")]
-    row = F.struct(text, *[c for c in docs.columns if c not in (key, text)], key).alias("_row")
-    rows = docs.select(row, *plain(key)).join(kept.select(*plain("_key")), ["_plain", "_none"], "left_semi")
-    first = rows.groupBy("_plain", "_none").agg(F.min("_row").alias("_row"))
-    return first.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """``docs`` with one row of each component, whatever its key: the smallest key, then the smallest digest of the text."""
+    texts = distinct_texts(docs, key, text)
+    return one_per_root(texts, components(links(texts.select("fp").distinct())), docs.columns)

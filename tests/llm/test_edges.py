@@ -331,3 +331,14 @@ def test_pipeline_edges(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, rows, "/root/testdata/sf0.001").columns == rows.columns
         assert stage(spark, rows.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_pipeline_keeps_one_of_each_group_without_ids(spark):
+    """Null and repeated ids on different texts: every group keeps one row, a unique text is never lost to a copy."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(None, one), (None, two), (None, two), (3, three), (7, "z unlike all " + one[::-1]), (7, three), (None, three), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([("None", one), ("None", two), ("3", three), ("7", rows[4][1]), ("8", None)], key=str)
+    assert sorted([(str(r.doc_id), r.text) for r in simhash.one_of_each(docs).collect()], key=str) == want
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted([(str(r.doc_id), r.text) for r in stage(spark, docs, "").collect()], key=str) == want
