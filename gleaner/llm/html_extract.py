@@ -2,7 +2,8 @@
 
 One pass over the markup gives a light tree and its blocks of text. Elements that never hold the article (menus, page headers,
 footers, sidebars, forms, scripts, notices, adverts, reader comments; by tag, role, class or id) are left out with all
-they hold. Every paragraph passes points for its length and its commas to its ancestors, less to farther ones; an element's
+they hold. Words in a class or id are a hint only: an element they mark stays if it holds a main or, outside other articles, an
+article, or on a page without either more than half of the prose; and all stay if hardly anything else is left. Every paragraph passes points for its length and its commas to its ancestors, less to farther ones; an element's
 points are discounted by the share of its text that is in links. The element with the most points and those siblings that come near it
 are kept; an article element around it is kept whole. Blocks follow in page order.
 
@@ -51,6 +52,14 @@ PARAGRAPHS = set("p pre td li blockquote dd".split())
 SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 
 
+def _marked(name: str, rest: str) -> bool:
+    """Whether a word in the class or id marks an element as not the article."""
+    if not rest.strip(" /\n\t") or name in ("html", "body"):
+        return False
+    values = (m[2] or m[3] or m[4] or "" for m in _MARKS.finditer(rest) if m[1].lower() in ("class", "id"))
+    return any(w.lower() in DROPPED_WORDS for value in values for w in _SPLIT.split(value) if w)
+
+
 def _not_article(name: str, rest: str, in_article: bool) -> bool:
     if name in DROPPED_TAGS or (name == "header" and not in_article):
         return True
@@ -64,8 +73,6 @@ def _not_article(name: str, rest: str, in_article: bool) -> bool:
             return True
         if kind == "role" and value.lower() in DROPPED_ROLES:
             return True
-        if kind in ("class", "id") and name not in ("article", "main") and any(w.lower() in DROPPED_WORDS for w in _SPLIT.split(value) if w):
-            return True
     return False
 
 
@@ -74,6 +81,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.names, self.parents, self.dropped, self.marks = ["#root"], [-1], [False], [""]
+        self.hints, self._apart = [False], [False]
         self.owners: list[int] = []
         self.texts: list[str] = []
         self.linked: list[int] = []
@@ -130,15 +138,19 @@ class Tree:
                     self._close(other)
         parent = self._stack[-1]
         drop = self.dropped[parent] or _not_article(name, rest, "article" in (self.names[i] for i in self._stack[-8:]))
-        if inline and drop and not self.dropped[parent]:
+        hint = not drop and _marked(name, rest)
+        apart = hint and name not in ("article", "main") or drop and not self.dropped[parent]
+        if inline and apart:
             self._flush()
         self.names.append(name)
         self.parents.append(parent)
         self.dropped.append(drop)
+        self.hints.append(hint)
+        self._apart.append(apart)
         self.marks.append(rest)
         self._stack.append(len(self.names) - 1)
         self._in_link += name == "a"
-        if not inline or drop:
+        if not inline or apart:
             self._block = self._stack[-1]
 
     def _open_until(self, scope: set[str]) -> Iterator[str]:
@@ -159,16 +171,45 @@ class Tree:
         else:
             return
         ended = self._stack[depth:]
-        if any(self.names[i] not in INLINE or self.dropped[i] != self.dropped[self._stack[depth - 1]] for i in ended):
+        if any(self.names[i] not in INLINE or self._apart[i] for i in ended):
             self._flush()
         self._in_link -= sum(self.names[i] == "a" for i in ended)
         del self._stack[depth:]
         block = self._stack[-1]
-        while self.names[block] in INLINE and not self.dropped[block]:
+        while self.names[block] in INLINE and not self._apart[block]:
             block = self.parents[block]
         self._block = block
 
+    def _leave_out(self) -> None:
+        """Takes out the blocks of elements that are marked by class or id, unless they are wrappers of the article."""
+        n = len(self.names)
+        if not any(self.hints):
+            return
+        prose, articles, mains, within = [0] * n, [False] * n, [False] * n, [False] * n
+        for owner, text, links in zip(self.owners, self.texts, self.linked):
+            prose[owner] += len(text) - links
+        for i in range(1, n):
+            whole = self.names[i] in ("article", "main")
+            within[i] = within[self.parents[i]] or self.names[self.parents[i]] == "article"
+            articles[i] = whole and not self.dropped[i] and not self.hints[i]
+            mains[i] = self.names[i] == "main" and not self.dropped[i]
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            prose[p] += prose[i]
+            articles[p] |= articles[i] and prose[i] > 0
+            mains[p] |= mains[i] and prose[i] > 0
+        out, shown = [False] * n, False
+        for i in range(1, n):
+            wrapper = mains[i] or articles[i] and not within[i] or not articles[0] and 2 * prose[i] > prose[0]
+            out[i] = out[self.parents[i]] or self.hints[i] and self.names[i] not in ("article", "main") and not wrapper
+            shown |= not out[i] and self.names[i] in ("article", "main") and prose[i] > 0
+        kept = [k for k, owner in enumerate(self.owners) if not out[owner]]
+        left = sum(len(self.texts[k]) - self.linked[k] for k in kept)
+        if shown or left and 10 * left >= prose[0]:
+            self.owners, self.texts, self.linked = ([x[k] for k in kept] for x in (self.owners, self.texts, self.linked))
+
     def main_text(self) -> str:
+        self._leave_out()
         n = len(self.names)
         points, chars, linked, last = [0.0] * n, [0] * n, [0] * n, list(range(n))
         for owner, text, links in zip(self.owners, self.texts, self.linked):
@@ -205,7 +246,8 @@ class Tree:
                 if i != top and self.parents[i] == self.parents[top] and self._near(i, top, score, density, chars):
                     kept.append(i)
         ranges = [(i, last[i]) for i in kept]
-        menus = [(i, last[i]) for i in range(n) if self.names[i] in ("ul", "ol") and density[i] > 0.7]
+        whole = self.names[around] in ("article", "main")
+        menus = [] if whole else [(i, last[i]) for i in range(n) if self.names[i] in ("ul", "ol") and density[i] > 0.7]
         inside = lambda x, spans: any(a <= x <= b for a, b in spans)
         return "\n\n".join(t for o, t in zip(self.owners, self.texts) if inside(o, ranges) and not (menus and inside(o, menus)))
 

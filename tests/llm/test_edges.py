@@ -283,6 +283,23 @@ def test_html():
     assert len(html_extract.extract("<p>" + "long word, " * 50_000 + "</p>")) > 500_000
 
 
+def test_html_wrappers_and_sources():
+    """A word in the class of a wrapper does not take the page; sources stay in an article, comments and related articles go."""
+    prose = "<p>Some long first paragraph, with commas, and more words.</p><p>A second one, which goes on, and ends.</p>"
+    want = "Some long first paragraph, with commas, and more words.\n\nA second one, which goes on, and ends."
+    for wrapper in ("class='layout has-sidebar'", "id='page' class='no-sidebar'", "class='post social-enabled'"):
+        for inner in ("article", "main", "div"):
+            page = f"<body><div {wrapper}><{inner}>{prose}</{inner}><div class=sidebar><p>Other, short.</p></div></div></body>"
+            assert html_extract.extract(page) == want, page
+    comments = "<div id=comments>" + "<article class=comment><p>" + "Long, long, comment. " * 40 + "</p></article>" * 1 + "</div>"
+    related = "<div class=related><article><p>Another, story.</p></article></div>"
+    assert html_extract.extract(f"<body><article>{prose}{related}</article>{comments}</body>") == want
+    sources = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    menu = "<ul class=menu><li><a href=/3>Start</a></li></ul>"
+    assert html_extract.extract(f"<article>{prose}{sources}{menu}</article>") == want + "\n\nFirst source\n\nSecond source"
+    assert html_extract.extract("<div class=notice><p>All there is.</p></div>") == "All there is."
+
+
 def brute_removed(texts, window=35):
     own = [words(t) for t in texts]
     seen = {}
