@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import split_words
 
 SYMBOLS, BLANK_CHARS = "#*$%&|<>", " \t\n\x0b\x0c\r"
+#: Words from which positions do not fit into the 20 bits below a hash.
+LONGS = 1 << 20
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -60,9 +62,10 @@ STRICT = Policy("2", tuple(r.name for r in RULES))
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the measurements of ``text``.
 
-    Words of repeated runs: every run of three words becomes one long, the high bits of its hash above its position
-    (20 bits, or 31 in texts of more than a million words). Sorted as longs, equal runs are neighbours; the words of neighbours
-    with equal hash bits are compared, so chance collisions add nothing.
+    Words of repeated runs: in texts of under a million words, every run of three becomes one long, 44 bits of its hash above its
+    position. Sorted as longs, equal runs are neighbours; the words of neighbours with equal hash bits are compared. Where two
+    neighbours have equal bits and other words, and in longer texts, the words themselves are sorted along with the hash, so
+    that chance collisions neither add nor hide a run.
     """
     own = F.coalesce(F.col(text), F.lit(""))
     rows = df.withColumn("_text", own).withColumn("_words", split_words(F.col("_text")))
@@ -71,25 +74,31 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.translate("_text", BLANK_CHARS, "")).cast("long"),
         "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
         "_lines": F.filter(F.split("_text", "\n"), lambda line: F.length(F.translate(line, BLANK_CHARS, "")) > 0),
-        "_bits": F.when(F.size("_words") < (1 << 20), F.lit(20)).otherwise(F.lit(31)),
     })
     rows = rows.withColumns({
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_runs": F.expr("""CASE WHEN n_words < 3 THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(
+        "_runs": F.expr(f"""CASE WHEN n_words < 3 OR n_words >= {LONGS} THEN CAST(array() AS array<bigint>) ELSE sort_array(transform(
             sequence(0, size(_words) - 3),
-            i -> shiftleft(shiftright(xxhash64(slice(_words, i + 1, 3)), _bits), _bits) | CAST(i AS bigint))) END"""),
+            i -> shiftleft(shiftright(xxhash64(slice(_words, i + 1, 3)), 20), 20) | CAST(i AS bigint))) END"""),
     })
-    place = "CAST({r} & (shiftleft(1L, _bits) - 1) AS int)"
-    same = f"""(shiftright({{r}}, _bits) = shiftright(r, _bits)
-        AND slice(_words, {place} + 1, 3) = slice(_words, {place.format(r="r")} + 1, 3))"""
-    rows = rows.withColumn("_at", F.expr(f"""sort_array(transform(
-        filter(_runs, (r, i) -> (i > 0 AND {same.format(r="get(_runs, i - 1)")})
-                             OR (i + 1 < size(_runs) AND {same.format(r="get(_runs, i + 1)")})),
-        r -> {place.format(r="r")}))"""))
+    place = "CAST({r} & 1048575 AS int)"
+    bits = "shiftright({r}, 20) = shiftright(r, 20)"
+    words = f"slice(_words, {place} + 1, 3) = slice(_words, {place.format(r='r')} + 1, 3)"
+    same = f"({bits} AND {words})"
+    before, after = "get(_runs, i - 1)", "get(_runs, i + 1)"
+    rows = rows.withColumn("_clash", F.expr(f"""n_words >= {LONGS} OR exists(
+        filter(_runs, (r, i) -> i > 0 AND {bits.format(r=before)} AND NOT {words.format(r=before)}), r -> true)"""))
+    rows = rows.withColumn("_whole", F.expr("""CASE WHEN _clash THEN sort_array(transform(sequence(0, size(_words) - 3),
+        i -> struct(xxhash64(slice(_words, i + 1, 3)) AS hash, slice(_words, i + 1, 3) AS run, i AS at))) END"""))
+    rows = rows.withColumn("_at", F.expr(f"""CASE WHEN _clash THEN sort_array(transform(
+        filter(_whole, (r, i) -> (i > 0 AND get(_whole, i - 1).run = r.run) OR (i + 1 < size(_whole) AND get(_whole, i + 1).run = r.run)),
+        r -> r.at)) ELSE sort_array(transform(
+        filter(_runs, (r, i) -> (i > 0 AND {same.format(r=before)}) OR (i + 1 < size(_runs) AND {same.format(r=after)})),
+        r -> {place.format(r="r")})) END"""))
     rows = rows.withColumn("n_repeat_words", F.expr("""
         aggregate(transform(_at, (p, i) -> least(3, coalesce(get(_at, i + 1) - p, 3))), 0L, (n, x) -> n + x)"""))
-    return rows.drop("_text", "_words", "_lines", "_bits", "_runs", "_at")
+    return rows.drop("_text", "_words", "_lines", "_runs", "_clash", "_whole", "_at")
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:

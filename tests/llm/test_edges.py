@@ -249,6 +249,21 @@ def test_quality(spark, docs, empty):
     assert quality.ledger(empty).count() == 0
 
 
+def brute_repeats(own):
+    seen = {}
+    for i in range(len(own) - 2):
+        seen.setdefault(tuple(own[i : i + 3]), []).append(i)
+    return len({p for places in seen.values() if len(places) > 1 for i in places for p in (i, i + 1, i + 2)})
+
+
+def test_quality_of_a_million_words(spark):
+    """Colliding hash bits between two equal runs do not hide them."""
+    rng = np.random.default_rng(4)
+    own = [f"w{i}" for i in rng.integers(0, 140, 1_200_000)]
+    row = quality.measured(spark.createDataFrame([(" ".join(own),)], "text string")).first()
+    assert row.n_words == len(own) and row.n_repeat_words == brute_repeats(own)
+
+
 def test_brown(spark, docs, empty):
     model = brown.fit(docs)
     rows = brown.score(docs, model).collect()
