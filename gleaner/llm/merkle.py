@@ -33,6 +33,8 @@ from gleaner.operators.jobs import with_index
 FANOUT = 3
 #: Leaves that share a copy of a node.
 SHARE = 729
+#: Nodes to a file.
+FILE = 10_000
 #: The number of the tree over the subroots.
 TOP = -1
 
@@ -64,8 +66,11 @@ def leaves(docs: DataFrame, hashed: Sequence[str], key: str, source: str, altere
     )
 
 
-def _runs(level: DataFrame, depth: int) -> DataFrame:
-    """The next level: ``tree, place, size, hash, below`` and the nodes of each run as ``kids``; trees of one node have none."""
+def _runs(level: DataFrame, depth: int, nodes: int) -> DataFrame:
+    """The next level: ``tree, place, size, hash, below`` and the nodes of each run as ``kids``; trees of one node have none.
+
+    ``nodes`` is about how many there are; levels of few nodes go to few files.
+    """
     own = F.struct("place", "hash", "below", *[c for c in ("number", "key", "altered", "stretch") if c in level.columns])
     runs = level.where("size > 1").groupBy("tree", F.expr(f"place div {FANOUT}").alias("place")).agg(
         F.min("size").alias("size"), F.sum("below").alias("below"), F.array_sort(F.collect_list(own)).alias("kids"),
@@ -73,7 +78,7 @@ def _runs(level: DataFrame, depth: int) -> DataFrame:
     return stored(runs.select(
         "tree", "place", F.expr(f"(size + {FANOUT - 1}) div {FANOUT}").alias("size"), "below",
         F.sha2(F.array_join(F.transform("kids", lambda kid: kid["hash"]), ""), 256).alias("hash"), "kids",
-    ), f"level-{depth}")
+    ).coalesce(1 + nodes // FILE), f"level-{depth}")
 
 
 def _linked(runs: DataFrame, depth: int) -> DataFrame:
@@ -98,10 +103,11 @@ def _copies(below: str) -> Column:
 def _forest(bottom: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The levels of all trees over ``bottom`` from below, and the last node of each tree: ``tree, hash, below``."""
     kept = ["tree", "place", "size", "hash", "below"]
-    largest = bottom.agg(F.max("size")).first()[0] or 0
+    largest, n = bottom.agg(F.coalesce(F.max("size"), F.lit(0)), F.count("*")).first()
     runs, tops, level = [], [bottom.where("size = 1").select("tree", "hash", "below")], bottom
     while largest > 1:
-        runs.append(_runs(level, len(runs)))
+        n = -(-n // FANOUT)
+        runs.append(_runs(level, len(runs), n))
         level = runs[-1].select(*kept)
         tops.append(level.where("size = 1").select("tree", "hash", "below"))
         largest = -(-largest // FANOUT)
@@ -121,7 +127,7 @@ def _without_row_limit(spark: SparkSession):
 
 
 def climb(start: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
-    """Every step of every leaf: ``number, step, folded, siblings``; the last step holds the root that the leaf proves.
+    """Per leaf: ``number``, all its ``siblings`` from below, and ``folded``, the root that it proves.
 
     ``start`` has ``number``, the node ``tree, level, place, copy`` a leaf is at, what it carries as ``folded`` and the ``siblings`` so far.
     """
@@ -138,12 +144,18 @@ def climb(start: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
                        unhex(sha2(concat(lower(hex(n.left)), lower(hex(c.folded)), lower(hex(n.right))), 256)), concat(n.left, n.right)
                 FROM climb c JOIN {names[1]} n ON c.tree = n.tree AND c.level = n.level AND c.place = n.place AND c.copy = n.copy
             ) SELECT number, step, folded, siblings FROM climb""")
-        out = stored(steps, "climb")
+        out = stored(_way(steps), "climb")
     for name in names:
         spark.catalog.dropTempView(name)
     return out
 
 
+def _way(steps: DataFrame) -> DataFrame:
+    """The steps of each leaf put together."""
+    ways = steps.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max_by("folded", "step").alias("folded"))
+    return ways.select("number", "folded", F.aggregate("way", F.lit(b""), lambda all_, s: F.concat(all_, s["siblings"])).alias("siblings"))
+
+
 def manifest(docs: DataFrame, hashed: Sequence[str], key: str = "doc_id", source: str = "source", altered: dict[str, Column] | None = None) -> DataFrame:
     """Per row: ``key, leaf, subroot, root``, its proof as ``siblings`` (hex text, from below), ``folded_root`` and ``verified``.
 
@@ -172,12 +184,10 @@ def manifest(docs: DataFrame, hashed: Sequence[str], key: str = "doc_id", source
     if linked:
         nodes = reduce(DataFrame.unionByName, linked)
         copies = nodes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), _copies("below") - 1)))
-        steps = climb(stored(start, "start"), stored(copies, "nodes"), len(runs) + len(top_runs))
+        ways = climb(stored(start, "start"), stored(copies, "nodes"), len(runs) + len(top_runs))
     else:
-        steps = start.select("number", F.lit(0).alias("step"), "folded", "siblings")
-    ways = steps.groupBy("number").agg(
-        F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("way"), F.max_by("folded", "step").alias("folded"))
-    proven = ways.select("number", F.array_join(F.transform("way", lambda s: F.lower(F.hex(s["siblings"]))), "").alias("siblings"), _hex("folded").alias("folded_root"))
+        ways = start
+    proven = ways.select("number", _hex("siblings").alias("siblings"), _hex("folded").alias("folded_root"))
     # Subroots come to their rows by stretches, so that a large source is no single key.
     of_piece = bottom.select("tree", "stretch").distinct().join(subroots.select("tree", F.col("hash").alias("subroot")), "tree")
     own = bottom.select("number", "tree", "stretch", F.col("key").alias(key), F.col("hash").alias("leaf")).join(of_piece, ["tree", "stretch"])
