@@ -1,15 +1,17 @@
 """A Merkle manifest of a dataset, checked by a recursive query that climbs from every leaf.
 
 Each row is a leaf: the hash of its columns. The leaves of a source, in the order of their keys, are the bottom of a tree in which runs
-of ``FANOUT`` nodes become their hash; what remains of each source is the bottom of one more tree, over the sources. Every level is
-written as rows that know their siblings and the row they lead to, so that a manifest of any size is built by one small aggregation a level.
+of ``FANOUT`` nodes become their hash; what remains of each source is the bottom of one more tree, over the sources. One aggregation builds
+``GENERATIONS`` levels at once: it gathers the at most ``FANOUT ** GENERATIONS`` nodes below one node of the last of them. What it
+stores are rows that know their siblings in each of these levels and the ancestor they lead to.
 
-``climb`` is a recursive common table expression over these rows: a round takes every leaf from its node to the next, hashes what it
-carries with the siblings left and right of it, and notes the siblings. What a leaf carries at the end is the root it proves.
+``climb`` is a recursive common table expression over these rows: a round takes every leaf from its node to the linked ancestor, hashes what
+it carries with the siblings left and right of it, level by level, and notes the siblings. What a leaf carries at the end is the root it proves.
 
 Near the root all leaves pass the same nodes. A node with many leaves below it is therefore stored once for every ``SHARE`` of them, and
-each leaf has the copy of its number, so no key has more than some ``FANOUT * SHARE`` rows, hot sources included. Places in a source come
-from a range partition with offsets, and sources are told to their rows by stretches of ``SHARE`` rows; no window or join is keyed by source.
+each leaf has the copy of its number, so a key has no more than some ``SHARE * FANOUT ** GENERATIONS`` rows, hot sources included. Places in a
+source come from a range partition with offsets, and sources are told to their rows by stretches of ``SHARE`` rows; no window or join is
+keyed by source.
 
 Results for odd input: null cells are hashed as ``-`` and differ from empty ones; null keys come first in their source and are never
 tampered with; rows with equal keys are leaves of their own, ordered by hash; repeated rows get a result each; a text of any length is one
@@ -30,13 +32,17 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import stored
 from gleaner.operators.jobs import with_index
 
-FANOUT = 3
+FANOUT, GENERATIONS = 3, 3
+#: Nodes below a node of the last level that is built at once.
+GROUP = FANOUT**GENERATIONS
 #: Leaves that share a copy of a node.
 SHARE = 729
 #: Nodes to a file.
 FILE = 10_000
-#: The number of the tree over the subroots.
-TOP = -1
+#: The number of the tree over the subroots, and how its levels are counted.
+TOP, TOP_LEVEL = -1, 64
+#: Nodes are named by their first leaf, or the first leaf of their copy's share, and their level.
+LEVELS = 128
 
 
 def leaf_hash(values: Sequence[Column]) -> Column:
@@ -66,52 +72,60 @@ def leaves(docs: DataFrame, hashed: Sequence[str], key: str, source: str, altere
     )
 
 
-def _runs(level: DataFrame, depth: int, nodes: int) -> DataFrame:
-    """The next level: ``tree, place, size, hash, below`` and the nodes of each run as ``kids``; trees of one node have none.
-
-    ``nodes`` is about how many there are; levels of few nodes go to few files.
-    """
-    own = F.struct("place", "hash", "below", *[c for c in ("number", "key", "altered", "stretch") if c in level.columns])
-    runs = level.where("size > 1").groupBy("tree", F.expr(f"place div {FANOUT}").alias("place")).agg(
-        F.min("size").alias("size"), F.sum("below").alias("below"), F.array_sort(F.collect_list(own)).alias("kids"),
-    )
-    return stored(runs.select(
-        "tree", "place", F.expr(f"(size + {FANOUT - 1}) div {FANOUT}").alias("size"), "below",
-        F.sha2(F.array_join(F.transform("kids", lambda kid: kid["hash"]), ""), 256).alias("hash"), "kids",
-    ).coalesce(1 + nodes // FILE), f"level-{depth}")
-
-
-def _linked(runs: DataFrame, depth: int) -> DataFrame:
-    """The nodes of a level with their siblings and the node they lead to; a tree's last node leads to the tree over all sources."""
-    siblings = [F.transform(F.filter("kids", lambda k: keep(k["place"])), lambda k: k["hash"]) for keep in (
-        lambda place: place < F.col("kid.place"), lambda place: place > F.col("kid.place"))]
-    last = (F.col("size") == 1) & (F.col("tree") != TOP)
-    return runs.select("*", F.explode("kids").alias("kid")).select(
-        "tree", F.lit(depth).alias("level"), F.col("kid.place").alias("place"), F.col("kid.below").alias("below"), "kid",
-        F.unhex(F.array_join(siblings[0], "")).alias("left"), F.unhex(F.array_join(siblings[1], "")).alias("right"),
-        F.when(last, F.lit(TOP)).otherwise(F.col("tree")).cast("long").alias("up_tree"),
-        F.when(last, F.lit(0)).otherwise(F.lit(depth + 1)).alias("up_level"),
-        F.when(last, F.col("tree")).otherwise(F.col("place")).alias("up_place"),
-        _copies("below").alias("up_copies"),
-    )
+def _at(first: Column, level: int) -> Column:
+    return first * F.lit(LEVELS).cast("long") + level
 
 
 def _copies(below: str) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.expr(f"{below} div {SHARE}"))
 
 
-def _forest(bottom: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The levels of all trees over ``bottom`` from below, and the last node of each tree: ``tree, hash, below``."""
-    kept = ["tree", "place", "size", "hash", "below"]
+def _groups(level: DataFrame, top: bool, depth: int, nodes: int) -> DataFrame:
+    """``GENERATIONS`` levels up: ``tree, place, size, hash, first, below`` of the nodes there, and all below them as ``kids``.
+
+    ``kids`` have their siblings ``left`` and ``right`` for each of the levels as ``hops``. Trees of one node are done and have no rows.
+    ``nodes`` is about how many rows there are; few go to few files.
+    """
+    own = F.struct("place", "hash", "first", "below", *[c for c in ("number", "altered") if c in level.columns])
+    rows = level.where("size > 1").groupBy("tree", F.expr(f"place div {GROUP}").alias("place")).agg(
+        F.min("size").alias("size"), F.sum("below").alias("below"), F.min("first").alias("first"), F.array_sort(F.collect_list(own)).alias("members"))
+    rows = rows.withColumn("level0", F.transform("members", lambda m: m["hash"]))
+    size, hops = F.col("size"), []
+    for g in range(GENERATIONS):
+        below = F.col(f"level{g}")
+        run = F.transform(F.sequence(F.lit(0), F.expr(f"(size(level{g}) - 1) div {FANOUT}")), lambda i: F.sha2(F.array_join(F.slice(below, i * FANOUT + 1, FANOUT), ""), 256))
+        rows = rows.withColumns({f"level{g + 1}": F.when(size > 1, run).otherwise(below), f"open{g}": size > 1})
+        size = F.expr(f"(size + {FANOUT ** (g + 1) - 1}) div {FANOUT ** (g + 1)}")
+        hops.append(f"""IF(open{g}, array(named_struct(
+            'left', unhex(array_join(slice(level{g}, (i div {FANOUT ** (g + 1)}) * {FANOUT} + 1, (i div {FANOUT ** g}) % {FANOUT}), '')),
+            'right', unhex(array_join(slice(level{g}, (i div {FANOUT ** g}) + 2, {FANOUT - 1} - (i div {FANOUT ** g}) % {FANOUT}), '')))), array())""")
+    more = ", m.number, m.altered" if "number" in level.columns else ""
+    kids = F.expr(f"transform(members, (m, i) -> struct(m.first, m.below{more}, concat({', '.join(hops)}) AS hops))")
+    out = rows.select("tree", "place", size.alias("size"), F.element_at(f"level{GENERATIONS}", 1).alias("hash"), "first", "below", kids.alias("kids"))
+    return stored(out.coalesce(1 + nodes // FILE), f"levels-{'top-' if top else ''}{depth}")
+
+
+def _linked(groups: DataFrame, top: bool, depth: int) -> DataFrame:
+    """The nodes below these with the ancestor they lead to; a tree's last node leads to the tree over all sources."""
+    base = TOP_LEVEL if top else 0
+    last = F.col("size") == (1 if not top else 0)
+    return groups.select("*", F.explode("kids").alias("kid")).select(
+        "kid", _at(F.col("kid.first"), base + depth).alias("at"), F.col("kid.hops").alias("hops"),
+        F.when(last, _at(F.col("first"), TOP_LEVEL)).otherwise(_at(F.col("first"), base + depth + 1)).alias("up"), _copies("below").alias("up_copies"))
+
+
+def _forest(bottom: DataFrame, top: bool) -> tuple[list[DataFrame], DataFrame]:
+    """The levels of all trees over ``bottom`` from below, and the last node of each tree: ``tree, hash, first, below``."""
+    kept, last = ["tree", "place", "size", "hash", "first", "below"], ["tree", "hash", "first", "below"]
+    levels, ends, level = [], [bottom.where("size = 1").select(*last)], bottom
     largest, n = bottom.agg(F.coalesce(F.max("size"), F.lit(0)), F.count("*")).first()
-    runs, tops, level = [], [bottom.where("size = 1").select("tree", "hash", "below")], bottom
     while largest > 1:
-        n = -(-n // FANOUT)
-        runs.append(_runs(level, len(runs), n))
-        level = runs[-1].select(*kept)
-        tops.append(level.where("size = 1").select("tree", "hash", "below"))
-        largest = -(-largest // FANOUT)
-    return runs, stored(reduce(DataFrame.unionByName, tops), "subroots")
+        n = -(-n // GROUP)
+        levels.append(_groups(level, top, len(levels), n))
+        level = levels[-1].select(*kept)
+        ends.append(level.where("size = 1").select(*last))
+        largest = -(-largest // GROUP)
+    return levels, stored(reduce(DataFrame.unionByName, ends), "subroots")
 
 
 @contextmanager
@@ -126,10 +140,18 @@ def _without_row_limit(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def climb(start: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+#: What a leaf carries after it has passed the siblings of ``hops``, and these siblings.
+FOLDED = "aggregate({hops}, {carried}, (h, s) -> unhex(sha2(concat(lower(hex(s.left)), lower(hex(h)), lower(hex(s.right))), 256)))"
+PASSED = "aggregate({hops}, X'', (all, s) -> concat(all, s.left, s.right))"
+#: The name of the ancestor's copy that a leaf goes to.
+NEXT = f"{{up}} + {LEVELS * SHARE}L * pmod({{number}}, {{copies}})"
+
+
+def climb(start: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     """Per leaf: ``number``, all its ``siblings`` from below, and ``folded``, the root that it proves.
 
-    ``start`` has ``number``, the node ``tree, level, place, copy`` a leaf is at, what it carries as ``folded`` and the ``siblings`` so far.
+    ``start`` has ``number``, the node a leaf is ``at``, what it carries as ``folded`` and the ``siblings`` so far; ``nodes`` has ``at, hops,
+    up, up_copies``.
     """
     spark = start.sparkSession
     names = [f"merkle_{what}_{uuid.uuid4().hex}" for what in ("start", "nodes")]
@@ -137,12 +159,12 @@ def climb(start: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
     nodes.createOrReplaceTempView(names[1])
     with _without_row_limit(spark):
         steps = spark.sql(f"""
-            WITH RECURSIVE climb(number, step, tree, level, place, copy, folded, siblings) MAX RECURSION LEVEL {levels + 2} AS (
-                SELECT number, 0, tree, level, place, copy, folded, siblings FROM {names[0]}
+            WITH RECURSIVE climb(number, step, at, folded, siblings) MAX RECURSION LEVEL {rounds + 2} AS (
+                SELECT number, 0, at, folded, siblings FROM {names[0]}
                 UNION ALL
-                SELECT c.number, c.step + 1, n.up_tree, n.up_level, n.up_place, pmod(c.number, n.up_copies),
-                       unhex(sha2(concat(lower(hex(n.left)), lower(hex(c.folded)), lower(hex(n.right))), 256)), concat(n.left, n.right)
-                FROM climb c JOIN {names[1]} n ON c.tree = n.tree AND c.level = n.level AND c.place = n.place AND c.copy = n.copy
+                SELECT c.number, c.step + 1, {NEXT.format(up='n.up', number='c.number', copies='n.up_copies')},
+                       {FOLDED.format(hops='n.hops', carried='c.folded')}, {PASSED.format(hops='n.hops')}
+                FROM climb c JOIN {names[1]} n ON c.at = n.at
             ) SELECT number, step, folded, siblings FROM climb""")
         out = stored(_way(steps), "climb")
     for name in names:
@@ -161,30 +183,25 @@ def manifest(docs: DataFrame, hashed: Sequence[str], key: str = "doc_id", source
 
     ``folded_root`` is what the row proves with ``altered`` columns in place of its own; without any, every row is verified.
     """
-    bottom = stored(leaves(docs, hashed, key, source, altered or {}).withColumn("below", F.lit(1).cast("long")), "bottom")
-    runs, subroots = _forest(bottom)
-    n_trees = F.lit(subroots.count()).cast("long")
-    top = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), n_trees.alias("size"), "hash", "below")
-    top_runs, roots = _forest(top)
+    bottom = leaves(docs, hashed, key, source, altered or {})
+    bottom = stored(bottom.withColumns({"first": F.col("number"), "below": F.lit(1).cast("long")}), "bottom")
+    levels, subroots = _forest(bottom, top=False)
+    top = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(subroots.count()).cast("long").alias("size"), "hash", "first", "below")
+    top_levels, roots = _forest(top, top=True)
     root = (roots.select("hash").first() or [None])[0]
 
-    none = F.lit(b"")
-    alone = bottom.where("size = 1").select(
-        "number", F.lit(TOP).cast("long").alias("tree"), F.lit(0).alias("level"), F.col("tree").alias("place"), F.lit(0).cast("long").alias("copy"),
-        F.unhex("altered").alias("folded"), none.alias("siblings"))
-    starts = [alone]
-    if runs:
-        first = _linked(runs[0], 0)
-        starts.append(first.select(
-            F.col("kid.number").alias("number"), F.col("up_tree").alias("tree"), F.col("up_level").alias("level"), F.col("up_place").alias("place"),
-            F.pmod(F.col("kid.number"), F.col("up_copies")).alias("copy"),
-            F.unhex(F.sha2(F.concat(_hex("left"), F.col("kid.altered"), _hex("right")), 256)).alias("folded"), F.concat("left", "right").alias("siblings")))
-    linked = [_linked(r, depth + 1).drop("kid") for depth, r in enumerate(runs[1:])] + [_linked(r, depth).drop("kid") for depth, r in enumerate(top_runs)]
-    start = reduce(DataFrame.unionByName, starts)
+    start = bottom.where("size = 1").select("number", _at(F.col("number"), TOP_LEVEL).alias("at"), F.unhex("altered").alias("folded"), F.lit(b"").alias("siblings"))
+    linked = [_linked(rows, False, depth) for depth, rows in enumerate(levels)]
     if linked:
-        nodes = reduce(DataFrame.unionByName, linked)
-        copies = nodes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), _copies("below") - 1)))
-        ways = climb(stored(start, "start"), stored(copies, "nodes"), len(runs) + len(top_runs))
+        start = start.unionByName(linked[0].select(
+            F.col("kid.number").alias("number"), F.expr(NEXT.format(up="up", number="kid.number", copies="up_copies")).alias("at"),
+            F.expr(FOLDED.format(hops="hops", carried="unhex(kid.altered)")).alias("folded"), F.expr(PASSED.format(hops="hops")).alias("siblings")))
+    above = linked[1:] + [_linked(rows, True, depth) for depth, rows in enumerate(top_levels)]
+    if above:
+        nodes = reduce(DataFrame.unionByName, [rows.withColumn("copies", _copies("kid.below")).drop("kid") for rows in above])
+        shares = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+        copies = nodes.select("*", shares.alias("share")).select((F.col("at") + F.col("share") * (LEVELS * SHARE)).alias("at"), "hops", "up", "up_copies")
+        ways = climb(stored(start, "start"), stored(copies, "nodes"), len(above))
     else:
         ways = start
     proven = ways.select("number", _hex("siblings").alias("siblings"), _hex("folded").alias("folded_root"))

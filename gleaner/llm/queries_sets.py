@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, simhash, substring
+from gleaner.llm import decontaminate, jaccard_join, simhash, substring
 from gleaner.llm.common import bounded_batches, table
 from gleaner.llm.registry import query
 
@@ -59,3 +59,21 @@ def op10_substring(spark, folder):
     bounded_batches(spark)
     rows = substring.cut(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_jaccard_join", r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sh AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, link.b FROM reach r JOIN link ON link.a = r.other)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
+""")
+def op13_jaccard_join(spark, folder):
+    bounded_batches(spark)
+    return jaccard_join.join(table(spark, folder, "documents").select("doc_id", "text"))
