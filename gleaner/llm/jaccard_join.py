@@ -208,11 +208,31 @@ def _few_differ(percent: int) -> Column:
     return reduce(lambda x, y: x + y, pairs) <= s - 2 * overlap(F.col("a.size"), F.col("b.size"), percent)
 
 
+def _of(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """What is asked of the sets that ``pairs`` name; few ids are broadcast, so that the sets stay where they are."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    asked = stored(sets.select("id", *columns).join(small_side(ids, n := ids.count()), "id"), "asked")
+    return small_side(asked, n) if "first" not in columns else asked
+
+
+def _sharing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose first shingles have enough in common.
+
+    Of two prefixes, one ends first in the order of all shingles; what it shares with the other set, it shares with its prefix. So the overlap is
+    at most the common first shingles and the rest of that set.
+    """
+    least = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1
+    of = _of(pairs, sets, "size", "first").select("id", "size", F.slice("first", F.lit(1), least.cast("int")).alias("first"))
+    both = pairs.join(of.select(F.col("id").alias("a"), F.struct("size", "first").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.struct("size", "first").alias("y")), "b")
+    rest = F.greatest(*[F.col(f"{c}.size") - F.size(f"{c}.first") for c in "xy"])
+    enough = F.size(F.array_intersect("x.first", "y.first")) + rest >= overlap(F.col("x.size"), F.col("y.size"), percent)
+    return both.where(enough).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of sets that are linked."""
-    pairs = stored(pairs, "pairs")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "key", "own"), "id"), "asked")
-    asked = small_side(asked, asked.count())
+    pairs = stored(_sharing(stored(pairs, "pairs"), sets, percent), "pairs")
+    asked = _of(pairs, sets, "key", "own")
 
     @F.arrow_udf("array<bigint>")
     def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -226,7 +246,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
 
     rows = docs.select(F.col(key).alias("_key"), _own(text).alias("_own"), F.col(text).alias("_text"))
     met = rows.join(asked, (F.col("_own") == F.col("own")) & F.col("_key").eqNullSafe(F.col("key"))).select("id", hashes(F.col("_text")).alias("set"))
-    found = stored(met.dropDuplicates(["id"]), "sets")
+    # One exchange by id serves both sides of the pairs.
+    found = met.dropDuplicates(["id"])
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     compared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), common(F.col("x"), F.col("y")).alias("n_common"))
     return stored(compared.where(F.col("n_common") * 100 >= (F.col("n") - F.col("n_common")) * percent).select("a", "b"), "links")
