@@ -143,8 +143,11 @@ def _without_row_limit(spark: SparkSession):
 #: What a leaf carries after it has passed the siblings of ``hops``, and these siblings.
 FOLDED = "aggregate({hops}, {carried}, (h, s) -> unhex(sha2(concat(lower(hex(s.left)), lower(hex(h)), lower(hex(s.right))), 256)))"
 PASSED = "aggregate({hops}, X'', (all, s) -> concat(all, s.left, s.right))"
-#: The name of the ancestor's copy that a leaf goes to.
-NEXT = f"{{up}} + {LEVELS * SHARE}L * pmod({{number}}, {{copies}})"
+
+
+def _next(up: str, number: str, copies: str) -> str:
+    """The name of the ancestor's copy that a leaf goes to."""
+    return f"{up} + {LEVELS * SHARE}L * pmod({number}, {copies})"
 
 
 def climb(start: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
@@ -162,7 +165,7 @@ def climb(start: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
             WITH RECURSIVE climb(number, step, at, folded, siblings) MAX RECURSION LEVEL {rounds + 2} AS (
                 SELECT number, 0, at, folded, siblings FROM {names[0]}
                 UNION ALL
-                SELECT c.number, c.step + 1, {NEXT.format(up='n.up', number='c.number', copies='n.up_copies')},
+                SELECT c.number, c.step + 1, {_next('n.up', 'c.number', 'n.up_copies')},
                        {FOLDED.format(hops='n.hops', carried='c.folded')}, {PASSED.format(hops='n.hops')}
                 FROM climb c JOIN {names[1]} n ON c.at = n.at
             ) SELECT number, step, folded, siblings FROM climb""")
@@ -194,7 +197,7 @@ def manifest(docs: DataFrame, hashed: Sequence[str], key: str = "doc_id", source
     linked = [_linked(rows, False, depth) for depth, rows in enumerate(levels)]
     if linked:
         start = start.unionByName(linked[0].select(
-            F.col("kid.number").alias("number"), F.expr(NEXT.format(up="up", number="kid.number", copies="up_copies")).alias("at"),
+            F.col("kid.number").alias("number"), F.expr(_next("up", "kid.number", "up_copies")).alias("at"),
             F.expr(FOLDED.format(hops="hops", carried="unhex(kid.altered)")).alias("folded"), F.expr(PASSED.format(hops="hops")).alias("siblings")))
     above = linked[1:] + [_linked(rows, True, depth) for depth, rows in enumerate(top_levels)]
     if above:
