@@ -112,8 +112,9 @@ def slot_ranks(docs: DataFrame, text: str, words: int) -> np.ndarray:
     return np.minimum(ranks.ravel() * 6, 255).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, key: str, text: str, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per row: ``key, own`` (digest of the text), ``digest`` of the set, its ``size``, ``parity`` and first shingles; small sets whole."""
+def signatures(docs: DataFrame, key: str, text: str, ranks: np.ndarray, words: int, percent: int, more: dict[str, Column]) -> DataFrame:
+    """Per row: ``key, own`` (digest of the text), ``digest`` of the set, its ``size``, ``parity`` and first shingles; small sets whole; and ``more``."""
+    names = list(more)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +130,16 @@ def signatures(docs: DataFrame, key: str, text: str, ranks: np.ndarray, words: i
                 parity = np.packbits(np.bincount((found & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1)
                 rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), n, parity.view(np.int64).tolist(), first.view(np.int64).tolist()))
             digest, size, parity, first = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["key", "own", "digest", "size", "parity", "first"])
+            made = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *batch.columns[3:]], ["key", "own", "digest", "size", "parity", "first", *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), _own(text).alias("own"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(sign, f"key {kind}, own binary, digest binary, size long, parity array<long>, first array<long>"), "signatures")
+    rows = docs.select(F.col(key).alias("key"), own_digest(text).alias("own"), F.col(text).alias("text"), *[c.alias(name) for name, c in more.items()])
+    kinds = [f", {name} {rows.schema[name].dataType.simpleString()}" for name in more]
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, own binary, digest binary, size long, parity array<long>, first array<long>{''.join(kinds)}"
+    return stored(rows.mapInArrow(sign, schema), "signatures")
 
 
-def _own(text: str) -> Column:
+def own_digest(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
@@ -244,7 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
         for left, right in batches:
             yield pa.array([len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) for x, y in zip(left, right)], pa.int64())
 
-    rows = docs.select(F.col(key).alias("_key"), _own(text).alias("_own"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), own_digest(text).alias("_own"), F.col(text).alias("_text"))
     met = rows.join(asked, (F.col("_own") == F.col("own")) & F.col("_key").eqNullSafe(F.col("key"))).select("id", hashes(F.col("_text")).alias("set"))
     # One exchange by id serves both sides of the pairs.
     found = met.dropDuplicates(["id"])
@@ -253,10 +256,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
     return stored(compared.where(F.col("n_common") * 100 >= (F.col("n") - F.col("n_common")) * percent).select("a", "b"), "links")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """Per row: ``key, n_shingles, component_id``, the smallest key reachable over links of a Jaccard similarity of ``percent`` or more."""
+def linked(docs: DataFrame, key: str, text: str, words: int, percent: int, **more: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, with columns ``more``; distinct sets by ``id`` and ``digest``; and ``node, root`` of the sets that have links."""
     ranks = slot_ranks(docs, text, words)
-    rows = signatures(docs, key, text, ranks, words, percent)
+    rows = signatures(docs, key, text, ranks, words, percent, more)
     grouped = rows.where("size > 0").groupBy("digest").agg(
         F.min("key").alias("component"), F.min(F.struct("key", "own")).alias("row"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("first").alias("first"))
     sets = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "digest", "component", "row.key", "row.own", "size", "parity", "first"), "distinct")
@@ -288,10 +291,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     second = verified(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), sets, docs, key, text, words, percent)
 
     known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    final = components(known.unionByName(second))
+    return rows, sets, components(known.unionByName(second))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """Per row: ``key, n_shingles, component_id``, the smallest key reachable over links of a Jaccard similarity of ``percent`` or more."""
+    rows, sets, final = linked(docs, key, text, words, percent)
     named = sets.join(final, sets["id"] == final["node"], "left").select("digest", "component", F.coalesce("root", "id").alias("root"))
     least_key = named.groupBy("root").agg(F.min("component").alias("component_id"))
     of_set = named.join(least_key, "root").select("digest", "component_id")
-    linked = rows.where("size > 0").select("key", "size", "digest").join(of_set, "digest").select("key", "size", "component_id")
+    grouped = rows.where("size > 0").select("key", "size", "digest").join(of_set, "digest").select("key", "size", "component_id")
     alone = rows.where("size = 0").select("key", "size", F.col("key").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
+    return grouped.unionByName(alone).select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")

@@ -1,44 +1,28 @@
-"""Near copies by exact five-word similarity, for edits beyond the reach of two fingerprint bits.
+"""Groups of near copies: links by SimHash and by five-word similarity together, one row of each group kept.
 
-A document whose copy has several edits differs from it in more bits than anchors can cover, so documents that share a band of
-min-hashes of their shingles are compared by the exact Jaccard similarity of their shingle sets. All pairs of a band count, save
-those that are in one group anyway, and those that a pivot rules out: Jaccard distance is a metric, so two documents whose distances
-to a third differ by more than the threshold are not similar. The first rounds compare the members of each band with one of them and
-split the band into rings of that distance; a hot group of copies is one group after that, and documents far from it never meet it.
-What is left goes by leaders, 4, 16, then 64 per band and round, from the band's smallest groups, each compared with all members of
-other groups. A band is done when the members that have not led are of one group, so groups do not depend on the order of ids.
+A document whose copy has several edits differs from it in more bits than anchors can cover, so the links of ``simhash`` (two bits) are
+joined with those of ``jaccard_join`` (five words, 0.8), which finds every pair of that similarity. The nodes are the distinct shingle sets: a
+fingerprint links the sets of the texts that have it. All links are put into components once, as joins; texts are neither grouped nor shuffled.
 
-A pair at a similarity of 0.8 shares one of the bands with a probability of 0.9994, at 0.9 of more than 0.9999999.
-
-Results for odd input: texts without words are linked to none; texts of fewer words than a shingle have the whole sequence as their
-shingle; an empty table stays empty; other columns are carried along. ``one_of_each`` keeps rows with a null key, and rows that share a
-key stay or go together; ``one_of_group`` keeps one row of each group whatever its key.
+Results for odd input: texts without words are one node, as their fingerprint is zero; texts of fewer words than a shingle have the whole
+sequence as their shingle; texts of any length are hashed whole; repeated rows are one group; an empty table stays empty; other columns of any type
+are carried along. ``one_of_each`` keeps rows with a null key, and rows that share a key stay or go together; ``one_of_group`` keeps one row of each
+group whatever its key: the smallest, null keys last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from gleaner.llm import simhash
-from gleaner.llm.common import BROADCAST_ROWS, small_side, stored
+from gleaner.llm import jaccard_join, simhash
+from gleaner.llm.common import small_side, stored
 from gleaner.llm.graph import components
 
-#: Min-hashes in a band, and bands.
-ROWS, BANDS = 7, 32
-#: Odd factors that order the hashes of shingles anew for every min-hash.
-FACTORS = np.random.default_rng(42).integers(0, 2**64, ROWS * BANDS, np.uint64) | np.uint64(1)
-#: Rounds that split bands by the distance to a pivot; then documents of a band that its others are compared with in a round, at
-#: most, and how their number grows from one.
-SPLITS, LEADERS, GROWTH = 3, 64, 4
-#: Shingles that are hashed at a time, so that very long texts take bounded memory.
-STEP = 2048
+#: The node of texts without words.
+NONE = -1
 
 
 def shingles(text: str | None, words: int = 5) -> Iterator[bytes]:
@@ -49,18 +33,6 @@ def shingles(text: str | None, words: int = 5) -> Iterator[bytes]:
     return map(b" ".join, zip(*(own[i:] for i in range(words))))
 
 
-def bands(text: str | None, words: int = 5) -> list[int]:
-    """A key per band; texts without words have none."""
-    hashes = np.array([xxhash.xxh64_intdigest(s) for s in set(shingles(text, words))], np.uint64)
-    if not len(hashes):
-        return []
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), STEP):
-        np.minimum(least, (FACTORS[:, None] * hashes[None, i : i + STEP]).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def similarity(a: str | None, b: str | None, words: int = 5) -> float:
     """Jaccard similarity of the sets of shingles; 0 if one has none."""
     left, right = set(shingles(a, words)), set(shingles(b, words))
@@ -68,132 +40,51 @@ def similarity(a: str | None, b: str | None, words: int = 5) -> float:
     return common / (len(left) + len(right) - common) if common else 0.0
 
 
-def _bands(text: Column, words: int) -> Column:
-    @F.arrow_udf("array<bigint>")
-    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([bands(t.as_py(), words) for t in batch], pa.list_(pa.int64()))
-
-    return keys(text)
-
-
-def _similarity(a: Column, b: Column, words: int) -> Column:
-    @F.arrow_udf("double")
-    def compared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            yield pa.array([similarity(x.as_py(), y.as_py(), words) for x, y in zip(left, right)], pa.float64())
-
-    return compared(a, b)
-
-
-def _counted(ids: DataFrame) -> DataFrame:
-    """Few ids are broadcast, so that the texts they are joined with are not shuffled; more go by a shuffle."""
-    kept = stored(ids, "ids")
-    return small_side(kept, kept.count())
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """Members of bands that hold more than one group."""
-    many = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    return stored(members.join(many, "band", "left_semi"), "open")
-
-
-def _leaders(members: DataFrame, number: int) -> DataFrame:
-    """``band, leader, leader_root``: up to ``number`` members of each band, those of its smallest groups first."""
-    sizes = members.groupBy("band", "root").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("size", "id"))
-    ranked = members.join(sizes, ["band", "root"]).withColumn("rank", rank).where(F.col("rank") <= number)
-    return ranked.select("band", F.col("id").alias("leader"), F.col("root").alias("leader_root"))
-
-
-def links(texts: DataFrame, words: int, least: float) -> DataFrame | None:
-    """``a, b``: links of groups, by documents that share a band and are at least ``least`` similar; None if there are none.
-
-    ``texts`` has ``id, root, body, bands``; ``root`` is the group a document is in already, and the links join groups.
-    """
-    width = 1 - least + 1e-9
-    members = texts.select("id", "root", F.explode("bands").alias("band")).distinct()
-    bodies = found = None
-    turn, number = 0, GROWTH
-    while True:
-        members = _open(members)
-        if members.isEmpty():
-            return found
-        if bodies is None:
-            bodies = stored(texts.select("id", "body").join(_counted(members.select("id").distinct()), "id", "left_semi"), "texts")
-        if turn < SPLITS:
-            pivots = members.groupBy("band").agg(F.min(F.struct("id", "root")).alias("p"))
-            leaders = pivots.select("band", F.col("p.id").alias("leader"), F.col("p.root").alias("leader_root"))
-            rest = members.join(leaders, "band").where("id <> leader")
-        else:
-            leaders = stored(_leaders(members, number), "leaders")
-            rest = members.join(leaders, "band").where("root <> leader_root")
-            number = min(GROWTH * number, LEADERS)
-        rest = stored(rest, "candidates")
-        pairs = rest.select("id", "root", "leader", "leader_root").distinct().join(bodies, "id")
-        both = pairs.join(bodies.select(F.col("id").alias("leader"), F.col("body").alias("first")), "leader")
-        compared = stored(both.select("id", "root", "leader", "leader_root", _similarity(F.col("body"), F.col("first"), words).alias("s")), "compared")
-        new = compared.where((F.col("s") >= least) & (F.col("root") != F.col("leader_root"))).select(F.col("root").alias("a"), F.col("leader_root").alias("b")).distinct()
-        if turn < SPLITS:
-            ring = F.floor((1 - F.col("s")) / width)
-            split = rest.join(compared.select("id", "leader", ring.alias("ring")).distinct(), ["id", "leader"])
-            # Distances that differ by a ring's width at most are in one ring or in neighbours, so each document is in its own and the one before.
-            rings = F.explode(F.when(F.col("ring") > 0, F.array(F.col("ring"), F.col("ring") - 1)).otherwise(F.array("ring")))
-            members = split.select("id", "root", "band", rings.alias("ring")).select("id", "root", F.xxhash64("band", "ring").alias("band")).distinct()
-        else:
-            members = members.join(leaders.select("band", F.col("leader").alias("id")), ["band", "id"], "left_anti")
-        new = stored(new, "new")
-        if not new.isEmpty():
-            found = new if found is None else found.unionByName(new)
-            members = _regrouped(members, _roots(new))
-        turn += 1
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    """Components as ``node, root``; few links, of a counted number, are joined in the driver, as each step of stars costs many jobs."""
-    if edges.count() > BROADCAST_ROWS:
-        return components(edges)
-    root = {}
-
-    def find(x):
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    for a, b in edges.select("a", "b").collect():
-        low, high = sorted((find(a), find(b)))
-        root[high] = low
-    kind = edges.schema["a"].dataType
-    return edges.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], StructType([StructField("node", kind), StructField("root", kind)]))
-
-
-def _regrouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with the new ``root`` of those whose root got one."""
-    moved = _counted(roots.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_new")))
-    return rows.join(moved, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without those that are linked, over any number of links, to one with a smaller key."""
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(key).alias("root"), F.col(text).alias("body")).distinct()
-    found = links(stored(own.withColumn("bands", _bands(F.col("body"), words)), "bands"), words, least)
-    if found is None:
-        return docs
-    gone = _roots(stored(found, "links")).where("node <> root").select(F.col("node").alias("_gone"))
-    gone = _counted(gone)
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without those that are linked by similarity, over any number of links, to one with a smaller key."""
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key), F.col(text))
+    found = jaccard_join.join(known, key, text, words, percent).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone"))
+    gone = stored(found.distinct(), "gone")
+    gone = small_side(gone, gone.count())
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
-def one_of_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each component over SimHash and five-word links of all distinct texts together.
-
-    The row is that with the smallest key, then the smallest digest of its text; null keys come last. Texts of one fingerprint
-    are linked, so the nodes are fingerprints.
-    """
-    texts = simhash.distinct_texts(docs, key, text, lambda body: {"bands": _bands(body, words)})
-    prints = simhash.links(texts.select("fp").distinct())
-    own = texts.select(F.col("_id").alias("id"), F.col("fp").alias("root"), F.col(f"_row.`{text}`").alias("body"), "bands")
-    near = stored(prints, "prints")
-    found = links(_regrouped(own, components(near)), words, least)
-    roots = components(near if found is None else near.unionByName(found))
-    return simhash.one_per_root(texts, roots, docs.columns)
+def groups(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """``key, own, root`` per row: the component over all links, and the digest of the text."""
+    rows, sets, similar = jaccard_join.linked(docs, key, text, words, percent, fp=simhash.fingerprints(F.col(text)))
+    named = rows.select("key", "own", "fp", "digest").join(sets.select("id", "digest"), "digest", "left")
+    named = stored(named.select("key", "own", "fp", F.coalesce("id", F.lit(NONE).cast("long")).alias("id")), "named")
+    of_print = stored(named.select("fp", "id").distinct(), "prints")
+    first = stored(of_print.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    near = simhash.links(first.select("fp"))
+    edges = of_print.join(first, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    for end in "ab":
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"set_{end}")), end)
+    edges = edges.unionByName(near.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")))
+    edges = edges.unionByName(similar.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    roots = components(edges)
+    return named.join(roots, named["id"] == roots["node"], "left").select("key", "own", F.coalesce("root", "id").alias("root"))
+
+
+def one_of_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group: that with the smallest key, then the smallest digest of its text."""
+    rows = stored(groups(docs, key, text, words, percent).select(F.struct(F.col("key").isNull().alias("none"), "key", "own").alias("row"), "root"), "groups")
+    kept = rows.groupBy("root").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    of_group = stored(rows.join(kept, "root").select("root", "row", (F.col("row") == F.col("kept")).alias("stays")), "members")
+    gone = stored(of_group.where("NOT stays").select("row.key", "row.own").distinct(), "gone")
+    # Rows that equal the one that stays, its key and text repeated, are told apart by nothing: one of them is taken.
+    repeated = stored(of_group.where("stays").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row.key", "row.own"), "repeated")
+    n_repeated = repeated.count()
+
+    def same(side: DataFrame):
+        return (jaccard_join.own_digest(text) == side["own"]) & docs[key].eqNullSafe(side["key"])
+
+    left = docs
+    for side, n in ((gone, gone.count()), (repeated, n_repeated)):
+        side = small_side(side, n)
+        left = left.join(side, same(side), "left_anti") if n else left
+    if not n_repeated:
+        return left
+    few = small_side(repeated, n_repeated)
+    again = docs.join(few, same(few)).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), few["key"].alias("key"), few["own"].alias("own"))
+    return left.unionByName(again.dropDuplicates(["key", "own"]).select("row.*"))
