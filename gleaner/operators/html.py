@@ -24,10 +24,16 @@ _HIDDEN = {"script", "style", "template"}
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "items")
+    __slots__ = ("tag", "attrs", "parent", "items", "children", "place")
 
     def __init__(self, tag: str, attrs: dict, parent: _Node | None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+        self.children: list[_Node] = []
+        self.place = 0
+        if parent is not None:
+            parent.items.append(self)
+            parent.children.append(self)
+            self.place = len(parent.children)
 
     def walk(self) -> Iterator[_Node]:
         stack = [item for item in reversed(self.items) if isinstance(item, _Node)]
@@ -62,13 +68,12 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         node = _Node(tag, dict(attrs), self.here)
-        self.here.items.append(node)
         if tag not in _VOID:
             self.here = node
             self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        self.here.items.append(_Node(tag, dict(attrs), self.here))
+        _Node(tag, dict(attrs), self.here)
 
     def handle_endtag(self, tag):
         if not self.open.get(tag):
@@ -90,70 +95,144 @@ def parse_page(html: str) -> _Node:
     return builder.root
 
 
-_SIMPLE = re.compile(r"([.#]?)([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]|(\*)")
+_TOKEN = re.compile(r"""
+    \s*(?P<comma>,)\s* | \s*(?P<link>[>+~])\s* | (?P<blank>\s+) | (?P<mark>[.\#]?)(?P<name>[\w-]+) | (?P<any>\*)
+  | \[\s*(?P<attr>[\w-]+)\s*(?:(?P<how>[~|^$*]?=)\s*(?:"(?P<v1>[^"]*)"|'(?P<v2>[^']*)'|(?P<v3>[^\]\s]*))\s*)?\]
+  | :(?P<at>nth-child|nth-last-child|first-child|last-child|only-child)(?:\(\s*(?P<formula>[^)]*?)\s*\))?
+""", re.X)
+_FORMULA = re.compile(r"(?:([+-]?\d*)n)?\s*(?:([+-]?)\s*(\d+))?", re.I)
+
+#: How the value of an attribute has to compare with the one asked for.
+_ATTRIBUTE = {
+    "=": lambda have, want: have == want,
+    "~=": lambda have, want: want in have.split(),
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
+    "^=": lambda have, want: want != "" and have.startswith(want),
+    "$=": lambda have, want: want != "" and have.endswith(want),
+    "*=": lambda have, want: want != "" and want in have,
+}
+
+
+def _nth(formula: str):
+    """Whether a place, counted from 1, is ``a * n + b`` for some n from 0 on."""
+    text = {"odd": "2n+1", "even": "2n"}.get(formula.lower(), formula)
+    m = _FORMULA.fullmatch(text.strip())
+    if not m or m[1] is None and m[3] is None:
+        raise ValueError(f"unsupported place: {formula}")
+    a = 0 if m[1] is None else int(m[1] + "1") if m[1] in ("", "+", "-") else int(m[1])
+    b = int(m[2] + m[3]) if m[3] else 0
+    return lambda place: place == b if a == 0 else (place - b) % a == 0 and (place - b) // a >= 0
+
+
+def _place_test(at: str, formula: str | None):
+    if at.startswith("nth"):
+        fits = _nth(formula or "")
+        if at == "nth-child":
+            return lambda n: fits(n.place)
+        return lambda n: fits(len(n.parent.children) - n.place + 1)
+    if at == "only-child":
+        return lambda n: len(n.parent.children) == 1
+    return (lambda n: n.place == 1) if at == "first-child" else lambda n: n.place == len(n.parent.children)
+
+
+def _test(m: re.Match):
+    """What one simple selector asks of a node."""
+    name, attr = m["name"], m["attr"]
+    if m["any"]:
+        return lambda n: True
+    if m["at"]:
+        return _place_test(m["at"], m["formula"])
+    if attr and m["how"]:
+        want, fits = next(v for v in (m["v1"], m["v2"], m["v3"]) if v is not None), _ATTRIBUTE[m["how"]]
+        return lambda n: attr in n.attrs and fits(n.attrs[attr] or "", want)
+    if attr:
+        return lambda n: attr in n.attrs
+    if m["mark"] == ".":
+        return lambda n: name in (n.attrs.get("class") or "").split()
+    if m["mark"] == "#":
+        return lambda n: n.attrs.get("id") == name
+    return lambda n: n.tag == name.lower()
+
+
+#: Alternatives, each a list of steps ``(link, tests)`` from left to right; the link tells how a step hangs on the one before.
+Selector = list[list[tuple[str, list]]]
+
+
+def parse_selector(selector: str) -> Selector:
+    """``tag``, ``.class``, ``#id``, ``*``, ``[attr]`` with ``= ~= |= ^= $= *=``, places such as ``:nth-child(2n+1)`` and ``:last-child``,
+    compounds, descendants, ``>``, ``+``, ``~`` and commas."""
+    alternatives, steps, tests, link, pos = [], [], [], " ", 0
+    text = selector.strip()
+
+    def close(next_link: str):
+        if not tests:
+            raise ValueError(f"unsupported selector: {selector}")
+        steps.append((link, list(tests)))
+        tests.clear()
+        return next_link
 
-
-def _compound(text: str) -> tuple:
-    parts, pos = [], 0
     while pos < len(text):
-        m = _SIMPLE.match(text, pos)
+        m = _TOKEN.match(text, pos)
         if not m:
-            raise ValueError(f"unsupported selector: {text}")
-        parts.append(m.groups())
+            raise ValueError(f"unsupported selector: {selector}")
         pos = m.end()
-    return tuple(parts)
-
-
-def parse_selector(selector: str) -> list[list[tuple]]:
-    """``tag``, ``.class``, ``#id``, ``[attr]``, ``[attr=value]``, ``*``, compounds, descendants and commas."""
-    return [[_compound(c) for c in alternative.split()] for alternative in selector.split(",")]
-
-
-def _fits(node: _Node, compound: tuple) -> bool:
-    for mark, name, attr, value, _any in compound:
-        if mark == "." and name not in (node.attrs.get("class") or "").split():
-            return False
-        if mark == "#" and node.attrs.get("id") != name:
-            return False
-        if name and not mark and node.tag != name.lower():
-            return False
-        if attr and (attr not in node.attrs or (value is not None and node.attrs[attr] != value)):
+        if m["comma"]:
+            close(" ")
+            alternatives.append(steps)
+            steps, link = [], " "
+        elif m["link"] or m["blank"]:
+            link = close(m["link"] or " ")
+        else:
+            tests.append(_test(m))
+    close(" ")
+    return [*alternatives, steps]
+
+
+def _selected(node: _Node, steps: list[tuple[str, list]], at: int) -> bool:
+    """From right to left: the node fits the step, and a node that the link allows fits the step before."""
+    if not all(test(node) for test in steps[at][1]):
+        return False
+    if at == 0:
+        return True
+    link = steps[at][0]
+    if link in "+~":
+        before = node.parent.children[: node.place - 1]
+        return any(_selected(n, steps, at - 1) for n in (before[-1:] if link == "+" else reversed(before)))
+    above = node.parent
+    while above is not None and above.tag:
+        if _selected(above, steps, at - 1):
+            return True
+        if link == ">":
             return False
-    return True
+        above = above.parent
+    return False
 
 
-def _selected(node: _Node, path: list[tuple]) -> bool:
-    if not _fits(node, path[-1]):
-        return False
-    rest, above = len(path) - 2, node.parent
-    while rest >= 0 and above is not None and above.tag:
-        if _fits(above, path[rest]):
-            rest -= 1
-        above = above.parent
-    return rest < 0
+def select(root: _Node, selector: Selector) -> Iterator[_Node]:
+    """Nodes below ``root`` that fit, in page order. What lies above ``root`` or beside it counts for the steps before the last."""
+    return (n for n in root.walk() if any(_selected(n, steps, len(steps) - 1) for steps in selector))
 
 
-def select(root: _Node, selector: list[list[tuple]]) -> Iterator[_Node]:
-    """Nodes below ``root`` that fit, in page order. Ancestors of ``root`` count for descendants."""
-    return (n for n in root.walk() if any(_selected(n, path) for path in selector))
+_TH, _TR, _TD = (parse_selector(tag) for tag in ("th", "tr", "td"))
+[_LI] = parse_selector("li")
 
 
-def _map_pages(df: DataFrame, key: str, html: str, schema: str, rows) -> DataFrame:
-    """``rows(page)`` for each page; the key column is put in front. A page is parsed once."""
-    key_type = df.schema[key].dataType
-    full = T.StructType([T.StructField(key, key_type), *T._parse_datatype_string(schema).fields])
+def _map_pages(df: DataFrame, key: str, html: str, schema: str, rows, *kept: str) -> DataFrame:
+    """``rows(page)`` for each page; the key and the ``kept`` columns are put in front. A page is parsed once."""
+    front = [key, *kept]
+    full = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in front], *T._parse_datatype_string(schema).fields])
     names = full.fieldNames()
 
     def run(batches):
         for batch in batches:
             out = [
-                (k, *row)
-                for k, page in zip(batch[key].tolist(), batch[html].tolist())
+                (*own, *row)
+                for *own, page in zip(*[batch[c].tolist() for c in front], batch[html].tolist())
                 for row in rows(parse_page(page))
             ]
             yield pd.DataFrame(out, columns=names)
 
-    return df.select(key, html).mapInPandas(run, full)
+    return df.select(*front, html).mapInPandas(run, full)
 
 
 def select_fields(df: DataFrame, key: str, html: str, selectors: Mapping[str, str]) -> DataFrame:
@@ -183,9 +262,9 @@ def containers(df: DataFrame, key: str, html: str, container: str, fields: Mappi
 
 
 def _table_cells(table: _Node) -> Iterator[tuple]:
-    headers = [th.tight_text() for th in select(table, [[_compound("th")]])]
-    for row_no, tr in enumerate(list(select(table, [[_compound("tr")]]))[1:]):
-        cells = [td.tight_text() for td in select(tr, [[_compound("td")]])]
+    headers = [th.tight_text() for th in select(table, _TH)]
+    for row_no, tr in enumerate(list(select(table, _TR))[1:]):
+        cells = [td.tight_text() for td in select(tr, _TD)]
         if cells and len(cells) == len(headers):
             # A repeated header keeps its last cell.
             last = {h: i for i, h in enumerate(headers)}
@@ -210,7 +289,7 @@ def table_rows(cells: DataFrame, key: str, headers: list[str]) -> DataFrame:
 
 def list_items(df: DataFrame, key: str, html: str, selector: str = "ul") -> DataFrame:
     """Text of every ``li`` under the selector: ``key, pos, item``."""
-    parsed = [[*path, _compound("li")] for path in parse_selector(selector)]
+    parsed = [[*steps, *_LI] for steps in parse_selector(selector)]
 
     def rows(page):
         return ((pos, node.tight_text()) for pos, node in enumerate(select(page, parsed)))
@@ -242,16 +321,14 @@ def auto_structure(df: DataFrame, key: str, html: str) -> DataFrame:
 
 def links(df: DataFrame, key: str, url: str, html: str, selector: str = "a") -> DataFrame:
     """Link targets of the elements a selector finds: ``key, url, pos, href, target``."""
-    parsed = parse_selector(selector)
+    found = _map_pages(df, key, html, "pos int, href string", lambda page: hrefs(page, selector), url)
+    return found.select(key, F.col(url).alias("url"), "pos", "href", resolve_href(url, "href").alias("target"))
 
-    def rows(page):
-        hrefs = (n.attrs.get("href") for n in select(page, parsed))
-        return ((pos, h) for pos, h in enumerate(hrefs) if h is not None)
 
-    found = _map_pages(df, key, html, "pos int, href string", rows)
-    return found.join(df.select(key, F.col(url).alias("url")), key).select(
-        key, "url", "pos", "href", resolve_href("url", "href").alias("target")
-    )
+def hrefs(page: _Node, selector: str) -> Iterator[tuple[int, str]]:
+    """Place and link of the elements a selector finds."""
+    found = (n.attrs.get("href") for n in select(page, parse_selector(selector)))
+    return ((pos, h) for pos, h in enumerate(found) if h is not None)
 
 
 def next_page_chains(links: DataFrame, starts: DataFrame, max_pages: int) -> DataFrame:

@@ -262,7 +262,11 @@ def preset(name: str, registry: Registry = DEFAULT) -> list[Pattern]:
 
 def recognize(df: DataFrame, key: str, text: str, patterns: Sequence[Pattern] | None = None) -> DataFrame:
     """Rows ``key, pattern, ord, match, confidence``: distinct formatted matches per text and type."""
-    chosen = list(DEFAULT.select() if patterns is None else patterns)
+    return df.select(F.col(key), F.inline(recognized(F.col(text), DEFAULT.select() if patterns is None else patterns)))
+
+
+def recognized(text: Column, patterns: Sequence[Pattern]) -> Column:
+    """The matches of all types as structs ``pattern, ord, match, confidence``."""
 
     def shaped(p: Pattern) -> Callable[[Column, Column], Column]:
         return lambda m, i: F.struct(
@@ -272,9 +276,8 @@ def recognize(df: DataFrame, key: str, text: str, patterns: Sequence[Pattern] |
             F.lit(p.confidence).alias("confidence"),
         )
 
-    per_type = [F.transform(p.matches(F.col(text)), shaped(p)) for p in chosen]
-    hits = F.concat(*per_type) if len(per_type) > 1 else per_type[0]
-    return df.select(F.col(key), F.inline(hits))
+    per_type = [F.transform(p.matches(text), shaped(p)) for p in patterns]
+    return F.concat(*per_type) if len(per_type) > 1 else per_type[0]
 
 
 def recognize_spans(df: DataFrame, key: str, text: str, patterns: Sequence[Pattern] | None = None) -> DataFrame:

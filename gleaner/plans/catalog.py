@@ -2,6 +2,7 @@
 
 from gleaner.plans import (  # noqa: F401  (importing a module registers its queries)
     queries_extract,
+    queries_functions,
     queries_fuzzy,
     queries_jobs,
     queries_learning,
