@@ -96,13 +96,16 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, delimite
 
 
 def _read_group(spark: SparkSession, paths: list[str], names: list[str], delimiter: str, encoding: str, multi_line: bool, wanted: StructType | None) -> DataFrame:
-    """All cells as text, without the lines that have surplus fields; then in the wanted types."""
-    cells, surplus = [f"_c{i}" for i in range(len(names))], [f"_more{i}" for i in range(3)]
-    fields = ", ".join(f"{c} string" for c in [*cells, *surplus, "_line"])
+    """All cells as text, without the lines that have surplus fields; then in the wanted types.
+
+    The reader hands over the line itself if it has more or fewer fields than the header; only those lines are looked at again.
+    """
+    cells = [f"_c{i}" for i in range(len(names))]
+    fields = ", ".join(f"{c} string" for c in [*cells, "_line"])
     reader = spark.read.schema(fields).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multi_line).option("encoding", "ISO-8859-1" if encoding == "latin1" else encoding)
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").option("enforceSchema", True)
-    rows = reader.csv(paths).where(F.coalesce(*surplus).isNull())
+    rows = reader.csv(paths).where(F.col("_line").isNull() | ~_has_surplus(F.col("_line"), delimiter, len(cells)))
     if wanted is None:
         return rows.select(*[F.col(c).alias(n) for c, n in zip(cells, names)])
     by_name = set(wanted.names) <= set(names)
@@ -112,6 +115,13 @@ def _read_group(spark: SparkSession, paths: list[str], names: list[str], delimit
     ])
 
 
+def _has_surplus(line: Column, delimiter: str, width: int) -> Column:
+    """Whether a cell after the first ``width`` holds anything. Quoted cells are shortened first, as they may hold the delimiter."""
+    plain = F.regexp_replace(F.regexp_replace(line, '"(?:[^"]|"")++"', "x"), "[\r\n]+$", "")
+    shortened = F.split(plain, f"\\Q{delimiter}\\E", -1)
+    return F.exists(F.slice(shortened, width + 1, 1 << 20), lambda cell: ~cell.isin("", '""'))
+
+
 def _inferred(rows: DataFrame) -> DataFrame:
     """Columns whose cells are all whole numbers as bigint, all numbers as double; one pass over the rows."""
     fits = [
