@@ -9,6 +9,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.jobs import with_index
+
+#: Rows that each partition may hand over for a slice of an order.
+TOP_ROWS = 100_000
+
 
 def rename_fields(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """Rename the fields that exist, in order. A new name replaces a field of that name."""
@@ -91,9 +96,15 @@ def equals_or_all(df: DataFrame, column: str, wanted: str, everything: str = "al
 def page_slice(df: DataFrame, order: Sequence[str], start: int, count: int, max_results: int, max_page: int = 100) -> DataFrame:
     """What paging from ``start`` collects: pages of ``count`` (at most ``max_page``) rows up to ``max_results``.
 
-    Pages are contiguous and only a short one ends them, so together they are one slice of the order.
+    Pages are contiguous and only a short one ends them, so together they are one slice of the order. A slice that ends within
+    ``TOP_ROWS`` is a top-n of each partition; a deeper one is cut out by position, so that no task gathers all rows before it.
     """
-    return df.orderBy(*order).offset(start).limit(max_results) if min(count, max_page) > 0 else df.limit(0)
+    if min(count, max_page) <= 0:
+        return df.limit(0)
+    if start + max_results <= TOP_ROWS:
+        return df.orderBy(*order).offset(start).limit(max_results)
+    placed = with_index(df, order, "_place")
+    return placed.where(F.col("_place").between(start, start + max_results - 1)).drop("_place")
 
 
 def paged_collect(df: DataFrame, order: Sequence[str], page_size: int, max_results: int, max_pages: int) -> DataFrame:
