@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import set_apart, set_back
+
 #: White space of the pre-tokenizer's pattern. Python's own split also cuts at 0x1C to 0x1F, which count as symbols there.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = re.compile(f"[{BLANK}]+")
@@ -309,5 +311,7 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
             back = pa.array([decoder.decode(found[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32())), back], ["ids", "decoded"])
 
+    df, old, (text,) = set_apart(df, ("_both",), text)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in (ids, decoded)]
-    return df.select(*rest, both(F.col(text)).alias("_both")).select(*rest, F.col("_both.ids").alias(ids), F.col("_both.decoded").alias(decoded))
+    rows = df.select(*rest, both(F.col(text)).alias("_both"))
+    return set_back(rows.select(*rest, F.col("_both.ids").alias(ids), F.col("_both.decoded").alias(decoded)), old)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stored
+from gleaner.llm.common import set_apart, set_back, stored
 
 #: Smoothing of counts; words looked up by broadcast; words and groups of words that are units; classes.
 ADD, HEAD, WORD_UNITS, SUFFIX_UNITS, CLASSES = 0.1, 200_000, 1000, 256, 64
@@ -215,6 +215,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens, n_known, train_tokens, base_score, score, perplexity``; scores in log10."""
+    docs, old, (text,) = set_apart(docs, ("_p", "_row", "more", "more_logs"), text)
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     shared = spark.sparkContext.broadcast((model.lexicon, model.classes, model.follow, model.end_count))
@@ -246,8 +247,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     logs = F.col("_p.logs") + F.coalesce("more_logs", F.lit(0.0))
     whole = float(np.log10(model.n_tokens + ADD * (model.n_types + 1)))
     total: Column = logs + F.col("_p.follow")
-    return rows.join(found, "_row", "left").select(
+    scored = rows.join(found, "_row", "left").select(
         *[F.col(f"`{c}`") for c in kept], F.col("_p.n").alias("n_tokens"), (F.col("_p.known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.n_tokens).cast("long").alias("train_tokens"), (logs - F.col("_p.n") * whole).alias("base_score"), total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("_p.n")).alias("perplexity"),
     )
+    return set_back(scored, old)

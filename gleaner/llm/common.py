@@ -38,6 +38,27 @@ def bounded_batches(spark: SparkSession, rows: int = 128) -> None:
         spark.conf.set(key, str(rows))
 
 
+def set_apart(df: DataFrame, inner: tuple[str, ...], *args: str) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``df`` with its columns named like one of ``inner`` renamed, old names by new ones, and ``args`` by their new names.
+
+    What an operator calls its own columns thus never meets a column of the caller; without a clash ``df`` stays as it is.
+    """
+    own, taken = {c.lower() for c in inner}, {c.lower() for c in df.columns}
+    prefix = "_apart"
+    while any(c.startswith(prefix) for c in taken | own):
+        prefix += "_"
+    new = {c: f"{prefix}{i}" for i, c in enumerate(df.columns) if c.lower() in own}
+    if not new:
+        return df, {}, list(args)
+    moved = df.select(*[F.col(f"`{c}`").alias(new.get(c, c)) for c in df.columns])
+    return moved, {n: c for c, n in new.items()}, [new.get(a, a) for a in args]
+
+
+def set_back(df: DataFrame, old: dict[str, str]) -> DataFrame:
+    """``df`` with the names that ``set_apart`` has changed."""
+    return df.select(*[F.col(f"`{c}`").alias(old.get(c, c)) for c in df.columns]) if old else df
+
+
 def text_key(key: str, text: str) -> list[Column]:
     """Two columns that tell rows apart up to full repetitions; results of equal rows are equal."""
     return [F.col(key).alias("_key"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_digest")]

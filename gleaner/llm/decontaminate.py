@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower, same_row, small_side, split_words, stored, text_key
+from gleaner.llm.common import ascii_lower, same_row, set_apart, set_back, small_side, split_words, stored, text_key
 
 #: What separates words once A to Z are lower-cased, and the same before that.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -128,6 +128,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with all their columns."""
+    docs, old, (key, text) = set_apart(docs, ("_key", "_digest"), key, text)
     hits = contamination(docs, items, key, text, **settings).select("_key", "_digest")
     tagged = docs.withColumns({"_key": F.col(key), "_digest": text_key(key, text)[1]})
-    return tagged.join(hits, same_row(tagged, hits), "left_anti").select(*docs.columns)
+    return set_back(tagged.join(hits, same_row(tagged, hits), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), old)

@@ -25,6 +25,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import set_apart, set_back
+
 BUCKETS, SIZES = 1 << 15, (2, 3, 4)
 UNKNOWN = "und"
 #: Bytes of a text that are hashed at a time, so that very long texts take bounded memory.
@@ -164,6 +166,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the likeliest language of ``text`` and its calibrated probability."""
+    docs, old, (text,) = set_apart(docs, ("_scored",), text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the corpus
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -173,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
     rows = docs.withColumn("_scored", scored(F.col(text)))
-    return rows.withColumns({lang: F.col("_scored.lang"), score: F.col("_scored.score")}).drop("_scored")
+    return set_back(rows.withColumns({lang: F.col("_scored.lang"), score: F.col("_scored.score")}).drop("_scored"), old)
 
 
 def accepted(model: Model, lang: str = "lang_pred", score: str = "score") -> Column:

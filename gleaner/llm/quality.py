@@ -4,8 +4,8 @@ Every rule is evaluated once per text: the ledger holds the measurements and a b
 mask of rules; applying one, or asking what each of its rules does on its own, needs the bits alone and no text.
 
 Results for odd input: null, empty and blank texts have no words, lines or symbols, so they fail only the rules on
-length; ratios of texts without words count as 0; repeated rows are measured each; an empty table gives an empty ledger; other
-columns are kept, and columns named like the outputs are replaced.
+length; ratios of texts without words count as 0; repeated rows are measured each; an empty table gives an empty ledger; texts of any
+length are measured whole; other columns are kept, whatever their names, and columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import split_words
+from gleaner.llm.common import set_apart, set_back, split_words
 
 SYMBOLS, BLANK_CHARS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Words from which positions do not fit into the 20 bits below a hash.
 LONGS = 1 << 20
+#: Columns that exist only while a text is measured.
+INNER = ("_text", "_words", "_lines", "_runs", "_clash", "_whole", "_at")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -67,6 +69,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     neighbours have equal bits and other words, and in longer texts, the words themselves are sorted along with the hash, so
     that chance collisions neither add nor hide a run.
     """
+    df, old, (text,) = set_apart(df, INNER, text)
     own = F.coalesce(F.col(text), F.lit(""))
     rows = df.withColumn("_text", own).withColumn("_words", split_words(F.col("_text")))
     rows = rows.withColumns({
@@ -98,7 +101,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         r -> {place.format(r="r")})) END"""))
     rows = rows.withColumn("n_repeat_words", F.expr("""
         aggregate(transform(_at, (p, i) -> least(3, coalesce(get(_at, i + 1) - p, 3))), 0L, (n, x) -> n + x)"""))
-    return rows.drop("_text", "_words", "_lines", "_runs", "_clash", "_whole", "_at")
+    return set_back(rows.drop(*INNER), old)
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:

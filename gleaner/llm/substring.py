@@ -16,7 +16,7 @@ smallest hash, which equal windows have in common.
 
 Results for odd input: null, empty and short texts lose nothing; a repeated row is an occurrence elsewhere, so both lose all words
 if they have ``window`` words or more; a repeated word or phrase within one text counts as occurring elsewhere; an empty table gives
-no rows; other columns are kept by ``cut``.
+no rows; other columns are kept by ``cut``, whatever their names but those of its outputs.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import same_row, stored, text_key
+from gleaner.llm.common import same_row, set_apart, set_back, stored, text_key
 
 #: Segments of a seed up to which it is a shard by itself; bits of a filter at least per seed and at most in all.
 SHARD, BITS_PER_SEED, MOST_BITS = 2000, 32, 1 << 28
@@ -314,6 +314,7 @@ def _kept(text: str | None, spans: list[dict] | None) -> tuple[int, int, str]:
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with ``n_words, n_removed, kept``: what is left of the text, words joined by a blank."""
+    docs, old, (key, text) = set_apart(docs, ("_key", "_digest", "_left", "_spans"), key, text)
     spans = repeated_spans(docs, key, text, **settings)
     rows = docs.withColumns({"_key": F.col(key).cast("string"), "_digest": text_key(key, text)[1]})
     joined = rows.join(spans, same_row(rows, spans), "left").select(*[rows[f"`{c}`"] for c in docs.columns], spans["spans"].alias("_spans"))
@@ -325,4 +326,5 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) ->
             yield pa.StructArray.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))], ["n_words", "n_removed", "kept"])
 
     done = joined.withColumn("_left", left(F.col(text), F.col("_spans")))
-    return done.withColumns({c: F.col(f"_left.{c}") for c in ("n_words", "n_removed", "kept")}).drop("_left", "_spans")
+    done = done.withColumns({c: F.col(f"_left.{c}") for c in ("n_words", "n_removed", "kept")}).drop("_left", "_spans")
+    return set_back(done, old)

@@ -374,3 +374,35 @@ def test_pipeline_keeps_one_of_each_group_without_ids(spark):
     assert sorted([(str(r.doc_id), r.text) for r in simhash.one_of_each(docs).collect()], key=str) == want
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert sorted([(str(r.doc_id), r.text) for r in stage(spark, docs, "").collect()], key=str) == want
+
+
+INNER = ("_text", "_words", "_lines", "_runs", "_clash", "_whole", "_at", "_key", "_digest", "_left", "_spans", "_scored", "_p", "_row", "more", "more_logs",
+         "_both", "_apart0", "key", "own", "root", "row", "fp", "id", "digest", "size", "spans", "items", "hash", "word", "n", "times", "segment", "starts", "_Key")
+
+
+@pytest.mark.parametrize("inner", [INNER[i::2] for i in range(2)])
+def test_columns_of_the_caller_survive(spark, docs, inner):
+    """Columns named like those that exist only inside an operator, and one of type map, keep their values."""
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c + " "), F.coalesce("doc_id", F.lit(0))).alias(c) for c in inner])
+    rows = rows.withColumn("a map", F.create_map(F.lit("id"), F.col("doc_id")))
+    many = spark.createDataFrame([(i, "the cat and the dog of this", "en", "", 1) if i % 2 else (i, "der hund und die katze", "de", "", 1) for i in range(50)], DOCS)
+    items = spark.createDataFrame([(1, "ONE two")], "item_id long, text string")
+    outs = {
+        "quality": (quality.ledger(rows), len(ROWS)), "langid": (langid.predict(rows, langid.train(many)), len(ROWS)), "brown": (brown.score(rows, brown.fit(many)), len(ROWS)),
+        "bpe": (bpe.round_trip(rows, queries_text.VOCABULARY), len(ROWS)), "substring": (substring.cut(rows), len(ROWS)),
+        "decontaminate": (decontaminate.without_contaminated(rows, items), len(ROWS) - 3), "near_copies": (near_copies.one_of_group(rows), None),
+    }
+    for name, (out, n) in outs.items():
+        got = out.collect()
+        assert n in (None, len(got)), name
+        for r in got:
+            assert [r[c] for c in inner] == [f"{c} {r.doc_id or 0}" for c in inner] and r["a map"] == {"id": r.doc_id}, name
+
+
+@pytest.mark.parametrize("key, text", [("_key", "_text"), ("_digest", "_scored"), ("_row", "_left")])
+def test_keys_and_texts_of_any_name(docs, key, text):
+    rows = docs.select(F.col("doc_id").alias(key), F.col("text").alias(text))
+    assert quality.ledger(rows, text).columns[:2] == substring.cut(rows, key, text).columns[:2] == [key, text]
+    assert {r[key]: r.n_removed for r in substring.cut(rows, key, text).collect()}[5] == 60
+    assert langid.predict(rows, langid.train(docs), text).columns == [key, text, "lang_pred", "score"]
+    assert brown.score(rows, brown.fit(rows, text), text).columns[0] == key and bpe.round_trip(rows, queries_text.VOCABULARY, text).columns[:2] == [key, text]
