@@ -44,7 +44,7 @@ def op4_langid(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     model = langid.train(docs.where(fold(F.col("doc_id"), 3) != 1))
-    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
