@@ -5,7 +5,8 @@ them. Fragments between such certain cuts are encoded on their own and their ids
 undivided text. Words (between white space) are fragments in any case, as the pre-tokenizer drops white space.
 
 Results for odd input: a null or empty text has no ids and decodes to the empty string; repeated rows are encoded each;
-ids that the vocabulary lacks are skipped by ``decode``; other columns are kept, a column named like the output is replaced.
+ids that the vocabulary lacks are skipped by ``decode``; texts of any length are encoded whole, and long words leave the table of words
+when it has ``CACHED_CHARS`` characters; other columns are kept, a column named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ _WIDE = re.compile(f"[{chr(_FIRST_WIDE)}-{chr(sys.maxunicode)}]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Fixed value: the pattern of pieces in the vocabulary file; others are refused.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words kept with their ids per Python worker, longer words than LONG_WORD never; beyond this the table starts anew.
-CACHED_WORDS, LONG_WORD = 150_000, 60
+#: Words kept with their ids per Python worker, and characters of all of them; beyond either the table starts anew.
+CACHED_WORDS, CACHED_CHARS = 150_000, 6_000_000
+#: Fragments of more bytes are merged on their own.
+LONG_WORD = 60
 NONE = 1 << 40
 
 
@@ -93,6 +96,7 @@ class Codec:
     def _forget(self) -> None:
         self._slots: dict[str, int] = {}
         self._starts, self._sizes, self._pool, self._used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 0
+        self._chars = 0
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -104,7 +108,7 @@ class Codec:
         words = list(chain.from_iterable(own))
         slots = np.fromiter(map(self._slots.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(slots < 0)
-        if len(new) and len(self._slots) + len(new) > CACHED_WORDS:
+        if len(new) and (len(self._slots) + len(new) > CACHED_WORDS or self._chars > CACHED_CHARS):
             self._forget()
             new = np.arange(len(words))
         if len(new):
@@ -166,6 +170,7 @@ class Codec:
         self._starts = np.concatenate([self._starts, self._used + np.cumsum(counts) - counts])
         self._sizes = np.concatenate([self._sizes, counts])
         self._used += len(tokens)
+        self._chars += sum(map(len, words))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and token of merging the pairs; NONE where nothing merges."""
