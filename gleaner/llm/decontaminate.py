@@ -14,7 +14,7 @@ where its rarest shingle occurs: that is the necessary prefix of an exact contai
 
 Results for odd input: null, empty and word-less texts have no words, hits or items; repeated rows get a result each; items
 without words are no windows; items with equal ids are one item, items with a null id hit but are not counted; ties in rarity go
-to the first shingle; an empty table of either kind gives no hits; other columns are not looked at.
+to the first shingle; texts of any length are read whole; an empty table of either kind gives no hits; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ).select("_key", "_digest", begin.alias("begin"), F.col("n").alias("size"), "window")
     hits = stored(hits, "hits")
     spans = hits.groupBy("_key", "_digest").agg(F.sort_array(F.collect_set(F.struct("begin", "size"))).alias("spans"))
-    owners = small_side(owned.select("window", "item").distinct(), n_looked_for)
+    # Many items may have one text, so owners are counted on their own.
+    owners = stored(owned.select("window", "item").distinct(), "owners")
+    owners = small_side(owners, owners.count())
     named = (
         hits.select("_key", "_digest", "window").distinct().join(owners, "window")
         .groupBy("_key", "_digest").agg(F.sort_array(F.collect_set("item")).alias("items"))

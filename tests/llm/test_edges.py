@@ -59,6 +59,16 @@ def test_bpe_as_the_library(spark, library):
         at += n
 
 
+def test_bpe_table_of_long_words_is_bounded(monkeypatch, library):
+    """Long words are encoded as ever, but do not stay once the table has too many characters."""
+    monkeypatch.setattr(bpe, "CACHED_CHARS", 50_000)
+    codec = bpe.Codec(open(queries_text.VOCABULARY, encoding="utf-8").read())
+    for i in range(40):
+        text = f"word{i} " + f"abc{i}def" * 1000
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, codec._slots)) <= 50_000 + len(text)
+
+
 def test_bpe_frame(docs, empty, library):
     rows = queries_text.bpe_digests(docs, queries_text.VOCABULARY).collect()
     want = sorted((str(r[0]), len(e := library.encode(r[1] or "", add_special_tokens=False).ids), digest(" ".join(map(str, e)))) for r in ROWS)
@@ -106,10 +116,19 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.without_contaminated(docs, items).columns == docs.columns
 
 
+def test_decontaminate_many_items_of_one_text(spark, docs, monkeypatch):
+    """The items of a window are counted before they are broadcast; beyond the limit they are shuffled, with the same result."""
+    items = spark.range(30_000).select(F.col("id").alias("item_id"), F.lit("ONE two").alias("text"))
+    monkeypatch.setattr(decontaminate, "small_side", lambda df, rows: F.broadcast(df) if rows <= 1000 else df)
+    got = [len(r["items"]) for r in decontaminate.decontaminate(docs, items).where("n_hit > 0").collect()]
+    assert got == [30_000] * 3
+
+
 def test_langid(spark, docs, empty):
     many = spark.createDataFrame([(i, "the cat and the dog of this", "en", "", 1) if i % 2 else (i, "der hund und die katze", "de", "", 1) for i in range(200)], DOCS)
     model = langid.train(many)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    assert langid.only_accepted(many, model).count() == 200 and langid.only_accepted(docs, langid.train(empty)).count() == 0
     assert got[1] == got[2] == got[3] == got[8] == ("und", 0.0)
     assert langid.predict(many, model).where("lang <> lang_pred").count() == 0
     assert all(0 <= s <= 1 for _, s in got.values()) and langid.predict(empty, model).count() == 0
@@ -121,6 +140,23 @@ def test_langid_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) > 0.98 * len(rows)
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_languages_left_out_are_rejected(spark, left_out):
+    """Trained on two thirds of the rows in three languages: texts of the fourth are rejected, held-out texts of the three are kept."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text RLIKE '[A-Za-z]'")
+    held_out = queries_text.fold(F.col("doc_id"), 3) == 1
+    model = langid.train(rows.where(~held_out & (F.col("lang") != left_out)))
+    asked = rows.where(held_out | (F.col("lang") == left_out))
+    shares = {r[0]: r[1] for r in langid.predict(asked, model).groupBy(F.col("lang") == left_out).agg(F.avg(F.col("accepted").cast("int"))).collect()}
+    assert shares[True] <= 0.1 and shares[False] >= 0.98, shares
+
+
+def test_more_languages_than_are_frequent(spark):
+    """No label is left out for being rare: 300 of them, 4 rows each."""
+    rows = [(4 * i + k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in "abcdefgh"), f"l{i:03}", "", 1) for i in range(300) for k in range(4)]
+    assert len(langid.train(spark.createDataFrame(rows, DOCS), epochs=1).languages) == 300
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a\\[INST]"), (1, 1, "assistant", None), (2, 0, "assistant", "</s>"), (3, 1, "x>> y", "t"), (3, 1, None, "t"), (3, 1, None, "t"), (None, 0, "user", "u")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))
@@ -359,9 +395,12 @@ def test_pipeline_columns(spark):
 
 
 def test_pipeline_edges(spark, docs):
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    clash = ("n_words", "n_removed", "kept", "_lang", "_accepted", "_key", "_digest")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(c).alias(c) for c in clash])
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, rows, "/root/testdata/sf0.001").columns == rows.columns
+        out = stage(spark, rows, "/root/testdata/sf0.001")
+        assert out.columns == rows.columns
+        assert all(r[c] == c for r in out.collect() for c in clash)
         assert stage(spark, rows.limit(0), "/root/testdata/sf0.001").count() == 0
 
 
@@ -404,5 +443,5 @@ def test_keys_and_texts_of_any_name(docs, key, text):
     rows = docs.select(F.col("doc_id").alias(key), F.col("text").alias(text))
     assert quality.ledger(rows, text).columns[:2] == substring.cut(rows, key, text).columns[:2] == [key, text]
     assert {r[key]: r.n_removed for r in substring.cut(rows, key, text).collect()}[5] == 60
-    assert langid.predict(rows, langid.train(docs), text).columns == [key, text, "lang_pred", "score"]
+    assert langid.predict(rows, langid.train(docs), text).columns == [key, text, "lang_pred", "score", "accepted"]
     assert brown.score(rows, brown.fit(rows, text), text).columns[0] == key and bpe.round_trip(rows, queries_text.VOCABULARY, text).columns[:2] == [key, text]
