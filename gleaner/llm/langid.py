@@ -7,10 +7,10 @@ languages are taken over all rows. Part of the sample calibrates: it sets the
 temperature of the softmax and the two limits of rejection:
 
 * the score, a third of the way from chance to what a share of ``reject_share`` of known texts stays below;
-* the familiarity, the share of a text's subwords that occur in the examples of the language it is taken for. How an unknown language
-  looks is seen from known ones: held-out texts under the tables of all languages but their own. The limit is half way between what nine in
-  ten of those stay below and what all but one in a hundred texts reach under their own table, and never above the latter. ``DOUBT``
-  subwords count as familiar in every text, so that a few rare names do not reject a short one.
+* the familiarity, the share of a text's subwords that occur in more than a share of ``USUAL`` of the examples of the language it is taken
+  for. How an unknown language looks is seen from known ones: held-out texts under the tables of all languages but their own. The limit is
+  half way between what nine in ten of those stay below and what a share of ``reject_share`` of texts stays below under their own table, and
+  never above the latter. ``DOUBT`` subwords count as familiar in every text, so that a few rare names do not reject a short one.
 
 Texts are read whole. As the average is linear, a trained model is one table of logits per bucket; scoring a text is one
 histogram of buckets times that table.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import set_apart, set_back, small_side, stored
 
 BUCKETS, SIZES = 1 << 15, (2, 3, 4)
-DOUBT = 50
+DOUBT, USUAL = 50, 0.05
 UNKNOWN = "und"
 #: Bytes of a text that are hashed at a time, so that very long texts take bounded memory.
 STEP = 1 << 20
@@ -71,7 +71,7 @@ def has_letters(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """``logits``: a row per bucket, a column per language, already divided by the temperature; ``seen``: which buckets a language has."""
+    """``logits``: a row per bucket, a column per language, already divided by the temperature; ``seen``: which buckets a language usually has."""
 
     languages: list[str]
     logits: np.ndarray
@@ -180,15 +180,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     heat = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(raw / t)[np.arange(len(check)), label[check]] + 1e-12).mean())
     top = _softmax(raw / heat).max(axis=1)
     chance = 1 / len(languages)
-    seen = np.zeros((BUCKETS, len(languages)), bool)
+    held_by = np.zeros((BUCKETS, len(languages)), np.int32)  # examples with a bucket
     for i in learned:
-        seen[xs[i][0], label[i]] = True
+        held_by[xs[i][0], label[i]] += 1
+    seen = held_by > np.floor(USUAL * np.bincount(label[learned], minlength=len(languages)))
     whole, sizes = rows["whole"].to_numpy(), rows["n"].to_numpy()
     shares = {i: (seen[xs[i][0]] * xs[i][1]).sum(axis=0) for i in check if whole[i]}  # per language, of whole texts
     own = [familiarity(s[label[i]] * sizes[i], sizes[i]) for i, s in shares.items()]
     foreign = [familiarity(np.delete(s, label[i]).max(initial=0) * sizes[i], sizes[i]) for i, s in shares.items()]
-    usual = float(np.quantile(own, 0.01)) if own else 0.0
-    least = min(usual, (usual + float(np.quantile(foreign, 0.9))) / 2) if own else 0.0
+    usual, unknown = (float(np.quantile(*x)) for x in ((own, reject_share), (foreign, 0.9))) if own else (0.0, 0.0)
+    least = min(usual, (usual + unknown) / 2)
     reject_below = (2 * chance + float(np.quantile(top, reject_share))) / 3
     return Model(languages, (logits / heat).astype(np.float32), bias / heat, reject_below, seen, least)
 
