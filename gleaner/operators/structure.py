@@ -1,19 +1,17 @@
 """Headings, sections and embedded tables of plain texts.
 
-A text is cut into lines once; the state machines over its lines become running counts in windows per
-text. One text bounds such a group.
+A text is cut into an array of lines once, and everything stays in its row: lines are classed where they are, the places
+of headings, or of lines outside tables, cut the array into slices, and only the results are exploded. Nothing is
+shuffled, and the work grows with the length of a text. A null text has no lines.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.arrays import let
-from gleaner.functions.text import WHITE
+from gleaner.functions.arrays import let, once
+from gleaner.functions.text import WHITE, _col
 
 _BLANK = rf"(?U)\A[{WHITE}]*\z"
 _EDGES = rf"(?U)\A[{WHITE}]+|[{WHITE}]+\z"
@@ -24,10 +22,33 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
-def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line_no, raw, last_line``: the lines of each text, counted from 0."""
-    lines = F.split(F.col(text), "\n", -1)
-    return df.select(F.col(key), (F.size(lines) - 1).alias("last_line"), F.posexplode(lines).alias("line_no", "raw"))
+def text_lines(text: Column | str) -> Column:
+    """The lines of a text."""
+    return F.split(_col(text), "\n", -1)
+
+
+def slices_between(items: Column, cuts: Column) -> Column:
+    """``array<struct<at, part>>``: the stretches of ``items`` between the 0-based places ``cuts``.
+
+    ``at`` is the place before the stretch, -1 for the first. ``items`` should be a column or a lambda variable, as it is
+    read once per stretch.
+    """
+    def cut(edges: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(edges) - 2),
+            lambda k: F.struct(
+                F.get(edges, k).alias("at"),
+                F.slice(items, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1).alias("part"),
+            ),
+        )
+
+    return let(F.concat(F.array(F.lit(-1)), cuts, F.array(F.size(items))), cut)
+
+
+def places(items: Column, holds) -> Column:
+    """0-based places of the items that fulfil ``holds``."""
+    marked = F.transform(items, lambda x, i: F.when(holds(x), i))
+    return F.filter(marked, lambda i: i.isNotNull())
 
 
 def _all_upper(line: Column) -> Column:
@@ -53,26 +74,44 @@ def heading_level(line: Column, raw_next: Column, is_last: Column) -> Column:
     )
 
 
-def heading_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Non-blank lines with their heading level: ``key, line_no, line, level``."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    lines = text_lines(df, key, text).withColumn("raw_next", F.lead("raw").over(w))
-    lines = lines.withColumn("line", strip(F.col("raw"))).filter(F.col("line") != "")
-    level = heading_level(F.col("line"), F.coalesce("raw_next", F.lit("")), F.col("line_no") == F.col("last_line"))
-    marked = lines.withColumn("level", level)
-    title = F.when((F.col("level") > 0) & ~_all_upper_short(F.col("line")),
-                   F.regexp_replace("line", r"(?U)\A#{1,6}\s+", "")).otherwise(F.col("line"))
-    return marked.select(key, "line_no", title.alias("line"), F.col("level").cast("int").alias("level"))
-
-
 def _all_upper_short(line: Column) -> Column:
     return _all_upper(line) & (F.length(line) < 100)
 
 
+def heading_array(text: Column | str) -> Column:
+    """Non-blank lines with their heading level: ``array<struct<line_no, line, level>>``; marks are cut from headings."""
+    def classed(lines: Column) -> Column:
+        cut = F.transform(
+            lines, lambda raw, i: F.struct(i.alias("line_no"), strip(raw).alias("line"), F.get(lines, i + 1).alias("raw_next")))
+        levels = F.transform(
+            F.filter(cut, lambda x: x["line"] != ""),
+            lambda x: F.struct(
+                x["line_no"].alias("line_no"), x["line"].alias("line"),
+                heading_level(x["line"], F.coalesce(x["raw_next"], F.lit("")), x["line_no"] == F.size(lines) - 1).cast("int").alias("level"),
+            ),
+        )
+        return F.transform(levels, lambda x: F.struct(x["line_no"].alias("line_no"), _title(x).alias("line"), x["level"].alias("level")))
+
+    return let(text_lines(text), classed)
+
+
+def _title(x: Column) -> Column:
+    return F.when(
+        (x["level"] > 0) & ~_all_upper_short(x["line"]), F.regexp_replace(x["line"], r"(?U)\A#{1,6}\s+", "")
+    ).otherwise(x["line"])
+
+
+def section_array(items: Column) -> Column:
+    """Sections of a column made by ``heading_array``, those without content included; ``head`` is null for the first."""
+    parts = slices_between(items, places(items, lambda x: x["level"] > 0))
+    return F.transform(
+        parts, lambda s, k: F.struct(k.alias("section_no"), F.get(items, s["at"]).alias("head"), s["part"].alias("body")))
+
+
 def headings(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, title, level``."""
-    found = heading_lines(df, key, text).filter(F.col("level") > 0)
-    return found.select(key, "line_no", F.col("line").alias("title"), "level")
+    found = F.filter(heading_array(text), lambda x: x["level"] > 0)
+    return df.select(key, F.inline(found).alias("line_no", "title", "level"))
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,92 +120,99 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     Text before the first heading is section 0 with level 0 and no start line; the others are counted by
     their heading.
     """
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_heading = F.col("level") > 0
-    numbered = heading_lines(df, key, text).withColumn("section_no", F.sum(is_heading.cast("int")).over(w))
-    body = F.struct("line_no", "line")
-    return (
-        numbered.groupBy(key, "section_no")
-        .agg(
-            F.coalesce(F.max(F.when(is_heading, F.col("line"))), F.lit("")).alias("title"),
-            F.max("level").cast("int").alias("level"),
-            F.max(F.when(is_heading, F.col("line_no"))).alias("start_line"),
-            F.max("line_no").alias("end_line"),
-            F.array_sort(F.collect_list(F.when(~is_heading, body))).alias("body"),
-        )
-        .filter(F.size("body") > 0)
-        .select(
-            key, F.col("section_no").cast("int").alias("section_no"), "title", "level", "start_line", "end_line",
-            F.array_join(F.col("body.line"), "\n").alias("content"),
-        )
+    cut = once(df.select(key, F.col(text).alias("_text")), _lines=heading_array("_text"))
+    filled = F.filter(section_array(F.col("_lines")), lambda s: F.size(s["body"]) > 0)
+    return cut.select(key, F.explode(filled).alias("s")).select(
+        key, "s.section_no", F.coalesce("s.head.line", F.lit("")).alias("title"), F.coalesce("s.head.level", F.lit(0)).alias("level"),
+        F.col("s.head.line_no").alias("start_line"), F.element_at("s.body", -1)["line_no"].alias("end_line"),
+        F.array_join("s.body.line", "\n").alias("content"),
     )
 
 
 def structure_summary(df: DataFrame, key: str, text: str) -> DataFrame:
     """Per text: ``headings, total_sections, max_heading_level, has_hierarchy``."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_heading = F.col("level") > 0
-    numbered = heading_lines(df, key, text).withColumn("section_no", F.sum(is_heading.cast("int")).over(w))
-    per_section = numbered.groupBy(key, "section_no").agg(
-        F.max("level").alias("level"), F.max((~is_heading).cast("int")).alias("has_content")
+    cut = once(df.select(key, F.coalesce(text, F.lit("")).alias("_text")), _lines=heading_array("_text"))
+    measured = once(
+        cut,
+        _levels=F.filter(F.transform("_lines", lambda x: x["level"]), lambda v: v > 0),
+        _filled=F.size(F.filter(section_array(F.col("_lines")), lambda s: F.size(s["body"]) > 0)),
     )
-    found = per_section.groupBy(key).agg(
-        F.count_if(F.col("level") > 0).alias("headings"),
-        F.sum("has_content").cast("long").alias("total_sections"),
-        F.max("level").alias("max_heading_level"),
-        (F.count_distinct(F.when(F.col("level") > 0, F.col("level"))) > 1).alias("has_hierarchy"),
-    )
-    return df.select(key).join(found, key, "left").select(
-        key,
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("headings", "total_sections", "max_heading_level")],
-        F.coalesce("has_hierarchy", F.lit(False)).alias("has_hierarchy"),
+    return measured.select(
+        key, F.size("_levels").cast("long").alias("headings"), F.col("_filled").cast("long").alias("total_sections"),
+        F.coalesce(F.array_max("_levels"), F.lit(0)).alias("max_heading_level"),
+        (F.size(F.array_distinct("_levels")) > 1).alias("has_hierarchy"),
     )
 
 
 _MULTI_GAP = rf"(?U)[{WHITE}]{{2,}}[^{WHITE}]"
 
 
-def table_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of the tables in each text: ``key, table_no, line_no, raw, format``.
+def _classed_lines(text: Column | str) -> Column:
+    """``array<struct<line_no, raw, blank, opens, format>>`` of all lines; ``opens``: a table row or a ruler."""
+    def counted(raw: Column, i: Column) -> Column:
+        pipes = F.length(raw) - F.length(F.replace(raw, F.lit("|"), F.lit("")))
+        tabs = F.length(raw) - F.length(F.replace(raw, F.lit("\t"), F.lit("")))
+        return F.struct(i.alias("line_no"), raw.alias("raw"), pipes.alias("pipes"), tabs.alias("tabs"))
+
+    def classed(x: Column) -> Column:
+        raw = x["raw"]
+        aligned = raw.rlike(_MULTI_GAP) & raw.rlike(rf"(?U)[^{WHITE}][{WHITE}]{{2,}}")
+        opens = raw.rlike(rf"(?U)\A[{WHITE}\-+|]+\z") | (x["pipes"] > 1) | (x["tabs"] > 1) | aligned
+        kind = F.when(x["pipes"] > 1, "pipe").when(x["tabs"] > 1, "tab").otherwise("aligned")
+        return F.struct(
+            x["line_no"].alias("line_no"), raw.alias("raw"), raw.rlike(_BLANK).alias("blank"), opens.alias("opens"), kind.alias("format"))
+
+    return F.transform(F.transform(text_lines(text), counted), classed)
+
+
+def tables(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The tables in each text, one row each: ``key, table_no, format, lines``.
 
     A run of table rows, rulers and blank lines is a table if at least two of its lines are not blank. A
     run can open on a row or a ruler only, so leading blank lines are not part of it; its first line gives
-    the format.
+    the format. ``lines`` are structs ``line_no, raw, blank``.
     """
-    raw = F.col("raw")
-    pipes = F.length(raw) - F.length(F.replace(raw, F.lit("|"), F.lit("")))
-    tabs = F.length(raw) - F.length(F.replace(raw, F.lit("\t"), F.lit("")))
-    aligned = raw.rlike(_MULTI_GAP) & raw.rlike(rf"(?U)[^{WHITE}][{WHITE}]{{2,}}")
-    opens = raw.rlike(rf"(?U)\A[{WHITE}\-+|]+\z") | (pipes > 1) | (tabs > 1) | aligned
-    w = Window.partitionBy(key).orderBy("line_no")
-    classed = text_lines(df, key, text).select(
-        key, "line_no", "raw", opens.alias("opens"), (opens | raw.rlike(_BLANK)).alias("inside"),
-        F.when(pipes > 1, "pipe").when(tabs > 1, "tab").otherwise("aligned").alias("format"),
-    )
-    # Lines outside split the text into stretches; a run starts at the first opening line of a stretch.
-    stretch = F.sum((~F.col("inside")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spread = classed.withColumn("stretch", stretch).filter("inside")
-    per = Window.partitionBy(key, "stretch")
-    started = spread.withColumn("start", F.min(F.when(F.col("opens"), F.col("line_no"))).over(per))
-    lines = (
-        started.filter(F.col("line_no") >= F.col("start"))
-        .withColumn("filled", F.count_if(~F.col("raw").rlike(_BLANK)).over(per))
-        .withColumn("format", F.max(F.when(F.col("line_no") == F.col("start"), F.col("format"))).over(per))
-        .filter(F.col("filled") >= 2)
-    )
-    number = F.dense_rank().over(Window.partitionBy(key).orderBy("start")) - 1
-    return lines.select(key, number.alias("table_no"), "line_no", "raw", "format", "start")
+    def run(part: Column) -> Column:
+        first = F.array_position(F.transform(part, lambda x: x["opens"]), True).cast("int")
+        return let(first, lambda p: F.when(p > 0, F.slice(part, p, F.size(part))))
+
+    def is_table(lines: Column) -> Column:
+        return lines.isNotNull() & (F.size(F.filter(lines, lambda x: ~x["blank"])) >= 2)
+
+    cut = once(df.select(key, F.col(text).alias("_text")), _lines=_classed_lines("_text"))
+    parts = slices_between(F.col("_lines"), places(F.col("_lines"), lambda x: ~(x["opens"] | x["blank"])))
+    several = F.filter(parts, lambda s: F.size(s["part"]) >= 2)
+    runs = F.filter(F.transform(several, lambda s: run(s["part"])), is_table)
+    return cut.select(key, F.posexplode(runs).alias("table_no", "lines")).select(
+        key, "table_no", F.get("lines.format", F.lit(0)).alias("format"), "lines")
+
+
+def table_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of the tables in each text: ``key, table_no, format, line_no, raw``."""
+    found = tables(df, key, text).select(key, "table_no", "format", F.explode("lines").alias("x"))
+    return found.select(key, "table_no", "format", "x.line_no", "x.raw")
 
 
 def table_islands(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per table run: ``key, table_no, format, start_line, end_line, n_lines``."""
-    return (
-        table_lines(df, key, text).groupBy(key, "table_no", "format")
-        .agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
-             F.count_if(~F.col("raw").rlike(_BLANK)).alias("n_lines"))
+    return tables(df, key, text).select(
+        key, "table_no", "format", F.get("lines.line_no", F.lit(0)).alias("start_line"), F.element_at("lines.line_no", -1).alias("end_line"),
+        F.size(F.filter("lines", lambda x: ~x["blank"])).cast("long").alias("n_lines"),
     )
 
 
+def _filled_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, table_no, format, raws``: the lines of each table that are not blank."""
+    raws = F.transform(F.filter("lines", lambda x: ~x["blank"]), lambda x: x["raw"])
+    return tables(df, key, text).select(key, "table_no", "format", raws.alias("raws"))
+
+
+def _cell_rows(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (arrays of cells) of tables with more than a header, one row per cell."""
+    lines = rows.filter(F.size("rows") > 1).select(key, "table_no", F.posexplode("rows").alias("row_no", "cells"))
+    return lines.select(key, "table_no", "row_no", F.posexplode("cells").alias("col_no", "cell"))
+
+
 _MARKDOWN_RULE = rf"(?U)\A[{WHITE}]*\|[{WHITE}\-+:]+\|[{WHITE}]*\z"
 
 
@@ -184,51 +230,61 @@ def _cut_empty_ends(cells: Column) -> Column:
 
 def split_table_cells(df: DataFrame, key: str, text: str) -> DataFrame:
     """Cells of pipe and tab tables: ``key, table_no, row_no, col_no, cell``; row 0 is the header."""
-    lines = table_lines(df, key, text).filter(F.col("format") != "aligned").filter(~F.col("raw").rlike(_BLANK))
-    per = Window.partitionBy(key, "table_no")
-    ordered = lines.withColumn("n", F.row_number().over(per.orderBy("line_no")))
-    is_rule = F.col("raw").rlike(_MARKDOWN_RULE) & (F.col("format") == "pipe")
-    markdown = F.max(((F.col("n") == 2) & is_rule).cast("int")).over(per) == 1
-    data = ordered.withColumn("markdown", markdown).filter((F.col("n") == 1) | ~(F.col("markdown") & is_rule))
-    pipe_cells = _cut_empty_ends(F.transform(F.split(strip(F.col("raw")), r"\|", -1), strip))
-    cells = F.when(F.col("format") == "pipe", pipe_cells).otherwise(F.transform(F.split("raw", "\t", -1), strip))
-    rows = data.withColumn("cells", cells).filter((F.col("n") == 1) | (F.size("cells") > 0))
-    numbered = rows.withColumn("row_no", F.row_number().over(per.orderBy("line_no")) - 1)
-    kept = numbered.withColumn("last_row", F.max("row_no").over(per)).filter("last_row > 0")
-    return kept.select(key, "table_no", "row_no", F.posexplode("cells").alias("col_no", "cell"))
-
-
-_GAP = re.compile(r"\s{2,}")
-
-
-def _aligned_cells(lines: list[str]) -> list[list[str]]:
-    """Cut lines at the column breaks that the first five share (a break may be off by one character)."""
-    breaks: list[int] = []
-    for n, line in enumerate(lines[:5]):
-        found = [m.start() for m in _GAP.finditer(line)]
+    pipe = F.col("format") == "pipe"
+
+    def data(raws: Column) -> Column:
+        """Without the rulers of a table whose second line is one."""
+        ruled = pipe & F.coalesce(F.get(raws, F.lit(1)).rlike(_MARKDOWN_RULE), F.lit(False))
+        return let(ruled, lambda r: F.filter(raws, lambda raw, i: (i == 0) | ~r | ~raw.rlike(_MARKDOWN_RULE)))
+
+    def cells(raw: Column) -> Column:
+        return F.when(pipe, _cut_empty_ends(F.transform(F.split(strip(raw), r"\|", -1), strip))).otherwise(
+            F.transform(F.split(raw, "\t", -1), strip))
+
+    found = _filled_lines(df, key, text).filter(F.col("format") != "aligned")
+    rows = F.filter(F.transform(let(F.col("raws"), data), cells), lambda c, i: (i == 0) | (F.size(c) > 0))
+    return _cell_rows(once(found.select(key, "table_no", "format", "raws"), rows=rows), key)
+
+
+def _gap_starts(line: Column) -> Column:
+    """0-based places where two or more white characters begin."""
+    white = F.transform(F.split(line, ""), lambda c: c.rlike(rf"(?U)[{WHITE}]"))
+    at = lambda w, p: F.coalesce(F.get(w, p), F.lit(False))
+    return let(white, lambda w: F.filter(
+        F.sequence(F.lit(0), F.size(w) - 1), lambda p: F.get(w, p) & at(w, p + 1) & ~at(w, p - 1)))
+
+
+def column_breaks(raws: Column) -> Column:
+    """Column breaks that the first five lines share (a break may be off by one character)."""
+    def shared(breaks: Column, line: Column) -> Column:
         # An empty set of breaks is filled by the next line, as if nothing had been seen.
-        breaks = [b for b in breaks if any(abs(b - f) <= 1 for f in found)] if breaks else found
-    if not breaks:
-        return []
-    out = []
-    for n, line in enumerate(lines):
-        edges = [0, *breaks] if n == 0 else [0, *(b for b in breaks if b < len(line))]
-        cells = [line[a:b].strip() for a, b in zip(edges, edges[1:])]
-        missing = [""] * (0 if n == 0 else len(breaks) - len(edges) + 1)
-        rest = [line[edges[-1]:].strip()] if n == 0 or edges[-1] < len(line) else []
-        out.append(cells + missing + rest)
-    return out
+        return let(_gap_starts(line), lambda found: F.when(
+            F.size(breaks) > 0,
+            F.array_intersect(breaks, F.concat(found, F.transform(found, lambda p: p - 1), F.transform(found, lambda p: p + 1))),
+        ).otherwise(found))
 
+    return F.aggregate(F.slice(raws, 1, 5), F.array().cast("array<int>"), shared)
 
-def aligned_table_cells(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Cells of space-aligned tables, in the same form. The lines of one table go to one call."""
-    lines = table_lines(df, key, text).filter(F.col("format") == "aligned").filter(~F.col("raw").rlike(_BLANK))
-    tables = lines.groupBy(key, "table_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("l"))
 
-    @F.pandas_udf("array<array<string>>")
-    def cut(tables: pd.Series) -> pd.Series:
-        return tables.map(lambda t: _aligned_cells(list(t)))
+def aligned_table_cells(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Cells of space-aligned tables, in the same form: every row has one cell more than the table has breaks.
 
-    rows = tables.select(key, "table_no", cut(F.col("l.raw")).alias("rows")).filter(F.size("rows") > 1)
-    exploded = rows.select(key, "table_no", F.posexplode("rows").alias("row_no", "cells"))
-    return exploded.select(key, "table_no", "row_no", F.posexplode("cells").alias("col_no", "cell"))
+    The header is cut at all breaks. Another row is cut at those inside it; the cells between its last break and the last
+    column are empty, and what follows its last break is the last cell.
+    """
+    def cells(line: Column, n: Column) -> Column:
+        def cut(inside: Column) -> Column:
+            edge = lambda j: F.when(j == 0, 0).otherwise(F.get("_breaks", j - 1))
+            return F.transform(
+                F.sequence(F.lit(0), F.size("_breaks")),
+                lambda j: F.when(j == F.size("_breaks"), strip(F.substring(line, edge(inside) + 1, F.length(line))))
+                .when(j < inside, strip(F.substring(line, edge(j) + 1, edge(j + 1) - edge(j))))
+                .otherwise(""),
+            )
+
+        within = F.size(F.filter("_breaks", lambda b: b < F.length(line)))
+        return let(F.when(n == 0, F.size("_breaks")).otherwise(within), cut)
+
+    found = _filled_lines(df, key, text).filter(F.col("format") == "aligned")
+    broken = once(found, _breaks=column_breaks(F.col("raws"))).filter(F.size("_breaks") > 0)
+    return _cell_rows(once(broken, rows=F.transform("raws", cells)), key)

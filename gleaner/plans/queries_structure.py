@@ -126,6 +126,18 @@ def _(t: Tables):
     return S.split_table_cells(_texts(t, _LEDGER), "id", "text")
 
 
-@query("text_table_cells_aligned")
+_STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("text_table_cells_aligned", f"""WITH {_ISLANDS},
+    al AS (SELECT id, table_no, list(raw ORDER BY i) AS l FROM tl WHERE NOT blank AND format = 'aligned' GROUP BY ALL),
+    gp AS (SELECT *, list_transform(l[1:5], lambda r: list_filter(range(length(r)), lambda p: regexp_full_match(substr(r, p + 1, 2), '\\s\\s')
+        AND (p = 0 OR NOT regexp_full_match(substr(r, p, 1), '\\s')))) AS g FROM al),
+    br AS (SELECT id, table_no, l, list_reduce(list_concat([[]::BIGINT[]], g), lambda acc, f: CASE WHEN len(acc) > 0
+        THEN list_filter(acc, lambda b: list_contains(f, b) OR list_contains(f, b - 1) OR list_contains(f, b + 1)) ELSE f END) AS b FROM gp),
+    rw AS (SELECT id, table_no, b, list_concat([0::BIGINT], b) AS e, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS n FROM br WHERE len(b) > 0 AND len(l) > 1),
+    wi AS (SELECT *, CASE WHEN n = 0 THEN len(b) ELSE len(list_filter(b, lambda x: x < length(raw))) END AS k, unnest(range(len(b) + 1)) AS j FROM rw)
+    SELECT id, table_no, n AS row_no, j AS col_no, CASE WHEN j = len(b) THEN {_STRIPPED.format("substr(raw, e[k + 1] + 1)")}
+        WHEN j < k THEN {_STRIPPED.format("substr(raw, e[j + 1] + 1, e[j + 2] - e[j + 1])")} ELSE '' END AS cell FROM wi""")
 def _(t: Tables):
     return S.aligned_table_cells(_texts(t, _LEDGER), "id", "text")
