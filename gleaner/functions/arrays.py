@@ -58,12 +58,41 @@ def keyed(values: Column, key) -> Column:
     )
 
 
+class Skipping(str):
+    """A regex of the form ``(hit)|stretch``: group 1 is a hit, any other match is text in which no hit starts.
+
+    A hit that runs on over words fails at its first start only after reading the whole run, and would read it again at
+    every later start. The stretch, tried when the hit has failed, takes the run away, so each run is read once. It must
+    not hold the start of a hit that would not also be one from the start of the stretch.
+    """
+
+
+def skipping(flags: str, hit: str, stretch: str) -> Skipping:
+    return Skipping(f"{flags}({hit})|{stretch}")
+
+
+def hits_of(text: Column, regex: str) -> Column:
+    """All matches of a regex in text order; of a ``Skipping`` one only the hits."""
+    if isinstance(regex, Skipping):
+        return F.filter(F.regexp_extract_all(text, F.lit(str(regex)), F.lit(1)), lambda hit: hit != "")
+    return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+
+
+def matches_of(text: Column, regex: str) -> Column:
+    """All matches as structs ``value, hit``, skipped stretches included."""
+    whole = F.regexp_extract_all(text, F.lit(str(regex)), F.lit(0))
+    if not isinstance(regex, Skipping):
+        return F.transform(whole, lambda v: F.struct(v.alias("value"), F.lit(True).alias("hit")))
+    hits = F.regexp_extract_all(text, F.lit(str(regex)), F.lit(1))
+    return F.zip_with(whole, hits, lambda v, h: F.struct(v.alias("value"), (h != "").alias("hit")))
+
+
 def extract_all(text: Column, regexes: list[str] | tuple[str, ...], needs: str | None = None) -> Column:
     """All matches of each regex, in regex order and then text order.
 
     ``needs`` is a cheap condition every match fulfils; texts without it skip the regexes.
     """
-    hits = [F.regexp_extract_all(text, F.lit(rx), F.lit(0)) for rx in regexes]
+    hits = [hits_of(text, rx) for rx in regexes]
     found = F.concat(*hits) if len(hits) > 1 else hits[0]
     none = F.array().cast("array<string>")
     if needs is not None:
@@ -80,21 +109,22 @@ def extract_spans(text: Column, regex: str, needs: str | None = None) -> Column:
         start = acc["pos"] + item["gap"]
         stop = start + F.length(item["value"])
         hit = F.struct(item["value"].alias("value"), start.alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("pos"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+        hits = F.when(item["hit"], F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"])
+        return F.struct(stop.alias("pos"), hits.alias("hits"))
 
     none = F.array().cast("array<struct<value:string,start:int,stop:int>>")
     zero = F.struct(F.lit(0).alias("pos"), none.alias("hits"))
 
     def located(values: Column) -> Column:
-        gaps = F.split(text, regex, -1)
+        gaps = F.split(text, str(regex), -1)
         items = F.filter(
-            F.zip_with(values, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), v.alias("value"))),
+            F.zip_with(values, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), v["value"].alias("value"), v["hit"].alias("hit"))),
             lambda item: item["value"].isNotNull(),
         )
         # Most texts have no match; they are not cut.
-        return F.when(F.size(values) > 0, F.aggregate(items, zero, span, lambda acc: acc["hits"]))
+        return F.when(F.exists(values, lambda v: v["hit"]), F.aggregate(items, zero, span, lambda acc: acc["hits"]))
 
-    found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), located)
+    found = let(matches_of(text, regex), located)
     if needs is not None:
         found = F.when(text.rlike(needs), found)
     return F.coalesce(found, none)

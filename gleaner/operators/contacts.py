@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.functions import validate as V
-from gleaner.functions.arrays import extract_all, first_per_key, keyed
+from gleaner.functions.arrays import extract_all, first_per_key, keyed, skipping
 from gleaner.functions.text import _col
 from gleaner.session import small_frame
 
@@ -43,19 +43,25 @@ _SUFFIX = (
     "Avenue|Ave|Boulevard|Blvd|Circle|Cir|Court|Ct|Drive|Dr|Lane|Ln|Place|Pl|Plaza|Plz|"
     "Road|Rd|Square|Sq|Street|St|Way|Terrace|Ter|Trail|Trl"
 )
+# Places that white space alone separates are written with one white character next to a loop that takes the rest, so
+# that a run of it is cut in one way only. A number whose words hold no address takes them with it: no later number
+# among them could do better. (Digits of other scripts end the words; a number that goes on with them is left whole.)
+_WORDS = r"[A-Za-z0-9\s,\.]"
+_NO_ADDRESS = rf"\d++(?:\s(?:{_WORDS}*+(?!\d)|{_WORDS}*(?<!\d)))?"
+_STATE_ZIP = r"(?:,\s*+|\s)[A-Z]{2}(?:\s*+,\s*+|\s++)\d{5}(?:-\d{4})?"
+# A comma or white space, a town, a comma or white space; the words before take all of the town but its last word.
+_TOWN = (
+    r"(?:[,\s][A-Za-z]++(?:\s*+,\s*+|\s++)"
+    r"|(?:,|(?<!\s)\s|(?<=\d\s\s)\s)(?:\s++,\s*+|\s\s++))"
+)
 ADDRESSES: dict[str, tuple[str, ...]] = {
     "US": (
-        rf"(?iU)\d+\s+[A-Za-z0-9\s,\.]+(?:{_SUFFIX})\.?(?:\s*,\s*|\s+)[A-Za-z\s]+(?:,\s*|\s+)[A-Z]{{2}}"
-        r"(?:\s*,\s*|\s+)\d{5}(?:-\d{4})?",
-        rf"(?iU)\d+\s+[A-Za-z0-9\s,\.]+(?:{_SUFFIX})",
-        r"(?iU)P\.?O\.?\s*Box\s+\d+(?:\s*,\s*|\s+)[A-Za-z\s]+(?:,\s*|\s+)[A-Z]{2}(?:\s*,\s*|\s+)\d{5}(?:-\d{4})?",
-    ),
-    "UK": (
-        r"(?iU)\d+\s+[A-Za-z0-9\s,\.]+(?:,\s*|\s+)[A-Za-z\s]+(?:,\s*|\s+)[A-Z]{1,2}\d{1,2}[A-Z]?\s+\d[A-Z]{2}",
-    ),
-    "CA": (
-        r"(?iU)\d+\s+[A-Za-z0-9\s,\.]+(?:,\s*|\s+)[A-Za-z\s]+(?:,\s*|\s+)[A-Z]{1}\d{1}[A-Z]{1}\s+\d{1}[A-Z]{1}\d{1}",
+        skipping("(?iU)", rf"\d++\s{_WORDS}+(?:{_SUFFIX})\.?(?:\s*+,|\s)[A-Za-z\s]+{_STATE_ZIP}", _NO_ADDRESS),
+        skipping("(?iU)", rf"\d++\s{_WORDS}+(?:{_SUFFIX})", _NO_ADDRESS),
+        rf"(?iU)P\.?O\.?\s*Box\s+\d+(?:\s*+,|\s)[A-Za-z\s]+{_STATE_ZIP}",
     ),
+    "UK": (skipping("(?iU)", rf"\d++\s{_WORDS}+{_TOWN}[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s+\d[A-Z]{{2}}", _NO_ADDRESS),),
+    "CA": (skipping("(?iU)", rf"\d++\s{_WORDS}+{_TOWN}[A-Z]\d[A-Z]\s+\d[A-Z]\d", _NO_ADDRESS),),
 }
 
 

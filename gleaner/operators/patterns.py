@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import validate as V
-from gleaner.functions.arrays import by_ord, extract_all, extract_spans, first_per_key
+from gleaner.functions.arrays import by_ord, extract_all, extract_spans, first_per_key, matches_of, skipping
 from gleaner.functions.text import _col
 
 Test = Callable[[Column], Column]
@@ -76,8 +76,7 @@ class Pattern:
 
 
 # The regexes and confidences of the built-in types. ``(?U)`` gives the Unicode classes.
-_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-_STREETS = "Avenue|Ave|Street|St|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Plaza|Plz|Square|Sq"
+# Patterns that run on over words name, after the hit, the stretch in which nothing else can start.
 BUILTIN: tuple[Pattern, ...] = (
     Pattern(
         "email",
@@ -115,7 +114,7 @@ BUILTIN: tuple[Pattern, ...] = (
             r"(?U)\d{4}-\d{2}-\d{2}",
             r"(?U)\d{1,2}/\d{1,2}/\d{2,4}",
             r"(?U)\d{1,2}[-./]\d{1,2}[-./]\d{2,4}",
-            rf"(?U)(?:{_MONTHS})[a-z]* \d{{1,2}},? \d{{4}}",
+            r"(?U)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}",
         ),
         0.8,
         valid=V.is_numeric_date,
@@ -149,8 +148,13 @@ BUILTIN: tuple[Pattern, ...] = (
     Pattern(
         "address",
         (
-            rf"(?U)\d+\s+[A-Za-z0-9\s,.]+(?:{_STREETS})\W+(?:[A-Za-z]+\W+)?(?:[A-Z]{{2}})?\W+\d{{5}}(?:-\d{{4}})?",
-            r"(?U)\d+\s+[A-Za-z0-9\s,.]+",
+            skipping(
+                "(?U)",
+                r"\d++\s[A-Za-z0-9\s,.]+(?:Avenue|Ave|Street|St|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Plaza|Plz|Square|Sq)"
+                r"\W+(?:[A-Za-z]+\W+)?(?:[A-Z]{2})?\W+\d{5}(?:-\d{4})?",
+                r"\d++(?:\s(?:[A-Za-z0-9\s,.]*+(?!\d)|[A-Za-z0-9\s,.]*(?<!\d)))?",
+            ),
+            skipping("(?U)", r"\d++\s[A-Za-z0-9\s,.]+", r"\d++"),
         ),
         0.7,
         requires_context=True,
@@ -172,8 +176,8 @@ BUILTIN: tuple[Pattern, ...] = (
     Pattern(
         "company_name",
         (
-            r"(?U)\b[A-Z][A-Za-z0-9\s]+(?:Inc|LLC|Ltd|Corp|Corporation|Company)\b",
-            r"(?U)\b[A-Z][A-Za-z0-9\s]+(?:Inc\.|LLC\.|Ltd\.|Corp\.|Corporation)\b",
+            skipping("(?U)", r"\b[A-Z][A-Za-z0-9\s]+(?:Inc|LLC|Ltd|Corp|Corporation|Company)\b", r"\b[A-Z][A-Za-z0-9\s]*+"),
+            skipping("(?U)", r"\b[A-Z][A-Za-z0-9\s]+(?:Inc\.|LLC\.|Ltd\.|Corp\.|Corporation)\b", r"\b[A-Z][A-Za-z0-9\s]*+"),
         ),
         0.75,
         requires_context=True,
@@ -341,10 +345,11 @@ def redact(text: Column | str, patterns: Sequence[Pattern], mask: str = "[redact
 def _masked(text: Column, regex: str, valid: Test, mask: str) -> Column:
     """The texts between matches with the matches, or the mask for valid ones, put back between them."""
     def piece(gap: Column, match: Column) -> Column:
-        kept = F.when(match.isNull(), F.lit("")).when(valid(match), F.lit(mask)).otherwise(match)
+        found = match["value"]
+        kept = F.when(found.isNull(), F.lit("")).when(match["hit"] & valid(found), F.lit(mask)).otherwise(found)
         return F.concat(gap, kept)
 
-    return F.array_join(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), piece), "")
+    return F.array_join(F.zip_with(F.split(text, str(regex), -1), matches_of(text, regex), piece), "")
 
 
 def process_documents(
