@@ -1,17 +1,20 @@
 """Class-based bigram scoring (Brown classes found by the exchange algorithm).
 
 P(text) is the product over its words and one end of P(class | class before) * P(word | class). Counts of words are exact over all
-training texts, whatever their number. Classes are found for *units*: each of the most frequent words is one, all others
-fall into units by their last bytes, so the table of unit bigrams has a fixed size while its counts cover the whole corpus; the
-exchange algorithm moves units between classes as long as the likelihood of the class bigrams grows.
+training texts, whatever their number. Each word of the head of the vocabulary (a fixed number of the most frequent words) has a class of
+its own; the words beyond it, which are rare by construction, share classes by their last bytes, so that what is broadcast is bounded.
 
-Scoring splits the words: those of the head of the vocabulary (a fixed number of the most frequent ones) are looked up in a
-broadcast table while a text streams by; the others, which are rare by construction, so that no key is hot, are joined with
-their counts and summed up per text.
+Classes are found in two steps. The exchange algorithm first moves *units*, the top words and groups of words by their last bytes,
+on a table of unit bigrams whose size does not grow. Then every word of the head is exchanged: Spark counts for each the classes of
+its neighbours over the whole corpus, tasks move words to the class that raises the likelihood most, half of the words per round, as
+all moves of a round start from the same table. The likelihood of each round is counted anew; classes that lower it are not kept.
 
-Results for odd input: a null or empty text has the end as its only token; repeated rows are learned from and scored each; ties in
-frequency go to the smaller word; without training texts every token scores as unseen; an empty table gives no rows; other columns are
-kept, columns named like the outputs are replaced.
+Scoring splits the words in the same way: the head is looked up in a broadcast table while a text streams by; the others, so that no
+key is hot, are joined with their counts and summed up per text.
+
+Results for odd input: a null or empty text has the end as its only token; repeated rows are learned from and scored each; very long texts are
+read whole; words as frequent as the last one of the head are in it or beyond it together; without training texts every token scores as
+unseen; an empty table gives no rows; other columns are kept, columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +32,15 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import set_apart, set_back, stored
 
-#: Smoothing of counts; words looked up by broadcast; words and groups of words that are units; classes.
-ADD, HEAD, WORD_UNITS, SUFFIX_UNITS, CLASSES = 0.1, 200_000, 1000, 256, 64
-#: Distinct words that a counting task holds before it passes them on; bigrams that it adds up at a time.
-HELD_WORDS, HELD_PAIRS = 200_000, 1 << 20
+#: Smoothing of counts; words looked up by broadcast and their length in bytes; words and groups of words that are units; classes.
+ADD, HEAD, HEAD_BYTES, WORD_UNITS, SUFFIX_UNITS, CLASSES = 0.1, 200_000, 64, 1000, 256, 64
+#: Rounds in which the words of the head are exchanged, half of them in each.
+ROUNDS = 2
+#: Distinct words that a counting task holds before it passes them on; bigrams that it adds up at a time; neighbours of words
+#: that it holds; partial counts of a word that are merged at a time.
+HELD_WORDS, HELD_PAIRS, HELD_NEIGHBOURS, MERGED = 200_000, 1 << 20, 1 << 21, 512
+#: Neighbours of a word: classes before, classes after, the word itself.
+NEIGHBOURS = 2 * CLASSES + 1
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -41,31 +49,36 @@ def tokens(text: str | None) -> list[bytes]:
 
 @dataclass
 class Lexicon:
-    """The head of the vocabulary with its counts. Units: 0 is the end, then words, then suffixes."""
+    """The head of the vocabulary with its counts, most frequent first. Places: 0 is the end, then the words, then groups by last bytes.
+
+    ``start`` gives the unit that each place belongs to before words are exchanged: the top words are units of their own.
+    """
 
     words: list[bytes]
     counts: np.ndarray
 
     def __post_init__(self):
         self.index = {w: i for i, w in enumerate(self.words)}
-        units = [1 + i if i < WORD_UNITS else self.suffix(w) for i, w in enumerate(self.words)]
-        self.units = np.array([*units, 0], np.int64)
+        self.size = 1 + len(self.words) + SUFFIX_UNITS
         self.logs = np.log10(np.append(self.counts, 0) + ADD)
+        groups = np.fromiter((self.group(w) for w in self.words[WORD_UNITS:]), np.int64)
+        top = np.arange(1 + min(len(self.words), WORD_UNITS))
+        self.start = 1 + WORD_UNITS + np.concatenate([top - 1 - WORD_UNITS, groups, np.arange(SUFFIX_UNITS)])
 
     def __reduce__(self):
         return Lexicon, (self.words, self.counts)
 
     @staticmethod
-    def suffix(word: bytes) -> int:
-        return 1 + WORD_UNITS + zlib.crc32(word[-3:]) % SUFFIX_UNITS
+    def group(word: bytes) -> int:
+        return zlib.crc32(word[-3:]) % SUFFIX_UNITS
 
     def place(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Index in the head (-1: not there) and unit of each word."""
+        """Index in the head (-1: not there) and place of each word."""
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        units = self.units[at]
+        places = at + 1
         rare = np.flatnonzero(at < 0)
-        units[rare] = [self.suffix(words[i]) for i in rare.tolist()]
-        return at, units
+        places[rare] = [1 + len(self.words) + self.group(words[i]) for i in rare.tolist()]
+        return at, places
 
 
 UNITS = 1 + WORD_UNITS + SUFFIX_UNITS
@@ -88,46 +101,198 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _flat_units(lexicon: Lexicon, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words per text; place and unit of all words in a row; the positions of the ends in the row of units with an end per text."""
-    own = [tokens(t) for t in texts]
-    at, units = lexicon.place(list(chain.from_iterable(own)))
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
-    return own, at, np.insert(units, np.cumsum(lengths), 0), np.cumsum(lengths + 1) - 1
+def head_of(counts: DataFrame) -> Lexicon:
+    """The most frequent words, as many as fit into the head.
+
+    A histogram of counts gives the least count that is in; words as frequent stay together, so no words are ranked in one task.
+    """
+    short = counts.where(F.octet_length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("n") * 16))
+    total, least = 0, None
+    for step, n in sorted(short.groupBy("step").count().collect(), reverse=True):
+        total += n
+        if total > HEAD:
+            break
+        least = step
+    if least is None:
+        return Lexicon([], np.zeros(0, np.int64))
+    top = short.where(F.col("step") >= least).select("word", "n").toArrow()
+    rows = sorted(zip((bytes(w) for w in top["word"].to_pylist()), top["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
+    return Lexicon([w for w, _ in rows], np.array([n for _, n in rows], np.int64))
 
 
-def unit_bigrams(docs: DataFrame, text: str, lexicon: Lexicon) -> np.ndarray:
-    """How often one unit follows another, over all texts; UNITS x UNITS numbers, whatever the corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+def _flat_places(lexicon: Lexicon, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text; index and place of all words in a row; the positions of the ends in the row of places with an end per text."""
+    own = [tokens(t) for t in texts]
+    at, places = lexicon.place(list(chain.from_iterable(own)))
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    return own, at, np.insert(places, np.cumsum(lengths), 0), np.cumsum(lengths + 1) - 1
+
+
+def _place_runs(lexicon: Lexicon, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+    """The places of the tokens of many texts, ends included, at least ``size`` at a time but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(_flat_places(lexicon, batch.column(0).to_pylist())[2])
+            n += len(held[-1])
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def class_bigrams(docs: DataFrame, text: str, lexicon: Lexicon, of: np.ndarray, size: int) -> np.ndarray:
+    """How often a class follows another, over all texts, for a map ``of`` places to ``size`` classes (or units)."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, of))
     schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = None, [], 0
-        for batch in chain(batches, [None]):
-            if batch is not None and batch.num_rows:
-                units = _flat_units(shared.value, batch.column(0).to_pylist())[2]
-                held.append(np.append(0, units[:-1]) * UNITS + units)
-                size += len(units)
-            if held and (batch is None or size >= HELD_PAIRS):
-                new = np.bincount(np.concatenate(held), minlength=UNITS * UNITS)
-                total = new if total is None else total + new
-                held, size = [], 0
-        if total is not None:
-            seen = np.flatnonzero(total)
-            for i in range(0, len(seen), 100_000):
-                part = seen[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], schema=schema)
+        lexicon, of = shared.value
+        total = np.zeros(size * size, np.int64)
+        for places in _place_runs(lexicon, batches, HELD_PAIRS):
+            own = of[places]
+            total += np.bincount(np.append(of[0], own[:-1]) * size + own, minlength=size * size)
+        seen = np.flatnonzero(total)
+        for i in range(0, len(seen), 100_000):
+            part = seen[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], schema=schema)
 
     pairs = docs.select(text).mapInArrow(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(UNITS * UNITS)
+    out = np.zeros(size * size)
     out[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    return out.reshape(UNITS, UNITS)
+    return out.reshape(size, size)
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _packed(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per place: its neighbours as bytes, their counts as 64-bit integers."""
+    places, first = np.unique(codes // NEIGHBOURS, return_index=True)
+    bounds = np.append(first, len(codes))
+    keys = (codes % NEIGHBOURS).astype(np.uint8)
+    for i in range(0, len(places), 20_000):
+        some = bounds[i : i + 20_001]
+        offsets, part = (some - some[0]).astype(np.int32), slice(some[0], some[-1])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(places[i : i + 20_000], pa.int32()),
+            pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(keys[part].tobytes())]),
+            pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offsets * 8), pa.py_buffer(counts[part].astype("<i8").tobytes())]),
+        ], ["place", "keys", "counts"])
+
+
+def _merged(rows: DataFrame, *by: Column | str) -> DataFrame:
+    @F.arrow_udf("struct<keys:binary,counts:binary>")
+    def merge(parts: pa.Array) -> pa.Array:
+        out = []
+        for some in parts.to_pylist():
+            total = np.zeros(NEIGHBOURS, np.int64)
+            for x in some:
+                total[np.frombuffer(x["keys"], np.uint8)] += np.frombuffer(x["counts"], "<i8")
+            seen = np.flatnonzero(total)
+            out.append({"keys": seen.astype(np.uint8).tobytes(), "counts": total[seen].astype("<i8").tobytes()})
+        return pa.array(out, pa.struct([("keys", pa.binary()), ("counts", pa.binary())]))
+
+    grouped = rows.groupBy("place", *by).agg(F.collect_list(F.struct("keys", "counts")).alias("parts"))
+    return grouped.select("place", merge("parts").alias("m")).select("place", "m.keys", "m.counts")
+
+
+def neighbours(docs: DataFrame, text: str, lexicon: Lexicon, of: np.ndarray) -> DataFrame:
+    """``place, keys, counts``: how often each class stands before and after each word, and the word next to itself.
+
+    A row holds at most 2 * CLASSES + 1 counts, and a task gives one row per word and some million neighbours. Where there are
+    many tasks, the rows of a word are merged in parts first.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, of))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, of = shared.value
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for right in _place_runs(lexicon, batches, HELD_PAIRS):
+            left = np.append(0, right[:-1])
+            codes = np.concatenate([
+                right * NEIGHBOURS + of[left], left * NEIGHBOURS + CLASSES + of[right], right[left == right] * NEIGHBOURS + 2 * CLASSES])
+            new, n = np.unique(codes, return_counts=True)
+            held, counts = _summed(np.concatenate([held, new]), np.concatenate([counts, n]))
+            if len(held) > HELD_NEIGHBOURS:
+                yield from _packed(held, counts)
+                held, counts = held[:0], counts[:0]
+        yield from _packed(held, counts)
+
+    rows = docs.select(text).mapInArrow(counted, "place int, keys binary, counts binary")
+    if docs.rdd.getNumPartitions() > MERGED:
+        rows = _merged(rows, (F.spark_partition_id() / MERGED).cast("int").alias("part"))
+    return stored(_merged(rows), "neighbours")
+
+
+def exchanged(rows: DataFrame, bigrams: np.ndarray, of: np.ndarray, part: int) -> np.ndarray:
+    """One round: each word whose place falls into ``part`` of two moves to its best class, given the classes of all others."""
+    shared = rows.sparkSession.sparkContext.broadcast((bigrams, of))
+    schema = pa.schema([("place", pa.int32()), ("to", pa.int32())])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bigrams, of = shared.value
+        lsum, rsum = bigrams.sum(axis=1), bigrams.sum(axis=0)
+        for batch in batches:
+            places, to = [], []
+            for w, keys, counts in zip(*[c.to_pylist() for c in batch.columns]):
+                if w == 0 or zlib.crc32(b"%d" % w) % 2 != part:
+                    continue
+                n = np.zeros(NEIGHBOURS)
+                n[np.frombuffer(keys, np.uint8)] = np.frombuffer(counts, "<i8")
+                before, after, own = n[:CLASSES], n[CLASSES : 2 * CLASSES], n[2 * CLASSES]
+                left, right = after.sum(), before.sum()
+                before[of[w]] -= own
+                after[of[w]] -= own
+                table, ls, rs = bigrams.copy(), lsum.copy(), rsum.copy()
+                take_out(table, ls, rs, of[w], before, after, own, left, right)
+                b = best_class(table, ls, rs, of[w], before, after, own, left, right)
+                if b != of[w]:
+                    places.append(w)
+                    to.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(to, pa.int32())], schema=schema)
+
+    moves = rows.mapInArrow(moved, "place int, to int").toArrow()
+    out = of.copy()
+    out[moves["place"].to_numpy()] = moves["to"].to_numpy()
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-9))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log-likelihood of the class model that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum())
+
+
+def take_out(table, lsum, rsum, a, before, after, own, left, right) -> None:
+    """Takes a word out of its class ``a``; ``before`` and ``after`` count its neighbours by class, without itself."""
+    table[:, a] -= before
+    table[a] -= after
+    table[a, a] -= own
+    lsum[a] -= left
+    rsum[a] -= right
+
+
+def best_class(table, lsum, rsum, a, before, after, own, left, right) -> int:
+    """The class to which a word that was taken out of ``a`` adds most; ``a`` unless another one is better. Never class 0, the end's."""
+    now = _xlogx(table)
+    into, out_of = _xlogx(table + before[:, None]) - now, _xlogx(table + after[None, :]) - now
+    diagonal = table.diagonal()
+    gain = into.sum(axis=0) - into.diagonal() + out_of.sum(axis=1) - out_of.diagonal()
+    gain += _xlogx(diagonal + before + after + own) - _xlogx(diagonal)
+    gain -= _xlogx(lsum + left) - _xlogx(lsum) + _xlogx(rsum + right) - _xlogx(rsum)
+    gain[0] = -np.inf
+    return int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else int(a)
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np.ndarray:
     """The class of each unit. The end keeps a class of its own, 0; every other unit moves to its best class in turn."""
     left, right = bigrams.sum(axis=1), bigrams.sum(axis=0)
@@ -148,19 +313,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np
             after = np.bincount(of, bigrams[w], classes)
             before[a] -= own
             after[a] -= own
-            table[:, a] -= before
-            table[a] -= after
-            table[a, a] -= own
-            lsum[a] -= left[w]
-            rsum[a] -= right[w]
-            now = _xlogx(table)
-            into, out_of = _xlogx(table + before[:, None]) - now, _xlogx(table + after[None, :]) - now
-            diagonal = table.diagonal()
-            gain = into.sum(axis=0) - into.diagonal() + out_of.sum(axis=1) - out_of.diagonal()
-            gain += _xlogx(diagonal + before + after + own) - _xlogx(diagonal)
-            gain -= _xlogx(lsum + left[w]) - _xlogx(lsum) + _xlogx(rsum + right[w]) - _xlogx(rsum)
-            gain[0] = -np.inf
-            b = int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
+            take_out(table, lsum, rsum, a, before, after, own, left[w], right[w])
+            b = best_class(table, lsum, rsum, a, before, after, own, left[w], right[w])
             table[:, b] += before
             table[b] += after
             table[b, b] += own
@@ -173,17 +327,35 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np
     return of
 
 
+def find_classes(docs: DataFrame, text: str, lexicon: Lexicon, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The class of each place, the bigrams of classes, and the likelihood of the start and of each round kept."""
+    units = class_bigrams(docs, text, lexicon, lexicon.start, UNITS)
+    unit_classes = exchange(units)
+    hot = np.eye(CLASSES)[unit_classes]
+    of, table = unit_classes[lexicon.start].astype(np.int32), hot.T @ units @ hot
+    grown = [likelihood(table)]
+    for n in range(rounds):
+        moved = exchanged(neighbours(docs, text, lexicon, of), table, of, n % 2)
+        new = class_bigrams(docs, text, lexicon, moved, CLASSES)
+        if likelihood(new) <= grown[-1]:
+            break
+        of, table = moved, new
+        grown.append(likelihood(table))
+    return of, table, grown
+
+
 @dataclass
 class Model:
     """``counts`` is the stored table of all words; the rest has a fixed size."""
 
     counts: DataFrame
     lexicon: Lexicon
-    classes: np.ndarray
+    classes: np.ndarray  # of each place of the lexicon
     follow: np.ndarray  # log10 P(class | class before) - log10 of the normaliser of the class's words
     n_tokens: int
     n_types: int
     end_count: int
+    likelihoods: list[float]
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
@@ -191,26 +363,23 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     counts = stored(word_counts(docs, text), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = docs.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    lexicon = Lexicon([bytes(w) for w in top["word"].to_pylist()], top["n"].to_numpy().astype(np.int64))
-    bigrams = unit_bigrams(docs, text, lexicon)
-    classes = exchange(bigrams)
-    # Tokens and types of each unit: word units are in the head, the others are counted by their last bytes.
+    lexicon = head_of(counts)
+    classes, bigrams, likelihoods = find_classes(docs, text, lexicon)
+    # Tokens and types of each place: those of the groups are what the words of the head leave of all words with their last bytes.
     suffix = F.crc32(F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")) % SUFFIX_UNITS
-    sums = {r[0]: (r[1], r[2]) for r in counts.groupBy(suffix.cast("int")).agg(F.sum("n"), F.count("*")).collect()}
-    unit_tokens, unit_types = np.zeros(UNITS), np.zeros(UNITS)
-    unit_tokens[0], unit_types[0] = ends, int(ends > 0)
-    for s, (tokens_, types) in sums.items():
-        unit_tokens[1 + WORD_UNITS + s], unit_types[1 + WORD_UNITS + s] = tokens_, types
-    for i, (w, c) in enumerate(zip(lexicon.words[:WORD_UNITS], lexicon.counts[:WORD_UNITS])):
-        unit_tokens[1 + i], unit_types[1 + i] = c, 1
-        unit_tokens[lexicon.suffix(w)] -= c
-        unit_types[lexicon.suffix(w)] -= 1
-    hot = np.eye(CLASSES)[classes]
-    table = hot.T @ bigrams @ hot + ADD
-    words = np.log10(hot.T @ unit_tokens + ADD * (hot.T @ unit_types + 1))
+    sums = counts.groupBy(suffix.cast("int")).agg(F.sum("n"), F.count("*")).collect()
+    group_tokens, group_types = np.zeros(SUFFIX_UNITS), np.zeros(SUFFIX_UNITS)
+    for group, tokens_, types in sums:
+        group_tokens[group], group_types[group] = tokens_, types
+    own = np.fromiter(map(lexicon.group, lexicon.words), np.int64, len(lexicon.words))
+    group_tokens -= np.bincount(own, lexicon.counts, SUFFIX_UNITS)
+    group_types -= np.bincount(own, minlength=SUFFIX_UNITS)
+    place_tokens = np.concatenate([[ends], lexicon.counts, group_tokens])
+    place_types = np.concatenate([[int(ends > 0)], np.ones(len(lexicon.words)), group_types])
+    table = bigrams + ADD
+    words = np.log10(np.bincount(classes, place_tokens, CLASSES) + ADD * (np.bincount(classes, place_types, CLASSES) + 1))
     follow = np.log10(table / table.sum(axis=1, keepdims=True)) - words[None, :]
-    return Model(counts, lexicon, classes, follow, int(n) + ends, int(v) + int(ends > 0), ends)
+    return Model(counts, lexicon, classes, follow, int(n) + ends, int(v) + int(ends > 0), ends, likelihoods)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -224,8 +393,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lexicon, classes, follow, end_count = shared.value
         for batch in batches:
-            own, at, units, ends = _flat_units(lexicon, batch.to_pylist())
-            of = classes[units]
+            own, at, places, ends = _flat_places(lexicon, batch.to_pylist())
+            of = classes[places]
             upto = np.cumsum(follow[np.append(0, of[:-1]), of]) if len(of) else np.zeros(0)
             followed = np.diff(upto[ends], prepend=0)
             logs = np.concatenate([[0], np.cumsum(np.where(at < 0, 0, lexicon.logs[at]))])
