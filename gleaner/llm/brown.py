@@ -337,10 +337,9 @@ def find_classes(docs: DataFrame, text: str, lexicon: Lexicon, rounds: int = ROU
     for n in range(rounds):
         moved = exchanged(neighbours(docs, text, lexicon, of), table, of, n % 2)
         new = class_bigrams(docs, text, lexicon, moved, CLASSES)
-        if likelihood(new) <= grown[-1]:
-            break
-        of, table = moved, new
-        grown.append(likelihood(table))
+        if likelihood(new) > grown[-1]:
+            of, table = moved, new
+            grown.append(likelihood(table))
     return of, table, grown
 
 
