@@ -171,37 +171,67 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _binaries(bounds: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """Neighbours as bytes and counts as 64-bit integers, cut into binary values at ``bounds``."""
+    offsets, part = (bounds - bounds[0]).astype(np.int32), slice(bounds[0], bounds[-1])
+    return [
+        pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(keys[part].astype(np.uint8).tobytes())]),
+        pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets * 8), pa.py_buffer(counts[part].astype("<i8").tobytes())]),
+    ]
+
+
+def _unpacked(keys: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, neighbour and count of all that the rows hold."""
+    keys, counts = keys.to_pylist(), counts.to_pylist()
+    rows = np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)))
+    return rows, np.frombuffer(b"".join(keys), np.uint8).astype(np.int64), np.frombuffer(b"".join(counts), "<i8")
+
+
 def _packed(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per place: its neighbours as bytes, their counts as 64-bit integers."""
+    """One row per place with its neighbours."""
     places, first = np.unique(codes // NEIGHBOURS, return_index=True)
-    bounds = np.append(first, len(codes))
-    keys = (codes % NEIGHBOURS).astype(np.uint8)
+    bounds, keys = np.append(first, len(codes)), codes % NEIGHBOURS
     for i in range(0, len(places), 20_000):
-        some = bounds[i : i + 20_001]
-        offsets, part = (some - some[0]).astype(np.int32), slice(some[0], some[-1])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(places[i : i + 20_000], pa.int32()),
-            pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(keys[part].tobytes())]),
-            pa.Array.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offsets * 8), pa.py_buffer(counts[part].astype("<i8").tobytes())]),
-        ], ["place", "keys", "counts"])
+        own = _binaries(bounds[i : i + 20_001], keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(places[i : i + 20_000], pa.int32()), *own], ["place", "keys", "counts"])
 
 
 def _merged(rows: DataFrame, *by: Column | str) -> DataFrame:
     @F.arrow_udf("struct<keys:binary,counts:binary>")
     def merge(parts: pa.Array) -> pa.Array:
-        out = []
-        for some in parts.to_pylist():
-            total = np.zeros(NEIGHBOURS, np.int64)
-            for x in some:
-                total[np.frombuffer(x["keys"], np.uint8)] += np.frombuffer(x["counts"], "<i8")
-            seen = np.flatnonzero(total)
-            out.append({"keys": seen.astype(np.uint8).tobytes(), "counts": total[seen].astype("<i8").tobytes()})
-        return pa.array(out, pa.struct([("keys", pa.binary()), ("counts", pa.binary())]))
+        lengths = np.fromiter((len(x) for x in parts), np.int64, len(parts))
+        inner, keys, counts = _unpacked(*parts.flatten().flatten())
+        codes = np.repeat(np.arange(len(parts)), lengths)[inner] * NEIGHBOURS + keys
+        total = np.bincount(codes, counts, len(parts) * NEIGHBOURS).astype(np.int64)
+        seen = np.flatnonzero(total)
+        bounds = np.searchsorted(seen, np.arange(len(parts) + 1) * NEIGHBOURS)
+        return pa.StructArray.from_arrays(_binaries(bounds, seen % NEIGHBOURS, total[seen]), ["keys", "counts"])
 
     grouped = rows.groupBy("place", *by).agg(F.collect_list(F.struct("keys", "counts")).alias("parts"))
     return grouped.select("place", merge("parts").alias("m")).select("place", "m.keys", "m.counts")
 
 
+def class_table(rows: DataFrame, of: np.ndarray) -> np.ndarray:
+    """The bigrams of classes from the neighbours of all words, counted under the same classes."""
+    shared = rows.sparkSession.sparkContext.broadcast(of)
+    schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES)
+        for batch in batches:
+            row, keys, counts = _unpacked(batch.column(1), batch.column(2))
+            after = (keys >= CLASSES) & (keys < 2 * CLASSES)
+            own = shared.value[batch.column(0).to_numpy()][row[after]].astype(np.int64)
+            total += np.bincount(own * CLASSES + keys[after] - CLASSES, counts[after], CLASSES * CLASSES)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen].astype(np.int64))], schema=schema)
+
+    pairs = rows.mapInArrow(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES * CLASSES)
+    out[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    return out.reshape(CLASSES, CLASSES)
+
+
 def neighbours(docs: DataFrame, text: str, lexicon: Lexicon, of: np.ndarray) -> DataFrame:
     """``place, keys, counts``: how often each class stands before and after each word, and the word next to itself.
 
@@ -334,11 +364,14 @@ def find_classes(docs: DataFrame, text: str, lexicon: Lexicon, rounds: int = ROU
     hot = np.eye(CLASSES)[unit_classes]
     of, table = unit_classes[lexicon.start].astype(np.int32), hot.T @ units @ hot
     grown = [likelihood(table)]
+    rows = neighbours(docs, text, lexicon, of) if rounds else None
     for n in range(rounds):
-        moved = exchanged(neighbours(docs, text, lexicon, of), table, of, n % 2)
-        new = class_bigrams(docs, text, lexicon, moved, CLASSES)
+        moved = exchanged(rows, table, of, n % 2)
+        # What the next round needs gives the bigrams of this one; the last round counts only those.
+        more = neighbours(docs, text, lexicon, moved) if n < rounds - 1 else None
+        new = class_bigrams(docs, text, lexicon, moved, CLASSES) if more is None else class_table(more, moved)
         if likelihood(new) > grown[-1]:
-            of, table = moved, new
+            of, table, rows = moved, new, more
             grown.append(likelihood(table))
     return of, table, grown
 

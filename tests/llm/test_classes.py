@@ -76,7 +76,9 @@ def test_neighbours_equal_plain_loops(spark, texts, monkeypatch, merged, held):
     data, df = texts
     lexicon = brown.head_of(brown.word_counts(df, "text"))
     of = np.arange(lexicon.size, dtype=np.int32) % brown.CLASSES
-    got = {r.place: dict(zip(r["keys"], np.frombuffer(r["counts"], "<i8").tolist())) for r in brown.neighbours(df, "text", lexicon, of).collect()}
+    rows = brown.neighbours(df, "text", lexicon, of)
+    assert (brown.class_table(rows, of) == brown.class_bigrams(df, "text", lexicon, of, brown.CLASSES)).all()
+    got = {r.place: dict(zip(r["keys"], np.frombuffer(r["counts"], "<i8").tolist())) for r in rows.collect()}
     want = {}
     run = [sequence(lexicon, [t]) for t in data]
     for a, b in [p for own in run for p in zip(own, own[1:])]:
