@@ -37,12 +37,27 @@ def rolling_count(df: DataFrame, pool: str, ts: str, window: int, inclusive: boo
     """Adds the requests of the pool in the trailing window, this one included.
 
     ``inclusive``: a request exactly ``window`` seconds old still counts.
+
+    Each request comes in at its time and goes out when it no longer counts. What is inside is a running sum of both, and the
+    oldest of it the next to go out, so a row is read a fixed number of times however many others its window holds.
     """
     spread, _ = _sliced(df, pool, ts, window)
     reach = window * 1_000_000 - (0 if inclusive else 1)
-    w = Window.partitionBy(pool, "_slice").orderBy("_t").rangeBetween(-reach, 0)
-    counted = spread.withColumn(name, F.count("*").over(w)).withColumn("_oldest", F.min("_t").over(w))
-    return counted.filter("_own").drop("_slice", "_own")
+    t = F.col("_t")
+    moves = spread.withColumn("_step", F.explode(F.array(F.lit(1), F.lit(-1))))
+    comes = F.col("_step") == 1
+    given = comes & F.col("_own")
+    moves = moves.select(
+        # Only requests of the slice itself are given back, so only those carry their columns.
+        *[F.when(given, F.col(f"`{c}`")).alias(c) for c in df.columns], F.col(f"`{pool}`").alias("_pool"), "_slice", "_step",
+        given.alias("_given"), F.when(comes, t).otherwise(t + reach + 1).alias("_t"),
+        F.when(comes, t).otherwise(t + reach).alias("_until"), F.when(~comes, t).alias("_since"),
+    )
+    place = Window.partitionBy("_pool", "_slice")
+    counted = moves.withColumn(name, F.sum("_step").over(place.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)))
+    # From the end backwards: the smallest of the times that are to go out still.
+    counted = counted.withColumn("_oldest", F.min("_since").over(place.orderBy(F.desc("_until")).rangeBetween(Window.unboundedPreceding, 0)))
+    return counted.filter("_given").drop("_pool", "_slice", "_step", "_given", "_until", "_since")
 
 
 def quotas(
