@@ -76,7 +76,40 @@ def block_keys(values: DataFrame, threshold: float) -> DataFrame:
     Grams are ranked by how many values contain them; each value is listed under its rarest ones, just as
     many as the filter needs. The counts are aggregated before the shuffle and the vocabulary is joined
     back by gram, not collected.
+
+    Grams of short values tell little apart (of numbered names, only digits differ), so their blocks would grow with the
+    table. Pairs that may be two edits apart at most meet by what is left after deleting characters instead.
+    """
+    limit, n = min(3 / (1 - threshold) if threshold < 1 else 64.0, 64.0), F.length("value")
+    shortest, longest = threshold / (2 - threshold), (2 - threshold) / threshold
+    short = values.filter(n * (1 + shortest) < limit + 1e-6)
+    long = values.filter(n * (1 + longest) >= limit - 1e-6)
+    return _deletion_keys(short).unionByName(_gram_keys(long, threshold))
+
+
+def _deletion_keys(values: DataFrame) -> DataFrame:
+    """``id, block``: values at most two insertions and deletions apart share a block.
+
+    Either one character goes from both, or one or two go from the longer one, which leave the other. Two are
+    taken only from values for which there is a value two shorter, and only what is a value then is listed.
     """
+    def without(value: Column, at: Column) -> Column:
+        return F.concat(F.substr(value, F.lit(1), at - 1), F.substr(value, at + 1))
+
+    n = F.length("value")
+    ones = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: without(F.col("value"), i))
+    near = values.select("id", F.explode(F.array_distinct(F.concat(F.array("value"), ones))).alias("block"))
+    sized = values.select("id", "value", n.alias("n"))
+    longer = sized.join(sized.select((F.col("n") + 2).alias("n")).distinct(), "n", "left_semi")
+    one = longer.select("id", "n", F.posexplode(
+        F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: without(F.col("value"), i))).alias("at", "rest"))
+    two = one.filter(F.col("at") + 1 < F.col("n")).select("id", F.explode(F.transform(
+        F.sequence(F.col("at") + 1, F.col("n") - 1), lambda j: without(F.col("rest"), j))).alias("block"))
+    known = values.select(F.col("value").alias("block"))
+    return near.unionByName(two.join(known, "block", "left_semi").select("id", "block").distinct())
+
+
+def _gram_keys(values: DataFrame, threshold: float) -> DataFrame:
     q = gram_size(threshold)
     shape = _grams(values, q)
     weights = shape.groupBy("gram").agg(F.count("*").alias("weight"))

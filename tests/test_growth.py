@@ -1,11 +1,13 @@
 """Steps whose cost must not grow faster than their input."""
 
 import bisect
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import quota
+from gleaner.functions.similarity import lcs_length
+from gleaner.operators import dedup, quota
 
 
 def test_windows_of_requests_are_running_sums(spark):
@@ -28,3 +30,32 @@ def test_windows_of_requests_are_running_sums(spark):
         want[i] = (n, max(limit - n, 0), float(max(held[first] + window - t, 0)), i % 3)
     got = {r["id"]: (r["requests"], r["remaining"], r["reset_seconds"], r["value"]) for r in out.collect()}
     assert got == want
+
+
+def test_blocks_of_numbered_names_stay_small(spark):
+    names = spark.range(4000).select("id", F.format_string("supplier#%09d", "id").alias("value"))
+    assert dedup.block_keys(names, 0.95).groupBy("block").count().agg({"count": "max"}).first()[0] <= 40
+
+
+def test_greedy_pass_over_short_and_long_names(spark):
+    """Equal to a plain loop, lengths on both sides of the limit and pairs one and two characters longer included."""
+    rng = random.Random(5)
+    names = set()
+    for _ in range(60):
+        name = "".join(rng.choice("ab7\U0001F600 ") for _ in range(rng.choice([0, 1, 5, 19, 21, 26, 30, 33]))).strip()
+        names.add(name)
+        for _ in range(4):
+            cut = rng.randrange(len(name) + 1)
+            name = name[:cut] + rng.choice(["", "x", "xy"]) + name[cut + rng.choice([0, 1, 2]):]
+            names.add(name)
+    rows = [(i, v) for i, v in enumerate(sorted(names, key=lambda v: (len(v) * 7 % 5, v)))]
+    for threshold in (0.9, 0.95):
+        kept, absorbed = [], set()
+        for i, v in rows:
+            like = [j for j, w in kept if 2 * lcs_length(v, w) >= (threshold - 1e-12) * (len(v) + len(w))]
+            absorbed.update(like[:1])
+            if not like:
+                kept.append((i, v))
+        df = spark.createDataFrame(rows, "id bigint, name string")
+        got = {r["id"] for r in dedup.fuzzy_dedup(df, "id", ["name"], threshold, "none").collect()}
+        assert got == {i for i, _ in kept} - absorbed
