@@ -8,12 +8,13 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -41,17 +42,33 @@ def _terms(text: str | None) -> list[str]:
     return _TERM.findall(plain)
 
 
-@F.pandas_udf(T.StructType([
-    T.StructField("term", T.ArrayType(T.StringType())), T.StructField("tf", T.ArrayType(T.LongType()))]))
-def _counted_terms(texts: pd.Series) -> pd.DataFrame:
-    counts = [Counter(_terms(s)) for s in texts]
-    return pd.DataFrame({"term": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
+#: Texts that are counted before their terms leave Python.
+_TEXTS_AT_ONCE = 32
+
+
+def _counted_terms(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of keys and texts to keys, terms and counts.
+
+    A batch may hold ten thousand long texts; its terms are handed on a few texts at a time, so that memory does not follow it.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+            keys, texts = batch.slice(start, _TEXTS_AT_ONCE).columns
+            owners, terms, tfs = [], [], []
+            for i, value in enumerate(texts):
+                counts = Counter(_terms(value.as_py()))
+                owners.extend([i] * len(counts))
+                terms.extend(counts.keys())
+                tfs.extend(counts.values())
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(owners, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], names=names)
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, tf``, counted within each text, so that tokens are not shuffled."""
-    counted = df.select(F.col(key), _counted_terms(F.coalesce(F.col(text), F.lit(""))).alias("c"))
-    return counted.select(key, F.inline(F.arrays_zip("c.term", "c.tf")))
+    both = df.select(F.col(key), F.col(text))
+    schema = T.StructType([both.schema[0], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return both.mapInArrow(lambda batches: _counted_terms(batches, schema.names), schema)
 
 
 def vocabulary(counts: DataFrame, documents: int, max_terms: int = MAX_TERMS) -> DataFrame:

@@ -4,10 +4,11 @@ import bisect
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions.similarity import lcs_length
-from gleaner.operators import dedup, quota
+from gleaner.operators import classify, dedup, quota
 
 
 def test_windows_of_requests_are_running_sums(spark):
@@ -59,3 +60,16 @@ def test_greedy_pass_over_short_and_long_names(spark):
         df = spark.createDataFrame(rows, "id bigint, name string")
         got = {r["id"] for r in dedup.fuzzy_dedup(df, "id", ["name"], threshold, "none").collect()}
         assert got == {i for i, _ in kept} - absorbed
+
+
+def test_terms_leave_python_a_few_texts_at_a_time():
+    texts = [None if i % 50 == 0 else f"Été {i} x x" for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": texts})
+    out = list(classify._counted_terms(iter([batch]), ["id", "term", "tf"]))
+    assert max(b.num_rows for b in out) <= 200
+    got = {(r["id"], r["term"]): r["tf"] for b in out for r in b.to_pylist()}
+    want = {}
+    for i, text in enumerate(texts):
+        if text is not None:
+            want |= {(i, "ete"): 1, (i, str(i)): 1, (i, "x"): 2}
+    assert got == want
