@@ -5,7 +5,7 @@ shingles of ``shingle`` words. A text that holds a window holds all its shingles
 where its rarest shingle occurs: that is the necessary prefix of an exact containment join. Steps:
 
 1. the shingles of all texts meet the set of benchmark shingles; what matches is stored with the words around it
-   (one pass over the texts, which are never shuffled);
+   (one pass over the texts, which are never shuffled; it counts the words of every text too);
 2. the matches are counted per shingle, and each window keeps its rarest one; a window with a shingle that occurs
    nowhere is dropped;
 3. matches meet the windows by that shingle; the position bound says where the window has to begin, the length
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower, same_row, set_apart, set_back, small_side, split_words, stored, text_key
+from gleaner.llm.common import BROADCAST_ROWS, ascii_lower, same_row, set_apart, set_back, small_side, split_words, stored, text_key
 
 #: What separates words once A to Z are lower-cased, and the same before that.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,12 +53,23 @@ def benchmark_windows(items: DataFrame, item: str, text: str, window: int) -> Da
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", window: int = 10, shingle: int = 5) -> DataFrame:
     """``_key, _digest, spans, items`` per text with hits: spans are (begin, words) of the window occurrences."""
+    return _contamination(docs, items, key, text, item, item_text, window, shingle)[0]
+
+
+def _counted_words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(*text_key(key, text), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+
+
+def _contamination(docs: DataFrame, items: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text",
+                   window: int = 10, shingle: int = 5, all_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The hits, and with ``all_rows`` a row ``_key, _digest, n_words`` for every row of ``docs``, whose texts are read once for both."""
     owned = stored(benchmark_windows(items, item, item_text, window).withColumn("window", F.concat_ws(" ", "words")), "windows")
     cut = owned.select("window", "words").distinct().withColumn("size", F.least(F.size("words"), F.lit(shingle)))
     sizes = sorted(r[0] for r in cut.select("size").distinct().collect())  # at most ``shingle`` values
     if not sizes:
         empty = docs.select(*text_key(key, text)).limit(0)
-        return empty.withColumn("spans", F.array().cast("array<struct<begin:int,size:int>>")).withColumn("items", F.array().cast("array<string>"))
+        none = empty.withColumn("spans", F.array().cast("array<struct<begin:int,size:int>>")).withColumn("items", F.array().cast("array<string>"))
+        return none, _counted_words(docs, key, text)
 
     pieces = stored(reduce(DataFrame.unionByName, [
         cut.where(F.col("size") == s).select("window", F.size("words").alias("n"), "size", F.posexplode(_shingled("words", s)).alias("offset", "hash"))
@@ -69,15 +80,27 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     around = window - 1
     read = docs.select(*text_key(key, text), words_of(text).alias("all_words")).withColumn("n_words", F.size("all_words"))
+    # A place of its own, before the first word, carries the count of words of each row; in a join by a shuffle it would be a hot key.
+    marked = sizes[0] if all_rows and n_looked_for <= BROADCAST_ROWS else None
     found = []
     for s in sizes:
         needles = small_side(looked_for.where(F.col("size") == s).select("hash"), n_looked_for)
-        rows = read.select("*", F.posexplode(_shingled("all_words", s)).alias("at", "hash"))
-        found.append(rows.join(needles, "hash").select(
-            "_key", "_digest", "n_words", F.lit(s).alias("size"), "hash", "at", F.greatest(F.col("at") - around, F.lit(0)).alias("from"),
-            F.slice("all_words", F.greatest(F.col("at") - around, F.lit(0)) + 1, 2 * around + s).alias("near"),
+        if s == marked:
+            places = F.concat(F.array(F.lit(None).cast("bigint")), _shingled("all_words", s))
+            rows = read.select("*", F.posexplode(places).alias("_place", "hash")).withColumn("at", F.col("_place") - 1)
+            rows = rows.join(F.broadcast(needles.withColumn("_known", F.lit(True))), "hash", "left").where("_known OR at < 0")
+        else:
+            rows = read.select("*", F.posexplode(_shingled("all_words", s)).alias("at", "hash")).join(needles, "hash")
+        begin = F.greatest(F.col("at") - around, F.lit(0))
+        found.append(rows.select(
+            "_key", "_digest", "n_words", F.lit(s).alias("size"), "hash", "at", begin.alias("from"),
+            F.when(F.col("at") >= 0, F.slice("all_words", begin + 1, 2 * around + s)).alias("near"),
         ))
-    matches = stored(reduce(DataFrame.unionByName, found), "matches")
+    written = stored(reduce(DataFrame.unionByName, found), "matches")
+    matches = written.where("at >= 0")
+    counted = written.where("at < 0").select("_key", "_digest", F.col("n_words").cast("long").alias("n_words"))
+    if marked is None:
+        counted = _counted_words(docs, key, text)
 
     counts = matches.groupBy("size", "hash").count()
     chosen = (
@@ -101,7 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         .groupBy("_key", "_digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
     b = named.select(F.col("_key").alias("_k"), F.col("_digest").alias("_d"), "items")
-    return spans.join(b, spans["_key"].eqNullSafe(b["_k"]) & (spans["_digest"] == b["_d"])).drop("_k", "_d")
+    return spans.join(b, spans["_key"].eqNullSafe(b["_k"]) & (spans["_digest"] == b["_d"])).drop("_k", "_d"), counted
 
 
 def covered(spans: Column) -> Column:
@@ -118,8 +141,7 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """Per row of ``docs``: ``key, n_words, n_hit, spans, items, contaminated``."""
-    hits = contamination(docs, items, key, text, **settings)
-    rows = docs.select(*text_key(key, text), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    hits, rows = _contamination(docs, items, key, text, all_rows=True, **settings)
     joined = rows.join(hits, same_row(rows, hits), "left").select(rows["_key"].alias(key), "n_words", "spans", "items")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     return joined.select(

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions.similarity import lcs_length
+from gleaner.llm import decontaminate
 from gleaner.operators import classify, dedup, quota
 
 
@@ -73,3 +74,14 @@ def test_terms_leave_python_a_few_texts_at_a_time():
         if text is not None:
             want |= {(i, "ete"): 1, (i, str(i)): 1, (i, "x"): 2}
     assert got == want
+
+
+def test_texts_are_read_once_for_windows_and_counts(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame(
+        [(1, " ".join(words[3:20])), (1, " ".join(words[3:20])), (2, "A b-c"), (None, "x y"), (4, None), (5, ""), (6, "- -")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", " ".join(words[5:16])), ("j", "none of these words are in any of the texts here")], "item_id string, text string")
+    out = decontaminate.decontaminate(docs, items)
+    assert "regexp_count" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in out.collect())
+    assert got == [(0, 2, 0, []), (1, 17, 11, ["i"]), (1, 17, 11, ["i"]), (2, 3, 0, []), (4, 0, 0, []), (5, 0, 0, []), (6, 0, 0, [])]
