@@ -10,6 +10,7 @@ from gleaner.operators import patterns as P
 from gleaner.operators.profile import column_matches
 from gleaner.plans.queries_text import customer_phone, luhn_sql, messy_dates, _MESSY_DATE, _PHONE
 from gleaner.plans.registry import Tables, query
+from gleaner.session import spread
 from gleaner.sources import sinks
 
 # -- e-mail addresses -------------------------------------------------------------------------------
@@ -503,14 +504,14 @@ def _customer_page():
         CASE WHEN row_no = 0 AND col_no = 0 THEN 'name' WHEN row_no = 0 THEN c_name WHEN col_no = 0 THEN 'segment & key' ELSE c_mktsegment || ' / ' || c_custkey END AS cell
     FROM customer, (SELECT unnest([0, 1]) AS row_no), (SELECT unnest([0, 1]) AS col_no)""")
 def _(t: Tables):
-    return H.table_cells(t.customer.select("c_custkey", _customer_page().alias("html")), "c_custkey", "html", "table.data#t1")
+    return H.table_cells(spread(t.customer).select("c_custkey", _customer_page().alias("html")), "c_custkey", "html", "table.data#t1")
 
 
 @query("html_table_wide", """
     SELECT c_custkey, 0::BIGINT AS row_no, 'name' AS "Field", c_name AS "Value" FROM customer
     UNION ALL SELECT c_custkey, 1, 'segment & key', c_mktsegment || ' / ' || c_custkey FROM customer""")
 def _(t: Tables):
-    cells = H.table_cells(t.customer.select("c_custkey", _customer_page().alias("html")), "c_custkey", "html")
+    cells = H.table_cells(spread(t.customer).select("c_custkey", _customer_page().alias("html")), "c_custkey", "html")
     return H.table_rows(cells, "c_custkey", ["Field", "Value"])
 
 
@@ -525,7 +526,7 @@ def _(t: Tables):
     html = F.when(kind == 0, F.concat(F.lit("<ul><li>no</li></ul><table><tr><th>Name</th></tr><tr><td>"), "s_name", F.lit("</td></tr></table>"))).when(
         kind == 1, F.concat(F.lit("<table><tr><th>Name</th></tr></table><ul><li> "), "s_name", F.lit("</ul>"))).otherwise(
         F.concat(F.lit("<ol><li>first</li><li>"), "s_name", F.lit("</li></ol>")))
-    return H.auto_structure(t.supplier.select("s_suppkey", html.alias("html")), "s_suppkey", "html")
+    return H.auto_structure(spread(t.supplier).select("s_suppkey", html.alias("html")), "s_suppkey", "html")
 
 
 _CHAIN_PAGES = "SELECT 'https://shop.example.com/c/' || c_custkey AS url, 'https://shop.example.com/c/' || (c_custkey + 1) AS target, c_mktsegment <> 'BUILDING' AS links_on FROM customer"

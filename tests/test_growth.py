@@ -5,11 +5,13 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.similarity import lcs_length
 from gleaner.llm import decontaminate
 from gleaner.operators import classify, dedup, quota
+from gleaner.plans import catalog
 
 
 def test_windows_of_requests_are_running_sums(spark):
@@ -85,3 +87,14 @@ def test_texts_are_read_once_for_windows_and_counts(spark):
     assert "regexp_count" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in out.collect())
     assert got == [(0, 2, 0, []), (1, 17, 11, ["i"]), (1, 17, 11, ["i"]), (2, 3, 0, []), (4, 0, 0, []), (5, 0, 0, []), (6, 0, 0, [])]
+
+
+@pytest.mark.parametrize("name", ["html_table_rows", "html_table_wide"])
+def test_pages_of_customers_are_parsed_on_all_cores(spark, tmp_path, name):
+    rows = spark.range(200).select(
+        F.col("id").alias("c_custkey"), F.format_string("Customer#%d", "id").alias("c_name"), F.lit(3).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    out = catalog.QUERIES[name](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInPandas[\s\S]*Repartition 8", plan)
+    assert out.count() == (800 if name == "html_table_rows" else 400)
