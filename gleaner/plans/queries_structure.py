@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import structure as S
 from gleaner.plans.registry import Tables, query
+from gleaner.session import spread
 
 # The documents have few headings and only pipe tables, so each customer gets a report with the others.
 _REPORT = (
@@ -49,8 +50,9 @@ def _written_sql(parts) -> str:
 
 
 def _texts(t: Tables, parts):
+    # Customers may be a few files; cutting up their texts costs far more than reading them.
     docs = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    return docs.unionAll(t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), _written(parts).alias("text")))
+    return docs.unionAll(spread(t.customer).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), _written(parts).alias("text")))
 
 
 def _texts_sql(parts) -> str:

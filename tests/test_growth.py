@@ -98,3 +98,13 @@ def test_pages_of_customers_are_parsed_on_all_cores(spark, tmp_path, name):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"MapInPandas[\s\S]*Repartition 8", plan)
     assert out.count() == (800 if name == "html_table_rows" else 400)
+
+
+def test_reports_of_customers_are_cut_on_all_cores(spark, tmp_path):
+    customer = spark.range(200).select(
+        F.col("id").alias("c_custkey"), F.format_string("Customer#%d", "id").alias("c_name"), F.lit(3).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    customer.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.QUERIES["text_table_cells_aligned"](spark, str(tmp_path))
+    assert re.search(r"Repartition 8[^\n]*\n[^\n]*c_custkey", out._jdf.queryExecution().optimizedPlan().toString())
+    assert out.select("id").distinct().count() == 200
