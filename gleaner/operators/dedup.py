@@ -244,6 +244,16 @@ def leaders(
         keys.join(values.select("id", F.col(order).alias("ord"), F.length("value").alias("n")), "id")
     )
     texts = values.select("id", "value")
+    if block_table is not None:
+        # Long texts: those that share no block are in no pair, so they are not shuffled in every round.
+        texts = cut_lineage(texts.join(_in_company(blocks), "id", "left_semi"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        if block_table is None:
+            return _verified(pairs, texts, threshold, rounded)
+        pairs = cut_lineage(pairs)
+        return _verified(pairs, _texts_of(pairs, texts), threshold, rounded)
+
     open_blocks = blocks
     kept: list[DataFrame] = []
     found: list[DataFrame] = []
@@ -266,12 +276,12 @@ def leaders(
             .filter(_length_compatible(F.col("na"), F.col("nb"), _floor(threshold, rounded)))
             .select("a", "b").distinct()
         )
-        waiting = _verified(near, texts, threshold, rounded).select(F.col("b").alias("id")).distinct()
+        waiting = verified(near).select(F.col("b").alias("id")).distinct()
         settled = cut_lineage(in_view.join(waiting, "id", "left_anti"))
         kept.append(settled)
         # Settled values leave with everything later that resembles them. To find first leaders, values that
         # have left already are compared as well: a leader before theirs may be settled only now.
-        pairs = _followers(blocks if assign else open_blocks, settled, texts, threshold, rounded)
+        pairs = verified(_followers(blocks if assign else open_blocks, settled, _floor(threshold, rounded)))
         if assign:
             pairs = cut_lineage(pairs.join(settled.select(F.col("id").alias("a"), "ord"), "a").select("a", "b", "ord"))
             found.append(pairs)
@@ -287,17 +297,32 @@ def leaders(
     return heads, members.groupBy(F.col("b").alias("id")).agg(F.min_by("a", "ord").alias("leader"))
 
 
-def _followers(blocks: DataFrame, heads: DataFrame, texts: DataFrame, threshold: float, rounded: bool) -> DataFrame:
-    """Verified pairs ``a`` (one of ``heads``), ``b`` (a later value of ``blocks``)."""
+def _in_company(blocks: DataFrame) -> DataFrame:
+    """``id`` of the values that are not alone in all their blocks."""
+    shared = blocks.groupBy("block").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
+    return blocks.join(shared, "block", "left_semi").select("id").distinct()
+
+
+#: Ids that are broadcast to pick their texts; more are left to the join.
+_PICKED = 200_000
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of some pairs. Few ids are broadcast, so that no other text is shuffled."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= _PICKED else texts
+
+
+def _followers(blocks: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs ``a`` (one of ``heads``), ``b`` (a later value of ``blocks``)."""
     lead = blocks.join(heads.select("id"), "id", "left_semi").select(
         "block", F.col("id").alias("a"), F.col("ord").alias("ord_a"), F.col("n").alias("na"))
     rest = blocks.select("block", F.col("id").alias("b"), F.col("ord").alias("ord_b"), F.col("n").alias("nb"))
-    near = (
+    return (
         rest.join(lead, "block").filter(F.col("ord_a") < F.col("ord_b"))
-        .filter(_length_compatible(F.col("na"), F.col("nb"), _floor(threshold, rounded)))
+        .filter(_length_compatible(F.col("na"), F.col("nb"), threshold))
         .select("a", "b").distinct()
     )
-    return _verified(near, texts, threshold, rounded)
 
 
 def joined_value(columns: Sequence[str]) -> Column:
@@ -389,7 +414,7 @@ def minhash_blocks(values: DataFrame, hashes: int = 24, per_band: int = 3, shing
         F.sequence(F.lit(1), F.greatest(F.size("tokens") - shingle + 1, F.lit(1))),
         lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, shingle), " ")),
     )
-    hashed = cut_lineage(cut.select("id", F.array_distinct(shingles).alias("grams")))
+    hashed = once(cut, grams=F.array_distinct(shingles)).select("id", "grams")
 
     def seeded(seed: int) -> Callable[[Column], Column]:
         return lambda gram: F.xxhash64(gram, F.lit(seed))

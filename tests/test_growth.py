@@ -108,3 +108,25 @@ def test_reports_of_customers_are_cut_on_all_cores(spark, tmp_path):
     out = catalog.QUERIES["text_table_cells_aligned"](spark, str(tmp_path))
     assert re.search(r"Repartition 8[^\n]*\n[^\n]*c_custkey", out._jdf.queryExecution().optimizedPlan().toString())
     assert out.select("id").distinct().count() == 200
+
+
+def test_texts_alone_in_their_blocks_are_not_compared(spark, monkeypatch):
+    """Only texts that occur in pairs go into the exact test, and the result is that of a plain loop."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    rows = list(enumerate([*texts, texts[3] + " tail", "head " + texts[3], texts[5], None, ""]))
+    shipped, verified = [], dedup._verified
+
+    def watched(pairs, values, threshold, rounded):
+        shipped.append({r["id"] for r in values.select("id").collect()})
+        return verified(pairs, values, threshold, rounded)
+
+    monkeypatch.setattr(dedup, "_verified", watched)
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    for picked in (200_000, 0):
+        shipped.clear()
+        monkeypatch.setattr(dedup, "_PICKED", picked, raising=False)
+        got = {(r["id"], r["leader"], r["copies"]) for r in dedup.near_duplicate_texts(df, "id", "text").collect()}
+        assert got == {(40, 3, 1), (41, 3, 1), (5, 5, 2)}
+        assert shipped and all(ids <= {3, 40, 41} for ids in shipped)
