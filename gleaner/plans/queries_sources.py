@@ -76,8 +76,10 @@ def _(t: Tables):
 @query("scan_pages", "SELECT html, count(*) AS n FROM pages GROUP BY html")
 def _(t: Tables):
     folder = stream_folder(t.spark)
-    # Landed pages: one file each, named by page.
-    t.pages.select("page_id", "html").repartition("page_id").write.partitionBy("page_id").option("lineSep", "\x00").text(folder)
+    # Landed pages: one file each, rows of one page together. The files of a task share a folder, which is listed and put in place as a whole.
+    pages = t.pages.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list("html")), "\x00").alias("html"))
+    rows = pages.select("html", F.spark_partition_id().alias("task"))
+    rows.write.partitionBy("task").option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(folder)
     landed = S.read_pages(t.spark, f"{folder}/*", "*.txt")
     return landed.select(F.rtrim(F.replace("html", F.lit("\x00"), F.lit(""))).alias("html")).groupBy("html").agg(F.count("*").alias("n"))
 

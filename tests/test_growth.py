@@ -1,6 +1,7 @@
 """Steps whose cost must not grow faster than their input."""
 
 import bisect
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.similarity import lcs_length
 from gleaner.llm import decontaminate
 from gleaner.operators import classify, dedup, quota
-from gleaner.plans import catalog
+from gleaner.plans import catalog, queries_sources
 
 
 def test_windows_of_requests_are_running_sums(spark):
@@ -130,3 +131,20 @@ def test_texts_alone_in_their_blocks_are_not_compared(spark, monkeypatch):
         got = {(r["id"], r["leader"], r["copies"]) for r in dedup.near_duplicate_texts(df, "id", "text").collect()}
         assert got == {(40, 3, 1), (41, 3, 1), (5, 5, 2)}
         assert shipped and all(ids <= {3, 40, 41} for ids in shipped)
+
+
+def test_landed_pages_share_folders(spark, tmp_path, monkeypatch):
+    """One file per page, yet not one folder to list for each of them."""
+    rows = [(i, f"<p>{i % 50}</p>") for i in range(300)] + [(None, "<b>x</b>"), (301, None)]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    seen, read = [], queries_sources.S.read_pages
+
+    def watched(session, path, pattern):
+        folder = path.removesuffix("/*").removeprefix("file:")
+        seen.extend([len([d for d in os.listdir(folder) if "=" in d]), sum(f.endswith(".txt") for _, _, fs in os.walk(folder) for f in fs)])
+        return read(session, path, pattern)
+
+    monkeypatch.setattr(queries_sources.S, "read_pages", watched)
+    got = {r["html"]: r["n"] for r in catalog.QUERIES["scan_pages"](spark, str(tmp_path)).collect()}
+    assert got == {f"<p>{i}</p>": 6 for i in range(50)} | {"<b>x</b>": 1, "": 1}
+    assert seen[0] <= 8 and seen[1] == 302
