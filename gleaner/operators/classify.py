@@ -224,7 +224,7 @@ def train(df: DataFrame, key: str, category: str, fields: Sequence[str], name: s
     indexer = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(featured)
     categories = list(indexer.labels)
     if algorithm == "random_forest":
-        forest = RandomForestClassifier(labelCol="_y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+        forest = RandomForestClassifier(labelCol="_y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
         names = IndexToString(inputCol="prediction", outputCol="category_name", labels=categories)
         model = Pipeline(stages=[forest, names]).fit(indexer.transform(featured))
         labels: dict[int, str] = {}

@@ -148,3 +148,14 @@ def test_landed_pages_share_folders(spark, tmp_path, monkeypatch):
     got = {r["html"]: r["n"] for r in catalog.QUERIES["scan_pages"](spark, str(tmp_path)).collect()}
     assert got == {f"<p>{i}</p>": 6 for i in range(50)} | {"<b>x</b>": 1, "": 1}
     assert seen[0] <= 8 and seen[1] == 302
+
+
+def test_forest_keeps_the_nodes_of_its_rows(spark, monkeypatch):
+    """Rows remember their nodes instead of walking every tree again for each group of nodes; the trees are the same."""
+    rows = [(i, f"{'red' if i % 3 else 'blue'} w{i % 11} w{i % 7}", i * 37 % 101, "ab"[i % 5 > 1]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, text string, n bigint, kind string").coalesce(2)
+    trained = lambda: classify.train(df, "id", "kind", ["text", "n"], "k", trees=4, depth=12).model.stages[0]
+    forest, plain = trained(), classify.RandomForestClassifier
+    assert forest.getCacheNodeIds() and forest.totalNumNodes > 20
+    monkeypatch.setattr(classify, "RandomForestClassifier", lambda **options: plain(**(options | {"cacheNodeIds": False})))
+    assert forest.toDebugString.split("\n", 1)[1] == trained().toDebugString.split("\n", 1)[1]
