@@ -26,10 +26,14 @@ from pyspark.sql import types as T
 
 from gleaner.functions.features import FEATURE_FIELDS, feature_type, infer_category, mixed_features
 from gleaner.functions.text import coerce_number
+from gleaner.operators import forest
 from gleaner.session import cut_lineage, ensure_checkpoint_dir
 
 MAX_TERMS, MIN_DOCS, MAX_SHARE = 500, 2, 0.9
 
+#: Rows times trees up to which Spark ML grows a forest; it holds all nodes in the driver, and there are about as many as that.
+DRIVER_ROWS = 1_000_000
+
 
 _TERM = re.compile(r"\w+")
 
@@ -133,7 +137,7 @@ class Classifier:
     algorithm: str
     fields: dict[str, str]
     texts: dict[str, TextFeatures]
-    model: PipelineModel
+    model: PipelineModel | forest.Forest
     categories: list[str]
     sample_count: int
     created_at: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
@@ -222,18 +226,20 @@ def train(df: DataFrame, key: str, category: str, fields: Sequence[str], name: s
     # Training passes over the features many times; they are computed once.
     featured = cut_lineage(_features(labeled, types, texts).select("_label", "features"))
     indexer = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(featured)
-    categories = list(indexer.labels)
-    if algorithm == "random_forest":
-        forest = RandomForestClassifier(labelCol="_y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
+    categories, rows = list(indexer.labels), featured.count()
+    labels: dict[int, str] = {}
+    if algorithm == "random_forest" and rows * trees > DRIVER_ROWS:
+        model = forest.grow(indexer.transform(featured), rows, categories, trees, depth, seed)
+    elif algorithm == "random_forest":
+        learner = RandomForestClassifier(labelCol="_y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
         names = IndexToString(inputCol="prediction", outputCol="category_name", labels=categories)
-        model = Pipeline(stages=[forest, names]).fit(indexer.transform(featured))
-        labels: dict[int, str] = {}
+        model = _plain_model(Pipeline(stages=[learner, names]).fit(indexer.transform(featured)))
     elif algorithm == "kmeans":
-        model = Pipeline(stages=[KMeans(k=max(len(categories), 2), seed=seed, featuresCol="features")]).fit(featured)
+        model = _plain_model(Pipeline(stages=[KMeans(k=max(len(categories), 2), seed=seed, featuresCol="features")]).fit(featured))
         labels = majority_labels(model.transform(featured), "prediction", "_label")
     else:
         raise ValueError(f"unsupported algorithm: {algorithm}")
-    return Classifier(name, algorithm, types, texts, _plain_model(model), categories, featured.count(), cluster_labels=labels)
+    return Classifier(name, algorithm, types, texts, model, categories, rows, cluster_labels=labels)
 
 
 def _plain_model(model: PipelineModel) -> PipelineModel:
