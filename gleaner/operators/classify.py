@@ -49,6 +49,9 @@ def _terms(text: str | None) -> list[str]:
 #: Texts that are counted before their terms leave Python.
 _TEXTS_AT_ONCE = 32
 
+#: Vectors of texts that leave Python at once.
+_VECTORS_AT_ONCE = 500
+
 
 def _counted_terms(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches of keys and texts to keys, terms and counts.
@@ -113,18 +116,21 @@ class TextFeatures:
         index = {term: i for i, (term, _) in enumerate(self.terms)}
         idf = np.array([w for _, w in self.terms])
 
+        def one(value: str) -> np.ndarray:
+            out = np.zeros(len(idf))
+            for term, tf in Counter(_terms(value)).items():
+                i = index.get(term)
+                if i is not None:
+                    out[i] = (1 + math.log(tf)) * idf[i]
+            norm = math.sqrt(float(out @ out))
+            return out / norm if norm else out
+
         @F.pandas_udf("array<double>")
-        def vector(texts: pd.Series) -> pd.Series:
-            def one(value: str) -> np.ndarray:
-                out = np.zeros(len(idf))
-                for term, tf in Counter(_terms(value)).items():
-                    i = index.get(term)
-                    if i is not None:
-                        out[i] = (1 + math.log(tf)) * idf[i]
-                norm = math.sqrt(float(out @ out))
-                return out / norm if norm else out
-
-            return texts.map(one)
+        def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            # A batch may hold ten thousand texts; their vectors leave Python a few at a time.
+            for texts in batches:
+                for start in range(0, len(texts), _VECTORS_AT_ONCE):
+                    yield texts.iloc[start:start + _VECTORS_AT_ONCE].map(one)
 
         return df.withColumn(output, array_to_vector(vector(F.coalesce(F.col(text), F.lit("")))))
 
