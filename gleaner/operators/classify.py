@@ -155,7 +155,7 @@ class Classifier:
             "sample_count": self.sample_count, "created_at": self.created_at,
             "cluster_labels": {str(k): v for k, v in self.cluster_labels.items()},
             "texts": {f: list(t.terms) for f, t in self.texts.items()},
-        }
+        } | ({"packed_trees": True} if isinstance(self.model, forest.Forest) else {})
 
     def features(self, df: DataFrame) -> DataFrame:
         return _features(df, self.fields, self.texts)
@@ -179,17 +179,22 @@ class Classifier:
 
     def save(self, folder: str) -> None:
         spark = SparkSession.active()
-        self.model.write().overwrite().save(f"{folder}/{self.name}/model")
+        if isinstance(self.model, forest.Forest):
+            self.model.save(f"{folder}/{self.name}/model")
+        else:
+            self.model.write().overwrite().save(f"{folder}/{self.name}/model")
         meta = spark.createDataFrame([(json.dumps(self.metadata()),)], "value string")
         meta.coalesce(1).write.mode("overwrite").text(f"{folder}/{self.name}/metadata")
 
     @staticmethod
     def load(folder: str, name: str) -> Classifier:
         meta = json.loads(SparkSession.active().read.text(f"{folder}/{name}/metadata").first()[0])
+        at = f"{folder}/{name}/model"
+        model = forest.Forest.load(at, meta["categories"]) if meta.get("packed_trees") else PipelineModel.load(at)
         return Classifier(
             name, meta["algorithm"], meta["feature_fields"],
             {f: TextFeatures(tuple((t, w) for t, w in terms)) for f, terms in meta["texts"].items()},
-            PipelineModel.load(f"{folder}/{name}/model"), meta["categories"], meta["sample_count"], meta["created_at"],
+            model, meta["categories"], meta["sample_count"], meta["created_at"],
             {int(k): v for k, v in meta["cluster_labels"].items()},
         )
 

@@ -1,4 +1,4 @@
-"""Forests that are grown outside the driver: the trees of Spark ML, however the rows are dealt."""
+"""Forests that are grown outside the driver: the trees of Spark ML, however the rows are dealt, and whole when saved."""
 
 import numpy as np
 import pytest
@@ -61,8 +61,8 @@ def _labeled(spark):
     return spark.createDataFrame(rows, "id bigint, text string, n bigint, kind string").coalesce(2)
 
 
-def test_many_rows_leave_no_nodes_in_the_driver(spark, monkeypatch):
-    """Past DRIVER_ROWS, Spark ML and its driver-side trees are not used; scores are close to its own."""
+def test_many_rows_leave_no_nodes_in_the_driver(spark, monkeypatch, tmp_path):
+    """Past DRIVER_ROWS, Spark ML and its driver-side trees are not used; scores are close to its own, also after a round trip."""
     df = _labeled(spark)
     usual = classify.train(df, "id", "kind", ["text", "n"], "k", trees=10, depth=30)
     monkeypatch.setattr(classify, "DRIVER_ROWS", 100)
@@ -77,6 +77,13 @@ def test_many_rows_leave_no_nodes_in_the_driver(spark, monkeypatch):
     for r in got.values():
         assert abs(sum(r["probabilities"].values()) - 1) < 1e-9 and r["confidence"] == max(r["probabilities"].values())
         assert r["probabilities"][r["category"]] == r["confidence"]
+    for _ in range(2):  # saving anew replaces what was there
+        model.save(str(tmp_path))
+    loaded = classify.Classifier.load(str(tmp_path), "k")
+    assert score(loaded) == got
+    loaded.save(str(tmp_path))
+    assert score(classify.Classifier.load(str(tmp_path), "k")) == got
+    assert [tuple(r) for r in classify.list_classifiers(spark, str(tmp_path)).collect()] == [("k", "random_forest", ["a", "b"], 400)]
 
 
 def test_no_rows_are_scored_as_no_rows(spark, monkeypatch):
