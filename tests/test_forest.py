@@ -1,5 +1,8 @@
 """Forests that are grown outside the driver: the trees of Spark ML, however the rows are dealt, and whole when saved."""
 
+import sys
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -92,3 +95,21 @@ def test_no_rows_are_scored_as_no_rows(spark, monkeypatch):
     ready = model.features(_labeled(spark))
     assert model.model.transform(ready.filter(F.col("id") < 0)).collect() == []
     assert [r["id"] for r in model.model.transform(ready.filter(F.col("id") == 399)).collect()] == [399]
+
+
+def test_default_classifier_grows_outside_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(classify, "DRIVER_ROWS", 100)
+    rows = [(i, f"{('article', 'name', 'title')[i % 3]} w{i % 11}", float(i % 40)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id bigint, text string, length double")
+    model = classify.default_classifier(df, "id", "text", "text", trees=8)
+    assert isinstance(model.model, forest.Forest)
+    assert {r["category"]: r["n"] for r in model.classify(df).groupBy("category").agg(F.count("*").alias("n")).collect()} == {
+        "article": 80, "name": 80, "title": 80}
+
+
+def test_all_combining_characters_go():
+    marks = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    text = "".join(f"a{m}b " for m in marks) + "Caf\u00e9 \ufb01n \u00c5ngstr\u00f6m"
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    assert classify._terms(text) == classify._TERM.findall(plain)
+    assert classify._terms(text)[-3:] == ["cafe", "fin", "angstrom"]
